@@ -13,13 +13,18 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast after checking the row count.
+def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
+    """Whether a frame has no more rows than the limit.
 
-    The check reads no more than ``max_rows + 1`` rows of the code side and
-    never touches an event table.
+    Reads at most ``max_rows + 1`` rows of the code side and never touches an
+    event table.
     """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    return df.limit(max_rows + 1).count() <= max_rows
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Hint a broadcast after checking the row count."""
+    return F.broadcast(df) if is_small(df, max_rows) else df
 
 
 def distinct_concepts(codes: DataFrame) -> DataFrame:
@@ -34,11 +39,11 @@ def match_codes(
     ``dedupe=False`` joins the code set as it is, so a concept listed twice
     doubles its events.
     """
+    wanted = broadcast_if_small(codes.select(F.col("concept_id").alias("_code")))
+    same = F.col(concept_col) == F.col("_code")
     if dedupe:
-        wanted = broadcast_if_small(distinct_concepts(codes))
-        return events.join(wanted, events[concept_col] == wanted["concept_id"], "left_semi")
-    wanted = broadcast_if_small(codes.select("concept_id"))
-    return events.join(wanted, events[concept_col] == wanted["concept_id"]).drop("concept_id")
+        return events.join(wanted, same, "left_semi")
+    return events.join(wanted, same).drop("_code")
 
 
 def match_codes_with_attributes(
@@ -66,20 +71,26 @@ def match_source_only(
     ).drop("_tags_0", "_tags_1")
 
 
-def tag_bits(codes_by_bit: Mapping[int, DataFrame]) -> DataFrame:
-    """One row per concept: which of the code sets it belongs to, as a bit set."""
+def tag_bits(codes_by_bit: Mapping[int, DataFrame], small: bool | None = None) -> DataFrame:
+    """One row per concept: which of the code sets it belongs to, as a bit set.
+
+    Hinted for a broadcast when the code sets together are small; ``small``
+    passes on the outcome of a check already made.
+    """
     if max(codes_by_bit) > 62:
         raise ValueError("at most 63 code sets fit one bit set")
-    tagged = [
+    tagged = reduce(DataFrame.unionByName, [
         codes.select("concept_id", F.lit(1 << bit).cast("bigint").alias("_tags"))
         for bit, codes in codes_by_bit.items()
-    ]
-    return (
-        reduce(DataFrame.unionByName, tagged)
-        .where(F.col("concept_id").isNotNull())
+    ])
+    if small is None:
+        small = is_small(tagged)
+    bits = (
+        tagged.where(F.col("concept_id").isNotNull())
         .groupBy("concept_id")
         .agg(F.bit_or("_tags").alias("_tags"))
     )
+    return F.broadcast(bits) if small else bits
 
 
 def tag_events(
@@ -92,13 +103,12 @@ def tag_events(
     column is looked up in turn and rows without any match are filtered.
     ``each=True`` keeps one ``_tags_<i>`` per concept column and drops nothing.
     """
-    wanted = broadcast_if_small(bits)
     if len(concept_cols) == 1 and not each:
-        renamed = wanted.withColumnRenamed("concept_id", "_code")
+        renamed = bits.withColumnRenamed("concept_id", "_code")
         return events.join(renamed, F.col(concept_cols[0]) == F.col("_code")).drop("_code")
     flagged, found = events, []
     for i, concept_col in enumerate(concept_cols):
-        lookup = wanted.select(
+        lookup = bits.select(
             F.col("concept_id").alias(f"_code_{i}"), F.col("_tags").alias(f"_tags_{i}")
         )
         flagged = flagged.join(

@@ -68,21 +68,20 @@ def max_records_per_instant(
 def _records(adt: DataFrame, start_types, end_types, ignore_types) -> DataFrame:
     """Records of each stay, without start/end pairs at one and the same instant."""
     rows = adt.where(~F.col("adt_type_concept_id").isin(*ignore_types)).select(
-        # one struct as key: NULL parts are equal to each other in it
-        F.struct(*STAY_KEYS).alias("_stay"),
+        *STAY_KEYS,
         F.col("adt_datetime").alias("_at"),
         F.col("adt_date").alias("_date"),
         F.col("adt_occurrence_id").alias("_id"),
         _kind(start_types, end_types).alias("_kind"),
     )
-    instant = Window.partitionBy("_stay", "_at", F.col("_kind") == "other")
+    instant = Window.partitionBy(*STAY_KEYS, "_at", F.col("_kind") == "other")
     both = F.bool_or(F.col("_kind") == "start").over(instant) & F.bool_or(
         F.col("_kind") == "end"
     ).over(instant)
     return (
         rows.withColumn("_both", both)
         .where(~F.col("_both"))
-        .select("_stay", "_at", "_date", F.lit(0).alias("_appended"), "_id", "_kind")
+        .select(*STAY_KEYS, "_at", "_date", F.lit(0).alias("_appended"), "_id", "_kind")
     )
 
 
@@ -93,7 +92,7 @@ def _bookends(records: DataFrame, visits: DataFrame) -> DataFrame:
     only fails to finish with an end record gets the end bookend.
     """
     order = F.struct("_at", "_id")
-    edges = records.groupBy("_stay").agg(
+    edges = records.groupBy(*STAY_KEYS).agg(
         F.min_by("_kind", order).alias("_first"), F.max_by("_kind", order).alias("_last")
     )
     times = visits.select(
@@ -126,8 +125,8 @@ def _bookends(records: DataFrame, visits: DataFrame) -> DataFrame:
     )
     return (
         edges.where(no_end)
-        .join(times, F.col("_stay.visit_occurrence_id") == F.col("_visit"))
-        .select("_stay", F.inline(added))
+        .join(times, F.col("visit_occurrence_id") == F.col("_visit"))
+        .select(*STAY_KEYS, F.inline(added))
     )
 
 
@@ -148,7 +147,7 @@ def _condense(records: DataFrame, max_gap: int, slice_seconds: int) -> DataFrame
             / F.lit(slice_seconds)
         ),
     )
-    within = Window.partitionBy("_stay", "_slice").orderBy(*_SEQUENCE)
+    within = Window.partitionBy(*STAY_KEYS, "_slice").orderBy(*_SEQUENCE)
     before = within.rowsBetween(Window.unboundedPreceding, -1)
     up_to = within.rowsBetween(Window.unboundedPreceding, 0)
 
@@ -179,7 +178,7 @@ def _condense(records: DataFrame, max_gap: int, slice_seconds: int) -> DataFrame
     )
     breaks = (F.col("_kind") == "other") & F.col("_previous").isNull()
     candidates = marked.where(opens | run_ends | breaks).select(
-        "_stay",
+        *STAY_KEYS,
         "_slice",
         *_SEQUENCE,
         "_date",
@@ -206,14 +205,14 @@ def _condense(records: DataFrame, max_gap: int, slice_seconds: int) -> DataFrame
         candidates.withColumn("_merged", F.coalesce(drop_close | drop_open, F.lit(False)))
         .where(~F.col("_merged"))
         .select(
-            "_stay", *_SEQUENCE, "_date", "_kind", "_from_slice_start", "_to_slice_end"
+            *STAY_KEYS, *_SEQUENCE, "_date", "_kind", "_from_slice_start", "_to_slice_end"
         )
     )
 
 
 def _pair(condensed: DataFrame, max_gap: int) -> DataFrame:
     """Episodes of each stay from its condensed records, near ones merged."""
-    within = Window.partitionBy("_stay").orderBy(*_SEQUENCE)
+    within = Window.partitionBy(*STAY_KEYS).orderBy(*_SEQUENCE)
     before = within.rowsBetween(Window.unboundedPreceding, -1)
     up_to = within.rowsBetween(Window.unboundedPreceding, 0)
 
@@ -240,7 +239,7 @@ def _pair(condensed: DataFrame, max_gap: int) -> DataFrame:
     episodes = (
         runs.where(opens | closes)
         .select(
-            "_stay",
+            *STAY_KEYS,
             *_SEQUENCE,
             "_date",
             "_kind",
@@ -253,17 +252,16 @@ def _pair(condensed: DataFrame, max_gap: int) -> DataFrame:
     grouped = episodes.withColumn(
         "_new", F.coalesce(gap >= max_gap, F.lit(True)).cast("int")
     ).withColumn("_number", F.sum("_new").over(up_to))
-    first, last = F.struct(*_SEQUENCE), F.struct("_end_at", *_SEQUENCE)
     return (
-        grouped.groupBy("_stay", "_number")
+        grouped.groupBy(*STAY_KEYS, "_number")
         .agg(
-            F.min_by("_id", first).alias("episode_id"),
-            F.min_by("_date", first).alias("episode_start_date"),
+            F.min_by("_id", "_at").alias("episode_id"),
+            F.min_by("_date", "_at").alias("episode_start_date"),
             F.min("_at").alias("episode_start_datetime"),
-            F.max_by("_end_date", last).alias("episode_end_date"),
+            F.max_by("_end_date", "_end_at").alias("episode_end_date"),
             F.max("_end_at").alias("episode_end_datetime"),
         )
-        .select("_stay.*", *EPISODE_COLUMNS)
+        .select(*STAY_KEYS, *EPISODE_COLUMNS)
     )
 
 

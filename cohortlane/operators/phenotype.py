@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlane.functions.dates import as_date
-from cohortlane.operators.codes import has_tag, tag_bits, tag_events
+from cohortlane.operators.codes import has_tag, is_small, tag_bits, tag_events
 from cohortlane.operators.proximity import (
     DateRange,
     date_filter,
@@ -48,6 +48,8 @@ def _matches(criteria: Sequence[Criterion], between: DateRange | None) -> DataFr
     to one row per day.
     """
     sources = {id(c.source): c.source for c in criteria}
+    all_codes = reduce(DataFrame.union, [c.codes.select("concept_id") for c in criteria])
+    small = is_small(all_codes)
     per_source = []
     for key, source in sources.items():
         # a criterion's bit is its position among all criteria
@@ -55,7 +57,7 @@ def _matches(criteria: Sequence[Criterion], between: DateRange | None) -> DataFr
         tagged = tag_events(
             date_filter(source.events, source.date_col, between),
             source.concept_cols,
-            tag_bits(codes),
+            tag_bits(codes, small),
         )
         per_source.append(
             tagged.select("person_id", as_date(source.date_col).alias("event_date"), "_tags")

@@ -258,6 +258,13 @@ def _linked(v) -> DataFrame:
     return linkage.ed_linked_to_inpatient(v.visit_star, v.fact_relationship, LINKED_SINCE)
 
 
+def _stored_linked(v) -> DataFrame:
+    """Linked visits are used several times over, so they are worked out once."""
+    if v.linked is None:
+        v.linked = stage(_linked(v), "linked")
+    return v.linked
+
+
 def _wide_fluids(v):
     return v.codes(0, 49)
 
@@ -272,7 +279,7 @@ def _wide_cultures(v):
 
 def _same_visit(v) -> DataFrame:
     return linkage.same_visit_criteria(
-        _linked(v),
+        _stored_linked(v),
         v.procedure_star,
         _wide_cultures(v),
         v.measurement_star,
@@ -291,7 +298,7 @@ def _same_visit_persons(v) -> DataFrame:
 def attrition_wide(v):
     return attrition(
         sepsis.attrition_steps_wide(
-            study_inputs(v), _linked(v), _same_visit_persons(v), v.person_star
+            study_inputs(v), _stored_linked(v), _same_visit_persons(v), v.person_star
         )
     )
 
@@ -393,7 +400,7 @@ def ed_linked_to_inpatient(v):
 
 def _cultures_after_ed(v, max_seconds: int | None = None) -> DataFrame:
     return linkage.blood_culture_after_ed(
-        _linked(v),
+        _stored_linked(v),
         v.procedure_star,
         _wide_cultures(v),
         v.measurement_star,
@@ -414,7 +421,7 @@ def blood_culture_within_30_days(v):
 
 @_query
 def drug_in_visit(v):
-    return linkage.drug_in_visit(_linked(v), v.drug_star, _wide_antibiotics(v))
+    return linkage.drug_in_visit(_stored_linked(v), v.drug_star, _wide_antibiotics(v))
 
 
 @_query
