@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlane.functions.text import name_matches
-from cohortlane.operators.codes import broadcast_if_small, distinct_concepts
+from cohortlane.operators.codes import is_small
 
 
 def concept_search(
@@ -19,22 +19,36 @@ def concept_search(
     return concepts.where(name_matches("concept_name", all_of, none_of))
 
 
+def search_topics(
+    concepts: DataFrame, searches: Mapping[str, tuple[Iterable[str], Iterable[str]]]
+) -> DataFrame:
+    """(topic, concept_id) of several searches in one scan of the vocabulary.
+
+    ``searches`` maps a topic to its wanted and its unwanted patterns.
+    """
+    topics = [
+        F.when(name_matches("concept_name", wanted, unwanted), F.lit(topic))
+        for topic, (wanted, unwanted) in searches.items()
+    ]
+    found = F.array_compact(F.array(*topics))
+    return concepts.select(F.explode(found).alias("topic"), "concept_id")
+
+
 def topic_codes(codes_by_topic: Mapping[str, DataFrame]) -> DataFrame:
-    """Distinct (topic, concept_id) of several code sets."""
-    tagged = [
-        distinct_concepts(codes).select(F.lit(topic).alias("topic"), "concept_id")
+    """(topic, concept_id) of several code sets."""
+    return reduce(DataFrame.unionByName, [
+        codes.select(F.lit(topic).alias("topic"), "concept_id")
         for topic, codes in codes_by_topic.items()
-    ]
-    return reduce(DataFrame.unionByName, tagged)
+    ])
 
 
-def availability_by_site(
-    events: DataFrame, concept_col: str, codes_by_topic: Mapping[str, DataFrame]
-) -> DataFrame:
+def availability_by_site(events: DataFrame, concept_col: str, topics: DataFrame) -> DataFrame:
     """Event rows per topic and site: one scan for all topics."""
-    topics = broadcast_if_small(topic_codes(codes_by_topic))
+    listed = topics.where(F.col("concept_id").isNotNull()).distinct()
+    if is_small(topics):
+        listed = F.broadcast(listed)
     return (
-        events.join(topics, F.col(concept_col) == F.col("concept_id"))
+        events.join(listed, F.col(concept_col) == F.col("concept_id"))
         .groupBy("topic", "site")
         .agg(F.count("*").alias("n"))
     )

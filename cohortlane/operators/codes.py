@@ -27,10 +27,6 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
     return F.broadcast(df) if is_small(df, max_rows) else df
 
 
-def distinct_concepts(codes: DataFrame) -> DataFrame:
-    return codes.select("concept_id").where(F.col("concept_id").isNotNull()).distinct()
-
-
 def match_codes(
     events: DataFrame, concept_col: str, codes: DataFrame, dedupe: bool = True
 ) -> DataFrame:

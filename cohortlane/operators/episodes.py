@@ -91,7 +91,9 @@ def _bookends(records: DataFrame, visits: DataFrame) -> DataFrame:
     A stay that does not begin with a start record gets both bookends; one that
     only fails to finish with an end record gets the end bookend.
     """
-    order = F.struct("_at", "_id")
+    # all columns and a left join (which adds no filter): the same shuffle as that
+    # of the records themselves, so Spark runs it once
+    order = F.struct("_at", "_id", "_date")
     edges = records.groupBy(*STAY_KEYS).agg(
         F.min_by("_kind", order).alias("_first"), F.max_by("_kind", order).alias("_last")
     )
@@ -125,7 +127,7 @@ def _bookends(records: DataFrame, visits: DataFrame) -> DataFrame:
     )
     return (
         edges.where(no_end)
-        .join(times, F.col("visit_occurrence_id") == F.col("_visit"))
+        .join(times, F.col("visit_occurrence_id") == F.col("_visit"), "left")
         .select(*STAY_KEYS, F.inline(added))
     )
 

@@ -107,13 +107,20 @@ def _linked_keys(linked: DataFrame) -> DataFrame:
 
 
 def _cultures(
-    linked: DataFrame,
-    procedures: DataFrame,
-    procedure_codes: DataFrame,
-    labs: DataFrame,
-    lab_codes: DataFrame,
+    procedures: DataFrame, procedure_codes: DataFrame, labs: DataFrame, lab_codes: DataFrame
 ) -> DataFrame:
-    """Distinct (visit, time) of cultures at or after a linked visit of the person.
+    keys = ("person_id", "visit_occurrence_id")
+    by_procedure = match_codes(procedures, "procedure_concept_id", procedure_codes).select(
+        *keys, F.col("procedure_datetime").alias("culture_datetime")
+    )
+    by_lab = match_codes(labs, "measurement_concept_id", lab_codes).select(
+        *keys, F.col("measurement_datetime").alias("culture_datetime")
+    )
+    return by_procedure.unionByName(by_lab)
+
+
+def _after_first_start(cultures: DataFrame, linked: DataFrame) -> DataFrame:
+    """Cultures at or after a linked visit of the person began.
 
     Being at or after *any* start is being at or after the first one, so events
     meet one row per person instead of each of the person's visits.
@@ -121,19 +128,8 @@ def _cultures(
     first_start = linked.groupBy("person_id").agg(
         F.min("visit_start_datetime").alias("_first_start")
     )
-    taken = match_codes(procedures, "procedure_concept_id", procedure_codes).select(
-        "person_id", "visit_occurrence_id", F.col("procedure_datetime").alias("culture_datetime")
-    ).unionByName(
-        match_codes(labs, "measurement_concept_id", lab_codes).select(
-            "person_id",
-            "visit_occurrence_id",
-            F.col("measurement_datetime").alias("culture_datetime"),
-        )
-    ).distinct()
-    return (
-        taken.join(first_start, "person_id")
-        .where(F.col("culture_datetime") >= F.col("_first_start"))
-        .select("visit_occurrence_id", "culture_datetime")
+    return cultures.join(first_start, "person_id").where(
+        F.col("culture_datetime") >= F.col("_first_start")
     )
 
 
@@ -150,8 +146,10 @@ def blood_culture_after_ed(
     By default every culture of a linked visit counts, whatever the time.
     ``max_seconds`` keeps those between the start and that many seconds later.
     """
+    taken = _cultures(procedures, procedure_codes, labs, lab_codes).distinct()
     timed = (
-        _cultures(linked, procedures, procedure_codes, labs, lab_codes)
+        _after_first_start(taken, linked)
+        .select("visit_occurrence_id", "culture_datetime")
         .join(_linked_keys(linked), "visit_occurrence_id")
         .withColumn("tst_time", elapsed_seconds("_start", "culture_datetime"))
     )
@@ -199,7 +197,8 @@ def same_visit_criteria(
     """Distinct (person, visit) of linked visits with culture, fluids and antibiotics.
 
     Only existence matters, so no pairs of events are formed: drugs are reduced
-    to a bit set per (person, visit) in one scan, cultures to distinct visits.
+    to a bit set per (person, visit) in one scan, cultures to the last one of a
+    (person, visit), which is late enough if any is.
     """
     drug_tags = tag_events(
         drugs, ("drug_concept_id",), tag_bits({0: fluid_codes, 1: antibiotic_codes})
@@ -210,11 +209,12 @@ def same_visit_criteria(
         .where(F.col("_tags") == 3)
         .drop("_tags")
     )
-    culture_visits = (
-        _cultures(linked, procedures, procedure_codes, labs, lab_codes)
-        .select("visit_occurrence_id")
-        .distinct()
+    last_cultures = (
+        _cultures(procedures, procedure_codes, labs, lab_codes)
+        .groupBy("person_id", "visit_occurrence_id")
+        .agg(F.max("culture_datetime").alias("culture_datetime"))
     )
+    culture_visits = _after_first_start(last_cultures, linked).select("visit_occurrence_id")
     keys = linked.select("person_id", "visit_occurrence_id").distinct()
     return keys.join(both_drugs, ["person_id", "visit_occurrence_id"], "left_semi").join(
         culture_visits, "visit_occurrence_id", "left_semi"

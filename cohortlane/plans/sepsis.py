@@ -11,19 +11,21 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortlane.config import StudyCatalog
 from cohortlane.functions.labels import FEMALE, MALE
-from cohortlane.operators.attrition import AttritionStep
+from cohortlane.operators.attrition import AttritionStep, attrition
 from cohortlane.operators.cohorts import (
     ENTRY_TYPES,
     ICU_SERVICE,
+    add_site,
     icu_cohort_adt,
     icu_cohort_visit,
     visit_index,
 )
-from cohortlane.operators.demographics import demographics
+from cohortlane.operators.demographics import demographics, known_sex
 from cohortlane.operators.phenotype import (
     Criterion,
     EventSource,
@@ -32,12 +34,14 @@ from cohortlane.operators.phenotype import (
     phenotypes_by_person,
 )
 from cohortlane.operators.proximity import DateRange
+from cohortlane.operators.report import report_attrition, report_demographics
 from cohortlane.operators.summary import (
     SUMMARY_VARIABLES,
     demographic_summary,
     labelled_summary,
     raceth_by_sex,
 )
+from cohortlane.sources import materialize, write_result
 
 SUSPECTED = "(culture_px or culture_lab) and fluids and antibiotics"
 CODED = "coded"
@@ -127,43 +131,54 @@ def study_persons(
     )
 
 
-# cohort name -> (rows that belong to it, date its age refers to)
+# cohort name -> (rows that belong to it, phenotype its dates refer to)
 MEMBERSHIP = {
-    "suspected": ("suspected_n_dates > 0", "suspected_max_date"),
-    "coded": ("coded_n_dates > 0", "coded_max_date"),
-    "confirmed": ("suspected_n_dates > 0 and coded_n_dates > 0", "coded_max_date"),
+    "suspected": ("suspected_n_dates > 0", "suspected"),
+    "coded": ("coded_n_dates > 0", "coded"),
+    "confirmed": ("suspected_n_dates > 0 and coded_n_dates > 0", "coded"),
 }
 
 
 def cohort_members(persons: DataFrame, cohorts: Sequence[str]) -> DataFrame:
-    """(cohort, person_id, max_picu_date): one row per person and cohort."""
-    entries = F.array_compact(
-        F.array(*[
-            F.when(
-                F.expr(MEMBERSHIP[name][0]),
-                F.struct(F.lit(name).alias("cohort"), F.col(MEMBERSHIP[name][1]).alias("max_picu_date")),
-            )
-            for name in cohorts
-        ])
-    )
+    """One row per person and cohort, with first, last and number of index dates."""
+
+    def entry(cohort: str) -> Column:
+        condition, phenotype = MEMBERSHIP[cohort]
+        return F.when(
+            F.expr(condition),
+            F.struct(
+                F.lit(cohort).alias("cohort"),
+                F.col(f"{phenotype}_min_date").alias("min_picu_date"),
+                F.col(f"{phenotype}_max_date").alias("max_picu_date"),
+                F.col(f"{phenotype}_n_dates").alias("n_picu_dates"),
+            ),
+        )
+
+    entries = F.array_compact(F.array(*[entry(name) for name in cohorts]))
     return persons.select("person_id", F.inline(entries))
 
 
-def cohort_demographics(inputs: StudyInputs, cohorts: Sequence[str], by: str = "adt_date",
-                        sexes: Sequence[int] | None = KNOWN_SEXES) -> DataFrame:
-    """Members of the cohorts with demographics at their last matching date."""
-    members = cohort_members(study_persons(inputs, by, sexes), cohorts)
-    return demographics(members, "max_picu_date", inputs.person)
+def cohort_demographics(
+    inputs: StudyInputs,
+    cohorts: Sequence[str],
+    by: str = "adt_date",
+    sexes: Sequence[int] | None = KNOWN_SEXES,
+    persons: DataFrame | None = None,
+) -> DataFrame:
+    """Members of the cohorts with demographics at their last matching date.
+
+    ``persons`` are stored :func:`study_persons`, if there are any.
+    """
+    evaluated = study_persons(inputs, by, sexes) if persons is None else persons
+    return demographics(cohort_members(evaluated, cohorts), "max_picu_date", inputs.person)
 
 
 def summary_by_cohort(
-    inputs: StudyInputs,
-    cohorts: Sequence[str],
+    members: DataFrame,
     sites: Sequence[str] | None = None,
     variables: Sequence[str] = SUMMARY_VARIABLES,
 ) -> DataFrame:
-    """Labelled demographic summary of several cohorts in one pass."""
-    members = cohort_demographics(inputs, cohorts)
+    """Labelled demographic summary of each cohort of the members, in one pass."""
     if sites is not None:
         members = members.where(F.col("site").isin(*sites))
     return labelled_summary(
@@ -171,12 +186,14 @@ def summary_by_cohort(
     )
 
 
-def raceth_by_sex_all(inputs: StudyInputs, subset_label: str = "Subset") -> DataFrame:
+def raceth_by_sex_all(
+    members: DataFrame, sites: Sequence[str], subset_label: str = "Subset"
+) -> DataFrame:
     """Cross-tabs of suspected and confirmed sepsis, for all sites and a subset."""
-    members = cohort_demographics(inputs, ("suspected", "confirmed"))
+    members = members.where(F.col("cohort").isin("suspected", "confirmed"))
     groups = F.array_compact(
         F.array(
-            F.lit("All"), F.when(F.col("site").isin(*inputs.sites), F.lit(subset_label))
+            F.lit("All"), F.when(F.col("site").isin(*sites), F.lit(subset_label))
         )
     )
     placed = members.withColumnRenamed("cohort", "sepsis_type").withColumn(
@@ -200,12 +217,15 @@ def entry_condition(inputs: StudyInputs) -> str:
     return f"{_in_range('adt_date', inputs.index_between)} and adt_type_concept_id in ({types})"
 
 
-def attrition_steps(inputs: StudyInputs) -> list[AttritionStep]:
-    """The eight steps of the funnel."""
+def attrition_steps(inputs: StudyInputs, persons: DataFrame | None = None) -> list[AttritionStep]:
+    """The eight steps of the funnel.
+
+    ``persons`` are stored :func:`study_persons` of the whole index cohort, if
+    there are any.
+    """
     service = inputs.adt.where(F.col("service_concept_id") == ICU_SERVICE)
-    persons = study_persons(inputs, keep_unmatched=True).join(
-        inputs.person.select("person_id", "site"), "person_id", "left"
-    )
+    evaluated = study_persons(inputs, keep_unmatched=True) if persons is None else persons
+    persons = add_site(evaluated, inputs.person)
     suspected, confirmed = MEMBERSHIP["suspected"][0], MEMBERSHIP["confirmed"][0]
     here = _sites(inputs.sites)
     return [
@@ -234,10 +254,9 @@ def attrition_steps_wide(
     """
     service = inputs.adt.where(F.col("service_concept_id") == ICU_SERVICE)
     started = visit_index(inputs.adt, inputs.visits, inputs.index_between)
-    site = inputs.person.select("person_id", "site")
-    by_entry = study_persons(inputs, "adt_date", None, True).join(site, "person_id", "left")
-    by_visit = study_persons(inputs, "visit_start_date", None, True).join(site, "person_id", "left")
-    in_visit = same_visit.join(linked_person.select("person_id", "site"), "person_id", "left")
+    by_entry = add_site(study_persons(inputs, "adt_date", None, True), inputs.person)
+    by_visit = add_site(study_persons(inputs, "visit_start_date", None, True), inputs.person)
+    in_visit = add_site(same_visit, linked_person)
     suspected, coded = MEMBERSHIP["suspected"][0], MEMBERSHIP["coded"][0]
     here = _sites(inputs.sites)
     return [
@@ -261,6 +280,39 @@ def attrition_steps_wide(
     ]
 
 
+REPORT_TITLES = {"suspected": SUSPECTED_TITLE, "confirmed": CONFIRMED_TITLE}
+
+
+def write_study(inputs: StudyInputs, catalog: StudyCatalog) -> list[str]:
+    """Run the study and store its tables; returns their names.
+
+    Two intermediates are stored first, because everything else reads them: the
+    phenotypes of every eligible person, and the cohorts with demographics.
+    """
+    persons = materialize(study_persons(inputs, keep_unmatched=True), catalog, "sepsis_persons")
+    members = materialize(
+        cohort_demographics(inputs, tuple(MEMBERSHIP), persons=persons), catalog, "sepsis_cohorts"
+    )
+    members = known_sex(members)
+    summary = materialize(summary_by_cohort(members), catalog, "sepsis_summary")
+    here = materialize(
+        summary_by_cohort(members, inputs.sites), catalog, "sepsis_summary_subset"
+    )
+    funnel = materialize(
+        attrition(attrition_steps(inputs, persons)), catalog, "sepsis_attrition"
+    )
+    tables = {
+        "sepsis_raceth_by_sex": raceth_by_sex_all(members, inputs.sites),
+        "sepsis_report_attrition": report_attrition(funnel.orderBy("step")),
+        "sepsis_report_demographics": report_demographics(summary, "cohort", REPORT_TITLES),
+        "sepsis_report_demographics_subset": report_demographics(here, "cohort", REPORT_TITLES),
+    }
+    for name, table in tables.items():
+        write_result(table, catalog, name)
+    stored = ("persons", "cohorts", "summary", "summary_subset", "attrition")
+    return [*(f"sepsis_{name}" for name in stored), *tables]
+
+
 WIDE_VARIABLES = ("site", "raceth_cat", "sex_cat", "age_group")
 WIDE_TITLES = {
     "adt_coded": "adt_date confirmed N (%)",

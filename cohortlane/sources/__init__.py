@@ -1,5 +1,5 @@
 from cohortlane.sources.codesets import read_codeset, read_notes
-from cohortlane.sources.sinks import materialize, stage, write_csv, write_result
+from cohortlane.sources.sinks import materialize, stage, stage_path, write_csv, write_result
 from cohortlane.sources.tables import (
     cdm_table,
     conform,
@@ -17,6 +17,7 @@ __all__ = [
     "read_result",
     "read_result_csv",
     "stage",
+    "stage_path",
     "vocabulary_table",
     "write_csv",
     "write_result",

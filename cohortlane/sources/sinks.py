@@ -13,9 +13,17 @@ from cohortlane.sources.tables import read_result
 _local_stage_roots: dict[str, str] = {}
 
 
-def write_result(df: DataFrame, catalog: StudyCatalog, name: str) -> None:
-    """Replace a result table."""
+def write_result(
+    df: DataFrame, catalog: StudyCatalog, name: str, bucket_by: tuple[int, str] | None = None
+) -> None:
+    """Replace a result table.
+
+    ``bucket_by=(n, column)`` stores a catalog table in buckets. Event tables
+    bucketed by ``person_id`` need no shuffle for the per-person steps.
+    """
     writer = df.write.mode("overwrite").format("parquet")
+    if bucket_by is not None:
+        writer = writer.bucketBy(*bucket_by)
     if catalog.layout == "table":
         writer.saveAsTable(catalog.result_name(name))
     else:
@@ -56,13 +64,18 @@ def stage_root(spark: SparkSession) -> str:
     return _local_stage_roots[application]
 
 
+def stage_path(spark: SparkSession, label: str) -> str:
+    """A new, unused path in the shared scratch folder."""
+    return f"{stage_root(spark)}/{label}-{uuid.uuid4().hex}"
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write an intermediate to the shared scratch folder and read it back.
 
     Unlike a cached frame it survives the loss of executors, and unlike a
-    row checkpoint it is columnar and has a known size.
+    row checkpoint it is columnar and has a known size. The copy is left for
+    the owner of the folder to clear, as checkpoints are.
     """
-    spark = df.sparkSession
-    path = f"{stage_root(spark)}/{label}-{uuid.uuid4().hex}"
+    path = stage_path(df.sparkSession, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

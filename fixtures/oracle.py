@@ -527,6 +527,13 @@ FROM coded_adt_demog""",
     "demographic_summary": _summary("coded_adt_known"),
     "demographic_summary_by_index": _summary("index_adt_demog"),
     "demographic_summary_site_subset": _summary("coded_adt_subset"),
+    "demographic_summary_two_level": _summary("confirmed_adt_known"),
+    "demographic_summary_same_visit": _summary("same_visit_demog", _WIDE),
+    "study_cohorts": "\nUNION ALL\n".join(
+        f"SELECT '{cohort}' AS cohort, person_id, min_date AS min_picu_date, max_date AS max_picu_date, "
+        f"n_dates AS n_picu_dates, site, age_group FROM {cohort}_adt_known"
+        for cohort in ("suspected", "coded", "confirmed")
+    ),
     "labelled_summary": _labelled("suspected_adt_known"),
     "raceth_by_sex": _crosstab("coded_adt_demog"),
     "raceth_by_sex_all": "\nUNION\n".join(
@@ -606,6 +613,8 @@ JOIN ({_keys_near('abx', 'under18_adt', 'adt_date', 7)}) b ON f.person_id = b.pe
 UNION SELECT concept_id, concept_name, concept_code FROM iv_fluids
 UNION SELECT concept_id, concept_name, NULL FROM lab_blood_culture""",
     "result_table_roundtrip": "SELECT * FROM coded_adt",
+    "notes_table": """SELECT concept_name AS component_name_all,
+  concept_code || ', ' || vocabulary_id AS notes_on_data_availability FROM concept""",
     "codeset_csv_roundtrip": "SELECT * FROM med_broad_spec_abx",
 }
 

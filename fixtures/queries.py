@@ -42,8 +42,7 @@ from cohortlane.operators.summary import (
 )
 from cohortlane.plans import sepsis
 from cohortlane.plans.sepsis import StudyInputs
-from cohortlane.sources import materialize, read_codeset, stage, write_csv
-from cohortlane.sources.sinks import stage_root
+from cohortlane.sources import materialize, read_codeset, read_notes, stage, stage_path, write_csv
 from fixtures.views import DAYS, INDEX_RANGE, LINKED_SINCE, SITES, ClinicalViews
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -78,8 +77,8 @@ def study_inputs(v: ClinicalViews) -> StudyInputs:
     )
 
 
-def _members(v: ClinicalViews, cohort: str) -> DataFrame:
-    return sepsis.cohort_demographics(study_inputs(v), (cohort,)).drop("cohort")
+def _members(v: ClinicalViews, *cohorts: str) -> DataFrame:
+    return sepsis.cohort_demographics(study_inputs(v), cohorts)
 
 
 # cohorts
@@ -219,6 +218,24 @@ def demographic_summary_site_subset(v):
     return demographic_summary(here, one_row_per_person=True)
 
 
+@_query
+def demographic_summary_two_level(v):
+    return demographic_summary(known_sex(_members(v, "confirmed")), one_row_per_person=True)
+
+
+@_query
+def demographic_summary_same_visit(v):
+    cohort = demographics(_same_visit_persons(v), "max_sepsis_date", v.person_star)
+    return demographic_summary(cohort, sepsis.WIDE_VARIABLES, one_row_per_person=True)
+
+
+@_query
+def study_cohorts(v):
+    return _members(v, "suspected", "coded", "confirmed").select(
+        "cohort", "person_id", "min_picu_date", "max_picu_date", "n_picu_dates", "site", "age_group"
+    )
+
+
 @_query
 def labelled_summary_(v):
     return labelled_summary(
@@ -233,7 +250,7 @@ def raceth_by_sex_(v):
 
 @_query
 def raceth_by_sex_all(v):
-    return sepsis.raceth_by_sex_all(study_inputs(v), SUBSET_LABEL)
+    return sepsis.raceth_by_sex_all(_members(v, "suspected", "confirmed"), SITES, SUBSET_LABEL)
 
 
 @_query
@@ -310,22 +327,14 @@ def report_attrition_(v):
 
 @_query
 def report_demographics_(v):
-    summary = sepsis.summary_by_cohort(study_inputs(v), ("suspected", "confirmed"))
-    return report_demographics(
-        summary,
-        "cohort",
-        {"suspected": sepsis.SUSPECTED_TITLE, "confirmed": sepsis.CONFIRMED_TITLE},
-    )
+    summary = sepsis.summary_by_cohort(_members(v, "suspected", "confirmed"))
+    return report_demographics(summary, "cohort", sepsis.REPORT_TITLES)
 
 
 @_query
 def report_demographics_site_subset(v):
-    summary = sepsis.summary_by_cohort(study_inputs(v), ("suspected", "confirmed"), SITES)
-    return report_demographics(
-        summary,
-        "cohort",
-        {"suspected": sepsis.SUSPECTED_TITLE, "confirmed": sepsis.CONFIRMED_TITLE},
-    )
+    summary = sepsis.summary_by_cohort(_members(v, "suspected", "confirmed"), SITES)
+    return report_demographics(summary, "cohort", sepsis.REPORT_TITLES)
 
 
 @_query
@@ -354,23 +363,25 @@ def concept_search_excluding(v):
 
 @_query
 def codeset_availability_by_site(v):
+    topics = availability.topic_codes({"blood culture": v.px_blood_culture})
     return availability.availability_by_site(
-        v.procedure_occurrence, "procedure_concept_id", {"blood culture": v.px_blood_culture}
+        v.procedure_occurrence, "procedure_concept_id", topics
     )
 
 
-def _searches(v) -> dict[str, DataFrame]:
-    return {
-        "red or blue": availability.concept_search(v.concept, ["red|blue"]),
-        "widget or ring": availability.concept_search(v.concept, ["widget|ring"]),
-        "small, no gear": availability.concept_search(v.concept, ["small"], ["gear"]),
-    }
+SEARCHES = {
+    "red or blue": (["red|blue"], []),
+    "widget or ring": (["widget|ring"], []),
+    "small, no gear": (["small"], ["gear"]),
+}
 
 
 @_query
 def search_availability_by_site(v):
     return availability.availability_by_site(
-        v.measurement_labs, "measurement_concept_id", _searches(v)
+        v.measurement_labs,
+        "measurement_concept_id",
+        availability.search_topics(v.concept, SEARCHES),
     )
 
 
@@ -574,16 +585,26 @@ def null_key_left_join_null_safe(v):
 
 @_query
 def result_table_roundtrip(v):
-    folder = f"{stage_root(v.spark)}/results"
+    folder = stage_path(v.spark, "results")
     catalog = StudyCatalog(cdm=v.sf_dir, vocabulary=v.sf_dir, results=folder, layout="parquet")
-    # read the staged copy, so that a repeated run never overwrites its own input
-    cohort = stage(_condition(v, "adt_date"), "coded")
-    return materialize(cohort, catalog, "coded_adt")
+    return materialize(_condition(v, "adt_date"), catalog, "coded_adt")
+
+
+@_query
+def notes_table(v):
+    """Free text with awkward headers: out as CSV, back under clean names."""
+    path = stage_path(v.spark, "notes")
+    notes = v.concept.select(
+        F.col("concept_name").alias("Component Name (all)"),
+        F.concat_ws(", ", "concept_code", "vocabulary_id").alias("Notes on data-availability"),
+    )
+    write_csv(notes, path)
+    return read_notes(v.spark, path)
 
 
 @_query
 def codeset_csv_roundtrip(v):
-    path = f"{stage_root(v.spark)}/codes_csv"
+    path = stage_path(v.spark, "codes")
     write_csv(v.med_broad_spec_abx, path, single_file=True)
     return read_codeset(v.spark, path)
 

@@ -93,3 +93,57 @@ def test_summary_is_one_pass(spark, stored):
 def test_availability_scans_once(spark, sf_dir):
     plan = plan_of(QUERIES["search_availability_by_site"](spark, sf_dir))
     assert plan.count("/events.parquet") == 1
+
+
+def test_episodes_read_records_once(spark, stored, without_automatic_broadcast):
+    from cohortlane.operators.episodes import adt_episodes
+
+    adt = stored(
+        "adt",
+        "adt_occurrence_id long, person_id long, visit_occurrence_id long, site string,"
+        " adt_datetime timestamp_ntz, adt_date date, adt_type_concept_id long",
+    )
+    visits = stored(
+        "visits",
+        "visit_occurrence_id long, visit_start_date date, visit_start_datetime timestamp_ntz,"
+        " visit_end_date date, visit_end_datetime timestamp_ntz",
+    )
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = plan_of(adt_episodes(adt, visits))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    assert len(re.findall(r"FileScan parquet .*adt_type_concept_id", plan)) == 1
+    assert plan.count("ReusedExchange") == 1
+
+
+def test_bucketed_events_are_not_shuffled(spark, without_automatic_broadcast):
+    from cohortlane.config import StudyCatalog
+    from cohortlane.operators.phenotype import condition_near_index
+    from cohortlane.sources import read_result, write_result
+
+    spark.sql("create schema if not exists bucketed")
+    catalog = StudyCatalog("cdm", "vocabulary", "bucketed")
+    conditions = spark.createDataFrame(
+        [(1, 5, 6, date(2020, 1, 2))],
+        "person_id long, condition_concept_id long, condition_source_concept_id long,"
+        " condition_start_date date",
+    )
+    write_result(conditions, catalog, "conditions", bucket_by=(4, "person_id"))
+    write_result(
+        spark.createDataFrame([(1, date(2020, 1, 1))], "person_id long, adt_date date"),
+        catalog,
+        "cohort",
+        bucket_by=(4, "person_id"),
+    )
+    codes = spark.createDataFrame([(5,)], "concept_id long")
+    near = condition_near_index(
+        codes, read_result(spark, catalog, "cohort"), "adt_date", 7, 7,
+        read_result(spark, catalog, "conditions"),
+    )
+    # only the code set is aggregated across partitions
+    by_person = [line for line in plan_of(near).splitlines() if "hashpartitioning(person_id" in line]
+    assert not by_person
+    assert near.count() == 1
+    spark.sql("drop schema bucketed cascade")

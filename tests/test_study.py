@@ -59,3 +59,22 @@ def test_confirmed_is_suspected_and_coded(inputs):
         members = sepsis.cohort_members(sepsis.study_persons(inputs), (name,))
         persons[name] = {r.person_id for r in members.collect()}
     assert persons["confirmed"] == persons["suspected"] & persons["coded"]
+
+
+def test_stored_study(spark, inputs, tmp_path):
+    from cohortlane.config import StudyCatalog
+    from cohortlane.sources import read_result
+
+    catalog = StudyCatalog("", "", str(tmp_path / "results"), "parquet")
+    names = sepsis.write_study(inputs, catalog)
+    assert all(read_result(spark, catalog, name).count() > 0 for name in names)
+
+    def rows(df):
+        return sorted(map(str, df.collect()))
+
+    direct = attrition(sepsis.attrition_steps(inputs))
+    assert rows(read_result(spark, catalog, "sepsis_attrition")) == rows(direct)
+    members = sepsis.cohort_demographics(inputs, ("suspected", "confirmed"))
+    assert rows(read_result(spark, catalog, "sepsis_raceth_by_sex")) == rows(
+        sepsis.raceth_by_sex_all(members, inputs.sites)
+    )
