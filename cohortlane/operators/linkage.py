@@ -71,30 +71,30 @@ def ed_linked_to_inpatient(
         & (F.col("visit_start_date") >= F.lit(combined_since))
     ).select(*columns)
 
-    # Only the existence of the inpatient visit matters here, so that side is a
-    # semi join; the link ids are made distinct before they meet the visits.
-    links = fact_relationship.select(
-        F.col("fact_id_1").alias("visit_occurrence_id"), "fact_id_2"
-    ).distinct()
-    targets = inpatient.select(
-        F.col("visit_occurrence_id").alias("fact_id_2"), "person_id"
-    )
-    through_fact = (
-        emergency.join(links, "visit_occurrence_id")
-        .join(targets, ["fact_id_2", "person_id"], "left_semi")
-        .select(*columns)
+    # Both kinds of link are pairs of an emergency and an inpatient visit id, so
+    # one join with each side resolves them together. Of the inpatient visit
+    # only the existence matters: a semi join.
+    related = (
+        fact_relationship.select(
+            F.col("fact_id_1").alias("visit_occurrence_id"), F.col("fact_id_2").alias("_inpatient")
+        )
+        .distinct()
+        .withColumn("_shown", F.col("visit_occurrence_id"))
     )
-
-    followed = inpatient.select(
-        F.col("visit_occurrence_id").alias("_inpatient_id"),
+    preceded = inpatient.select(
         F.col("preceding_visit_occurrence_id").alias("visit_occurrence_id"),
-        "person_id",
+        F.col("visit_occurrence_id").alias("_inpatient"),
+        F.col("visit_occurrence_id").alias("_shown"),
+    )
+    targets = inpatient.select(F.col("visit_occurrence_id").alias("_inpatient"), "person_id")
+    linked = (
+        emergency.join(related.unionByName(preceded), "visit_occurrence_id")
+        .join(targets, ["_inpatient", "person_id"], "left_semi")
+        .select(*[
+            F.col("_shown").alias(c) if c == "visit_occurrence_id" else F.col(c) for c in columns
+        ])
     )
-    through_preceding = emergency.join(followed, ["visit_occurrence_id", "person_id"]).select(*[
-        F.col("_inpatient_id").alias(c) if c == "visit_occurrence_id" else F.col(c)
-        for c in columns
-    ])
-    return combined.unionByName(through_fact).unionByName(through_preceding).distinct()
+    return combined.unionByName(linked).distinct()
 
 
 def _linked_keys(linked: DataFrame) -> DataFrame:
