@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlane.functions.text import name_matches
-from cohortlane.operators.codes import is_small
+from cohortlane.operators.codes import is_small, join_codes
 
 
 def concept_search(
@@ -44,14 +44,15 @@ def topic_codes(codes_by_topic: Mapping[str, DataFrame]) -> DataFrame:
 
 def availability_by_site(events: DataFrame, concept_col: str, topics: DataFrame) -> DataFrame:
     """Event rows per topic and site: one scan for all topics."""
-    listed = topics.where(F.col("concept_id").isNotNull()).distinct()
-    if is_small(topics):
-        listed = F.broadcast(listed)
-    return (
-        events.join(listed, F.col(concept_col) == F.col("concept_id"))
-        .groupBy("topic", "site")
-        .agg(F.count("*").alias("n"))
+    listed = (
+        topics.where(F.col("concept_id").isNotNull())
+        .select("topic", F.col("concept_id").alias("_code"))
+        .distinct()
     )
+    matched = join_codes(
+        events.select("site", concept_col), concept_col, listed, "inner", is_small(topics)
+    )
+    return matched.groupBy("topic", "site").agg(F.count("*").alias("n"))
 
 
 def observed_concepts(events: DataFrame, concept_col: str, concepts: DataFrame) -> DataFrame:

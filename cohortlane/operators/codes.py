@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # A code set is broadcast only if it has been counted and found no larger than
-# this. Beyond it the join is left to Spark, which shuffles and splits skew.
+# this. Beyond it, events of each concept are spread over SALTS partitions.
 BROADCAST_ROWS = 200_000
+SALTS = 16
 
 
 def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
@@ -22,9 +23,24 @@ def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast after checking the row count."""
-    return F.broadcast(df) if is_small(df, max_rows) else df
+def join_codes(
+    events: DataFrame, concept_col: str, codes: DataFrame, how: str, small: bool
+) -> DataFrame:
+    """Join events with a table keyed by ``_code``.
+
+    A small table is broadcast. A large one is shuffled, and since one concept
+    ("no matching concept", say) may hold a large part of all events, its events
+    are spread by a hash of the row and the table is copied once per salt.
+    """
+    same = F.col(concept_col) == F.col("_code")
+    if small:
+        return events.join(F.broadcast(codes), same, how).drop("_code")
+    salted = events.withColumn("_salt", F.pmod(F.xxhash64(*events.columns), F.lit(SALTS)))
+    salts = F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))
+    copies = codes.withColumn("_copy", F.explode(salts))
+    return salted.join(copies, same & (F.col("_salt") == F.col("_copy")), how).drop(
+        "_code", "_salt", "_copy"
+    )
 
 
 def match_codes(
@@ -35,21 +51,17 @@ def match_codes(
     ``dedupe=False`` joins the code set as it is, so a concept listed twice
     doubles its events.
     """
-    wanted = broadcast_if_small(codes.select(F.col("concept_id").alias("_code")))
-    same = F.col(concept_col) == F.col("_code")
-    if dedupe:
-        return events.join(wanted, same, "left_semi")
-    return events.join(wanted, same).drop("_code")
+    wanted = codes.select(F.col("concept_id").alias("_code"))
+    how = "left_semi" if dedupe else "inner"
+    return join_codes(events, concept_col, wanted, how, is_small(wanted))
 
 
 def match_codes_with_attributes(
     events: DataFrame, concept_col: str, codes: DataFrame, attributes: Sequence[str]
 ) -> DataFrame:
     """Events in the code set, carrying the code set's attribute columns."""
-    wanted = broadcast_if_small(
-        codes.select(F.col("concept_id").alias("_code"), *attributes)
-    )
-    return events.join(wanted, F.col(concept_col) == F.col("_code")).drop("_code")
+    wanted = codes.select(F.col("concept_id").alias("_code"), *attributes)
+    return join_codes(events, concept_col, wanted, "inner", is_small(wanted))
 
 
 def match_source_only(
@@ -60,64 +72,72 @@ def match_source_only(
     One scan: an event that the standard code already matched is left out by a
     condition on the same row, not by an anti join of the table with itself.
     """
-    bits = tag_bits({0: codes})
-    flagged = tag_events(events, (standard_col, source_col), bits, each=True)
+    flagged = _tag_each(events, (standard_col, source_col), {0: codes}, is_small(codes))
     return flagged.where(
         F.col("_tags_0").isNull() & F.col("_tags_1").isNotNull()
     ).drop("_tags_0", "_tags_1")
 
 
-def tag_bits(codes_by_bit: Mapping[int, DataFrame], small: bool | None = None) -> DataFrame:
-    """One row per concept: which of the code sets it belongs to, as a bit set.
-
-    Hinted for a broadcast when the code sets together are small; ``small``
-    passes on the outcome of a check already made.
-    """
-    if max(codes_by_bit) > 62:
-        raise ValueError("at most 63 code sets fit one bit set")
-    tagged = reduce(DataFrame.unionByName, [
-        codes.select("concept_id", F.lit(1 << bit).cast("bigint").alias("_tags"))
+def _code_bits(codes_by_bit: Mapping[int, DataFrame]) -> DataFrame:
+    """One row per concept: which of the code sets it belongs to, as a bit set."""
+    tagged = [
+        codes.select(F.col("concept_id").alias("_code"), _bit(bit).alias("_tags"))
         for bit, codes in codes_by_bit.items()
-    ])
-    if small is None:
-        small = is_small(tagged)
-    bits = (
-        tagged.where(F.col("concept_id").isNotNull())
-        .groupBy("concept_id")
+    ]
+    return (
+        reduce(DataFrame.unionByName, tagged)
+        .where(F.col("_code").isNotNull())
+        .groupBy("_code")
         .agg(F.bit_or("_tags").alias("_tags"))
     )
-    return F.broadcast(bits) if small else bits
+
+
+def _tag_each(
+    events: DataFrame,
+    concept_cols: Sequence[str],
+    codes_by_bit: Mapping[int, DataFrame],
+    small: bool,
+) -> DataFrame:
+    """Add ``_tags_<i>`` for each concept column, NULL where it is in no code set."""
+    bits = _code_bits(codes_by_bit)
+    for i, concept_col in enumerate(concept_cols):
+        lookup = bits.withColumnRenamed("_tags", f"_tags_{i}")
+        events = join_codes(events, concept_col, lookup, "left", small)
+    return events
 
 
 def tag_events(
-    events: DataFrame, concept_cols: Sequence[str], bits: DataFrame, each: bool = False
+    events: DataFrame,
+    concept_cols: Sequence[str],
+    codes_by_bit: Mapping[int, DataFrame],
+    small: bool | None = None,
 ) -> DataFrame:
-    """Add ``_tags``: the code sets any of the concept columns belongs to.
+    """Events in any of the code sets, with ``_tags`` telling which ones.
 
     One scan of the events however many code sets there are. With a single
     concept column non-members drop out in an inner join; with several each
     column is looked up in turn and rows without any match are filtered.
-    ``each=True`` keeps one ``_tags_<i>`` per concept column and drops nothing.
+    ``small`` passes on the outcome of a size check already made.
     """
-    if len(concept_cols) == 1 and not each:
-        renamed = bits.withColumnRenamed("concept_id", "_code")
-        return events.join(renamed, F.col(concept_cols[0]) == F.col("_code")).drop("_code")
-    flagged, found = events, []
-    for i, concept_col in enumerate(concept_cols):
-        lookup = bits.select(
-            F.col("concept_id").alias(f"_code_{i}"), F.col("_tags").alias(f"_tags_{i}")
+    if max(codes_by_bit) > 62:
+        raise ValueError("at most 63 code sets fit one bit set")
+    if small is None:
+        small = is_small(
+            reduce(DataFrame.union, [c.select("concept_id") for c in codes_by_bit.values()])
         )
-        flagged = flagged.join(
-            lookup, F.col(concept_col) == F.col(f"_code_{i}"), "left"
-        ).drop(f"_code_{i}")
-        found.append(f"_tags_{i}")
-    if each:
-        return flagged
+    if len(concept_cols) == 1:
+        return join_codes(events, concept_cols[0], _code_bits(codes_by_bit), "inner", small)
+    flagged = _tag_each(events, concept_cols, codes_by_bit, small)
+    found = [f"_tags_{i}" for i in range(len(concept_cols))]
     either = reduce(
         lambda a, b: a.bitwiseOR(b), [F.coalesce(F.col(c), F.lit(0)) for c in found]
     )
     return flagged.withColumn("_tags", either).drop(*found).where(F.col("_tags") != 0)
 
 
+def _bit(bit: int) -> Column:
+    return F.lit(1 << bit).cast("bigint")
+
+
 def has_tag(bit: int, tags: str = "_tags") -> Column:
-    return F.col(tags).bitwiseAND(F.lit(1 << bit).cast("bigint")) != 0
+    return F.col(tags).bitwiseAND(_bit(bit)) != 0

@@ -12,7 +12,6 @@ from cohortlane.functions.dates import age_years, as_date, elapsed_seconds
 from cohortlane.operators.codes import (
     match_codes,
     match_codes_with_attributes,
-    tag_bits,
     tag_events,
 )
 
@@ -120,15 +119,17 @@ def _cultures(
 
 
 def _after_first_start(cultures: DataFrame, linked: DataFrame) -> DataFrame:
-    """Cultures at or after a linked visit of the person began.
+    """Cultures at or after a linked visit of the person began; may repeat rows.
 
-    Being at or after *any* start is being at or after the first one, so events
-    meet one row per person instead of each of the person's visits.
+    Being at or after *any* start is being at or after a first one, so events
+    meet a person's first visit of each kind instead of all of them. (One row
+    per person would do, but then Spark would join within the shuffle of that
+    aggregate, which it cannot split for a person with very many events.)
     """
-    first_start = linked.groupBy("person_id").agg(
+    first_starts = linked.groupBy("person_id", "visit_concept_id").agg(
         F.min("visit_start_datetime").alias("_first_start")
-    )
-    return cultures.join(first_start, "person_id").where(
+    ).drop("visit_concept_id")
+    return cultures.join(first_starts, "person_id").where(
         F.col("culture_datetime") >= F.col("_first_start")
     )
 
@@ -201,7 +202,7 @@ def same_visit_criteria(
     (person, visit), which is late enough if any is.
     """
     drug_tags = tag_events(
-        drugs, ("drug_concept_id",), tag_bits({0: fluid_codes, 1: antibiotic_codes})
+        drugs, ("drug_concept_id",), {0: fluid_codes, 1: antibiotic_codes}
     )
     both_drugs = (
         drug_tags.groupBy("person_id", "visit_occurrence_id")

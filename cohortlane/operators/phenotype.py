@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlane.functions.dates import as_date
-from cohortlane.operators.codes import has_tag, is_small, tag_bits, tag_events
+from cohortlane.operators.codes import has_tag, is_small, tag_events
 from cohortlane.operators.proximity import (
     DateRange,
     date_filter,
@@ -40,12 +40,19 @@ class Criterion:
     codes: DataFrame
 
 
-def _matches(criteria: Sequence[Criterion], between: DateRange | None) -> DataFrame:
+# Most persons a filter on cohort members is broadcast for (ids only).
+BROADCAST_PERSONS = 2_000_000
+
+
+def _matches(
+    criteria: Sequence[Criterion], between: DateRange | None, members: DataFrame | None = None
+) -> DataFrame:
     """Distinct (person_id, event_date) with the set of criteria met that day.
 
     The per-day aggregate runs before any join with a cohort: partial results
     are combined before the shuffle, and a person with very many events shrinks
-    to one row per day.
+    to one row per day. ``members`` are broadcast to drop other persons' events
+    before that shuffle.
     """
     sources = {id(c.source): c.source for c in criteria}
     all_codes = reduce(DataFrame.union, [c.codes.select("concept_id") for c in criteria])
@@ -57,8 +64,11 @@ def _matches(criteria: Sequence[Criterion], between: DateRange | None) -> DataFr
         tagged = tag_events(
             date_filter(source.events, source.date_col, between),
             source.concept_cols,
-            tag_bits(codes, small),
+            codes,
+            small,
         )
+        if members is not None:
+            tagged = tagged.join(F.broadcast(members), "person_id", "left_semi")
         per_source.append(
             tagged.select("person_id", as_date(source.date_col).alias("event_date"), "_tags")
         )
@@ -78,15 +88,23 @@ def criteria_by_index(
     index_between: DateRange | None = None,
     keep_unmatched: bool = False,
     day_buckets: bool = False,
+    stored_cohort: bool = False,
 ) -> DataFrame:
     """Per person and index date: one flag per criterion met in the window.
 
     Index dates without any match are left out unless ``keep_unmatched``.
+    ``stored_cohort=True`` says that the cohort is a stored table, so that
+    counting its persons is cheap: if they are few enough, events of everybody
+    else are dropped right after the scan instead of in the join.
     """
     between = reachable(index_between, days_pre, days_post) if index_between else None
+    members = None
+    if stored_cohort:
+        persons = cohort.select("person_id").distinct()
+        members = persons if is_small(persons, BROADCAST_PERSONS) else None
     joined = join_near(
         index_dates(cohort, date_col),
-        _matches(criteria, between),
+        _matches(criteria, between, members),
         days_pre,
         days_post,
         how="left" if keep_unmatched else "inner",

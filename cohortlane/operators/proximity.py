@@ -52,22 +52,26 @@ def join_near(
     same_person = F.col("person_id") == F.col("_person")
     if not day_buckets:
         return index.join(right, same_person & near, how).drop("_person")
-    width = days_pre + days_post + 1
-
-    def bucket(day: Column) -> Column:
-        return F.floor(day / F.lit(width))
-
-    day = F.unix_date("index_date")
-    left = index.withColumn(
-        "_bucket", F.explode_outer(F.sequence(bucket(day - days_pre), bucket(day + days_post)))
-    )
-    right = right.withColumn("_event_bucket", bucket(F.unix_date("event_date")))
+    left = with_buckets(index, "index_date", days_pre, days_post)
+    right = right.withColumn("_event_bucket", day_bucket("event_date", days_pre, days_post))
     same_bucket = F.col("_bucket") == F.col("_event_bucket")
     return left.join(right, same_person & same_bucket & near, how).drop(
         "_person", "_bucket", "_event_bucket"
     )
 
 
+def day_bucket(date_col: str | Column, days_pre: int, days_post: int) -> Column:
+    """Number of the window-sized stretch of days a date falls in."""
+    return F.floor(F.unix_date(as_date(date_col)) / F.lit(days_pre + days_post + 1))
+
+
+def with_buckets(index: DataFrame, date_col: str, days_pre: int, days_post: int) -> DataFrame:
+    """Index rows repeated for the one or two buckets their window touches."""
+    first = day_bucket(F.date_sub(date_col, days_pre), days_pre, days_post)
+    last = day_bucket(F.date_add(date_col, days_post), days_pre, days_post)
+    return index.withColumn("_bucket", F.explode_outer(F.sequence(first, last)))
+
+
 def near_index(
     events: DataFrame,
     event_date: str,
@@ -80,18 +84,22 @@ def near_index(
     """All event rows in the window of an index date, with that index date.
 
     Unlike the phenotype operators this keeps every event row, so the output is
-    as large as the number of (event, index date) matches.
+    as large as the number of (event, index date) matches. The join is by person
+    and day bucket, which spreads a person with very many events.
     """
     between = reachable(index_between, days_pre, days_post) if index_between else None
-    bounded = date_filter(events, event_date, between)
+    bounded = date_filter(events, event_date, between).withColumn(
+        "_event_bucket", day_bucket(event_date, days_pre, days_post)
+    )
     index = index_dates(cohort, index_date).select(
         F.col("person_id").alias("_person"), F.col("index_date").alias(index_date)
     )
     return bounded.join(
-        index,
+        with_buckets(index, index_date, days_pre, days_post),
         (F.col("person_id") == F.col("_person"))
+        & (F.col("_event_bucket") == F.col("_bucket"))
         & within_days(event_date, index_date, days_pre, days_post),
-    ).drop("_person")
+    ).drop("_person", "_event_bucket", "_bucket")
 
 
 def restrict_to_persons(df: DataFrame, persons: DataFrame) -> DataFrame:

@@ -102,30 +102,41 @@ def index_cohort(
 
 
 def study_criteria_by_index(
-    inputs: StudyInputs, by: str = "adt_date", sexes: Sequence[int] | None = KNOWN_SEXES,
+    inputs: StudyInputs,
+    by: str = "adt_date",
+    sexes: Sequence[int] | None = KNOWN_SEXES,
     keep_unmatched: bool = False,
+    cohort: DataFrame | None = None,
 ) -> DataFrame:
+    """All criteria of the study at each index date.
+
+    ``cohort`` is a stored :func:`index_cohort`, if there is one.
+    """
     return criteria_by_index(
-        index_cohort(inputs, by, sexes),
+        index_cohort(inputs, by, sexes) if cohort is None else cohort,
         study_criteria(inputs),
         by,
         inputs.days_pre,
         inputs.days_post,
         inputs.index_between,
         keep_unmatched=keep_unmatched,
+        stored_cohort=cohort is not None,
     )
 
 
 def study_persons(
-    inputs: StudyInputs, by: str = "adt_date", sexes: Sequence[int] | None = KNOWN_SEXES,
+    inputs: StudyInputs,
+    by: str = "adt_date",
+    sexes: Sequence[int] | None = KNOWN_SEXES,
     keep_unmatched: bool = False,
+    cohort: DataFrame | None = None,
 ) -> DataFrame:
     """One row per person: dates and counts of suspected and of coded sepsis.
 
     With ``keep_unmatched`` every person of the index cohort has a row.
     """
     return phenotypes_by_person(
-        study_criteria_by_index(inputs, by, sexes, keep_unmatched),
+        study_criteria_by_index(inputs, by, sexes, keep_unmatched, cohort),
         by,
         {"suspected": SUSPECTED, "coded": CODED},
     )
@@ -286,10 +297,14 @@ REPORT_TITLES = {"suspected": SUSPECTED_TITLE, "confirmed": CONFIRMED_TITLE}
 def write_study(inputs: StudyInputs, catalog: StudyCatalog) -> list[str]:
     """Run the study and store its tables; returns their names.
 
-    Two intermediates are stored first, because everything else reads them: the
-    phenotypes of every eligible person, and the cohorts with demographics.
+    Three intermediates are stored first, because everything else reads them:
+    the index cohort, the phenotypes of everybody in it, and the cohorts with
+    demographics.
     """
-    persons = materialize(study_persons(inputs, keep_unmatched=True), catalog, "sepsis_persons")
+    cohort = materialize(index_cohort(inputs), catalog, "sepsis_index")
+    persons = materialize(
+        study_persons(inputs, keep_unmatched=True, cohort=cohort), catalog, "sepsis_persons"
+    )
     members = materialize(
         cohort_demographics(inputs, tuple(MEMBERSHIP), persons=persons), catalog, "sepsis_cohorts"
     )
@@ -309,7 +324,7 @@ def write_study(inputs: StudyInputs, catalog: StudyCatalog) -> list[str]:
     }
     for name, table in tables.items():
         write_result(table, catalog, name)
-    stored = ("persons", "cohorts", "summary", "summary_subset", "attrition")
+    stored = ("index", "persons", "cohorts", "summary", "summary_subset", "attrition")
     return [*(f"sepsis_{name}" for name in stored), *tables]
 
 

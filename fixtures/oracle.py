@@ -618,6 +618,10 @@ UNION SELECT concept_id, concept_name, NULL FROM lab_blood_culture""",
     "codeset_csv_roundtrip": "SELECT * FROM med_broad_spec_abx",
 }
 
+SQL["phenotype_near_stored_index"] = f"""
+SELECT * FROM ({SQL['criteria_intersection']}) d INTERSECT SELECT * FROM ({SQL['key_union_full_join']}) c
+"""
+
 _near_index_level = " UNION ".join(
     f"SELECT DISTINCT c.person_id, x.adt_date AS dt FROM condition_occurrence c JOIN dx_sepsis k ON c.{column} = k.concept_id "
     f"JOIN under18_adt x ON c.person_id = x.person_id WHERE {_near('c.condition_start_date', 'x.adt_date', 7, 7)}"

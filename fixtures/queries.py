@@ -173,6 +173,15 @@ def phenotype_near_index_visit(v):
     return _suspected(v, "visit_start_date")
 
 
+@_query
+def phenotype_near_stored_index(v):
+    """With the cohort stored first: other persons' events go before the shuffle."""
+    inputs = study_inputs(v)
+    cohort = stage(sepsis.index_cohort(inputs), "index")
+    by_index = sepsis.study_criteria_by_index(inputs, cohort=cohort)
+    return by_index.where(sepsis.SUSPECTED).select("person_id", "adt_date")
+
+
 def _two_level(v, level: str) -> DataFrame:
     by_index = sepsis.study_criteria_by_index(study_inputs(v))
     both = two_level_cohort(by_index, "adt_date", sepsis.SUSPECTED, sepsis.CODED, level)

@@ -147,3 +147,22 @@ def test_bucketed_events_are_not_shuffled(spark, without_automatic_broadcast):
     assert not by_person
     assert near.count() == 1
     spark.sql("drop schema bucketed cascade")
+
+
+def test_shuffled_code_joins_are_salted(spark, stored, without_automatic_broadcast, monkeypatch):
+    from cohortlane.operators import codes as code_ops
+
+    monkeypatch.setattr(code_ops, "is_small", lambda df, max_rows=0: False)
+    events = stored("events", "person_id long, concept long, day date")
+    codes = spark.createDataFrame([(1,)], "concept_id long")
+    plan = plan_of(code_ops.match_codes(events, "concept", codes))
+    assert re.search(r"hashpartitioning\(concept#\d+L, _salt#\d+L", plan)
+
+
+def test_raw_rows_near_an_index_date_are_joined_by_bucket(spark, stored, without_automatic_broadcast):
+    from cohortlane.operators.proximity import near_index
+
+    events = stored("events", "person_id long, day date, note string")
+    cohort = stored("cohort", "person_id long, adt_date date")
+    plan = plan_of(near_index(events, "day", cohort, "adt_date", 7, 7))
+    assert re.search(r"hashpartitioning\(person_id#\d+L, _event_bucket#\d+L", plan)

@@ -3,6 +3,7 @@
 from datetime import date, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from cohortlane.operators import codes as code_ops
 from cohortlane.operators.phenotype import (
@@ -234,7 +235,44 @@ def test_duplicate_codes(make):
 def test_null_codes_never_match(make):
     events = make.events((1, None, D0))
     assert code_ops.match_codes(events, "concept_id_", make.codes(None)).count() == 0
-    assert code_ops.tag_events(events, ("concept_id_",), code_ops.tag_bits({0: make.codes(None)})).count() == 0
+    assert code_ops.tag_events(events, ("concept_id_",), {0: make.codes(None)}).count() == 0
+
+
+@pytest.mark.parametrize("limit", [1000, 1])
+def test_stored_cohort_gives_the_same(make, monkeypatch, limit):
+    from cohortlane.operators import phenotype
+
+    monkeypatch.setattr(phenotype, "BROADCAST_PERSONS", limit)
+    cohort = make.cohort((1, D0), (2, day(3)), (2, D0), (3, D0))
+    criteria = sources(make, px=[(1, 1, D0), (2, 1, day(3)), (9, 1, D0)], drug=[(2, 5, day(4)), (3, 5, D0)])
+    for keep in (False, True):
+        plain, reduced = (
+            criteria_by_index(
+                cohort, criteria, "adt_date", 2, 2, keep_unmatched=keep, stored_cohort=stored
+            )
+            for stored in (False, True)
+        )
+        assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, reduced.collect()))
+
+
+def test_hot_concept_beyond_the_broadcast_limit(make, spark, monkeypatch):
+    """A concept with a third of all events is spread over partitions."""
+    rows = [(n, 0 if n % 3 == 0 else n, D0) for n in range(6000)]
+    events, wanted = make.events(*rows), make.codes(*range(0, 6000, 2))
+    small = code_ops.tag_events(events, ("concept_id_",), {0: wanted, 3: make.codes(0)}).collect()
+    monkeypatch.setattr(code_ops, "is_small", lambda df, max_rows=0: False)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        large = code_ops.tag_events(events, ("concept_id_",), {0: wanted, 3: make.codes(0)})
+        hot = large.where("concept_id_ = 0").groupBy(F.spark_partition_id()).count().count()
+        found = large.collect()
+        twice = code_ops.tag_events(events, ("concept_id_", "person_id"), {0: wanted}).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert sorted(map(tuple, small)) == sorted(map(tuple, found))
+    assert hot > 1
+    assert len(twice) == sum(c % 2 == 0 or p % 2 == 0 for p, c, _ in rows)
 
 
 def test_large_code_sets_are_not_broadcast(make, monkeypatch, spark):
@@ -256,4 +294,4 @@ def test_size_check(make):
 
 def test_at_most_63_code_sets(make):
     with pytest.raises(ValueError):
-        code_ops.tag_bits({63: make.codes(1)})
+        code_ops.tag_events(make.events((1, 1, D0)), ("concept_id_",), {63: make.codes(1)})
