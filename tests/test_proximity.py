@@ -261,15 +261,21 @@ def test_hot_concept_beyond_the_broadcast_limit(make, spark, monkeypatch):
     events, wanted = make.events(*rows), make.codes(*range(0, 6000, 2))
     small = code_ops.tag_events(events, ("concept_id_",), {0: wanted, 3: make.codes(0)}).collect()
     monkeypatch.setattr(code_ops, "is_small", lambda df, max_rows=0: False)
-    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
     try:
         large = code_ops.tag_events(events, ("concept_id_",), {0: wanted, 3: make.codes(0)})
         hot = large.where("concept_id_ = 0").groupBy(F.spark_partition_id()).count().count()
         found = large.collect()
         twice = code_ops.tag_events(events, ("concept_id_", "person_id"), {0: wanted}).collect()
     finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     assert sorted(map(tuple, small)) == sorted(map(tuple, found))
     assert hot > 1
     assert len(twice) == sum(c % 2 == 0 or p % 2 == 0 for p, c, _ in rows)
