@@ -62,7 +62,8 @@ def join_near(
 
 def day_bucket(date_col: str | Column, days_pre: int, days_post: int) -> Column:
     """Number of the window-sized stretch of days a date falls in."""
-    return F.floor(F.unix_date(as_date(date_col)) / F.lit(days_pre + days_post + 1))
+    width = max(1, days_pre + days_post + 1)
+    return F.floor(F.unix_date(as_date(date_col)) / F.lit(width))
 
 
 def with_buckets(index: DataFrame, date_col: str, days_pre: int, days_post: int) -> DataFrame:

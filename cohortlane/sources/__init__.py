@@ -3,6 +3,7 @@ from cohortlane.sources.sinks import materialize, stage, stage_path, write_csv,
 from cohortlane.sources.tables import (
     cdm_table,
     conform,
+    get_result,
     read_result,
     read_result_csv,
     vocabulary_table,
@@ -11,6 +12,7 @@ from cohortlane.sources.tables import (
 __all__ = [
     "cdm_table",
     "conform",
+    "get_result",
     "materialize",
     "read_codeset",
     "read_notes",

@@ -49,12 +49,22 @@ def read_result(spark: SparkSession, catalog: StudyCatalog, name: str) -> DataFr
     return _open(spark, catalog, catalog.result_name(name))
 
 
-def read_result_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Read a result that was exported with :func:`write_csv`."""
-    return (
-        spark.read.schema(schema)
-        .option("header", True)
-        .option("escape", '"')
-        .option("enforceSchema", False)
-        .csv(path)
-    )
+def read_result_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """Read a result that was exported with :func:`write_csv`; text without a schema."""
+    reader = spark.read.option("header", True).option("escape", '"')
+    if schema is not None:
+        reader = reader.schema(schema).option("enforceSchema", False)
+    return reader.csv(path)
+
+
+def get_result(
+    spark: SparkSession,
+    catalog: StudyCatalog,
+    name: str,
+    csv_folder: str | None = None,
+    schema: str | None = None,
+) -> DataFrame:
+    """A result from its CSV export in a folder, or else from the result table."""
+    if csv_folder is None:
+        return read_result(spark, catalog, name)
+    return read_result_csv(spark, f"{csv_folder}/{name}.csv", schema)

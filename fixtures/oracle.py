@@ -613,6 +613,7 @@ JOIN ({_keys_near('abx', 'under18_adt', 'adt_date', 7)}) b ON f.person_id = b.pe
 UNION SELECT concept_id, concept_name, concept_code FROM iv_fluids
 UNION SELECT concept_id, concept_name, NULL FROM lab_blood_culture""",
     "result_table_roundtrip": "SELECT * FROM coded_adt",
+    "result_csv_roundtrip": _labelled("suspected_adt_known"),
     "notes_table": """SELECT concept_name AS component_name_all,
   concept_code || ', ' || vocabulary_id AS notes_on_data_availability FROM concept""",
     "codeset_csv_roundtrip": "SELECT * FROM med_broad_spec_abx",

@@ -42,7 +42,7 @@ from cohortlane.operators.summary import (
 )
 from cohortlane.plans import sepsis
 from cohortlane.plans.sepsis import StudyInputs
-from cohortlane.sources import materialize, read_codeset, read_notes, stage, stage_path, write_csv
+from cohortlane.sources import get_result, materialize, read_codeset, read_notes, stage, stage_path, write_csv
 from fixtures.views import DAYS, INDEX_RANGE, LINKED_SINCE, SITES, ClinicalViews
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -599,6 +599,17 @@ def result_table_roundtrip(v):
     return materialize(_condition(v, "adt_date"), catalog, "coded_adt")
 
 
+@_query
+def result_csv_roundtrip(v):
+    """A summary exported as CSV and read from there."""
+    folder = stage_path(v.spark, "exports")
+    catalog = StudyCatalog(cdm=v.sf_dir, vocabulary=v.sf_dir, results=folder, layout="parquet")
+    summary = labelled_summary_(v)
+    write_csv(summary, f"{folder}/summary.csv", single_file=True)
+    schema = ", ".join(f"{name} {kind}" for name, kind in summary.dtypes)
+    return get_result(v.spark, catalog, "summary", csv_folder=folder, schema=schema)
+
+
 @_query
 def notes_table(v):
     """Free text with awkward headers: out as CSV, back under clean names."""

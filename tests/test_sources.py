@@ -7,6 +7,7 @@ import pytest
 from cohortlane.config import StudyCatalog
 from cohortlane.sources import (
     cdm_table,
+    get_result,
     materialize,
     read_codeset,
     read_notes,
@@ -126,6 +127,15 @@ def test_csv_export(spark, tmp_path):
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
 
 
+def test_result_from_table_or_export(spark, catalog, tmp_path):
+    df = spark.createDataFrame([(1, "a")], "n long, text string")
+    write_result(df, catalog, "r")
+    write_csv(df, str(tmp_path / "r.csv"))
+    assert get_result(spark, catalog, "r").collect() == df.collect()
+    exported = get_result(spark, catalog, "r", str(tmp_path))
+    assert [tuple(r) for r in exported.collect()] == [("1", "a")]
+
+
 def test_stage_uses_the_checkpoint_folder(spark):
     assert stage_root(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
     staged = stage(spark.range(10).withColumnRenamed("id", "n"), "numbers")
