@@ -29,8 +29,8 @@ class StudyCatalog:
         return self.locate(self.results, f"{name}{self.result_suffix}")
 
 
-# Settings for sessions this project starts itself (bench, tests) and the ones
-# recommended on a cluster. A session handed in by a caller is never changed.
+# Settings of the sessions this project starts itself (bench, tests). A session
+# handed in by a caller is never changed.
 SESSION_SETTINGS: dict[str, str] = {
     "spark.ui.enabled": "false",
     "spark.sql.session.timeZone": "UTC",
@@ -40,3 +40,14 @@ SESSION_SETTINGS: dict[str, str] = {
     # split a skewed join side even if that costs one more shuffle afterwards
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
 }
+
+# What to add on a cluster. Shuffles start out finely divided and adaptive
+# execution joins partitions up to the advisory size, so that a partition fits
+# the memory of a task at any scale; also name a shared spark.checkpoint.dir.
+CLUSTER_SETTINGS: dict[str, str] = {
+    **SESSION_SETTINGS,
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "20000",
+    "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
+    "spark.sql.files.maxPartitionBytes": "256m",
+}

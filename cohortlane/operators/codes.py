@@ -15,12 +15,9 @@ SALTS = 16
 
 
 def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """Whether a frame has no more rows than the limit.
-
-    Reads at most ``max_rows + 1`` rows of the code side and never touches an
-    event table.
-    """
-    return df.limit(max_rows + 1).count() <= max_rows
+    """Whether a frame has no more rows than the limit: counts code sets or
+    stored cohorts, never an event table."""
+    return df.count() <= max_rows
 
 
 def join_codes(
