@@ -238,6 +238,7 @@ def _pair(condensed: DataFrame, max_gap: int) -> DataFrame:
     )
     opens = is_start & ~F.col("_state").eqNullSafe(F.lit("start"))
     closes = is_end & F.col("_closing") & ~F.col("_continued")
+    # opening and closing records alternate, so neighbours are partners
     episodes = (
         runs.where(opens | closes)
         .select(
@@ -245,15 +246,15 @@ def _pair(condensed: DataFrame, max_gap: int) -> DataFrame:
             *_SEQUENCE,
             "_date",
             "_kind",
+            F.lag("_at").over(within).alias("_previous_end"),
             F.lead("_at").over(within).alias("_end_at"),
             F.lead("_date").over(within).alias("_end_date"),
         )
         .where(is_start & F.col("_end_at").isNotNull())
     )
-    gap = F.timestamp_diff("SECOND", F.lag("_end_at").over(within), F.col("_at"))
-    grouped = episodes.withColumn(
-        "_new", F.coalesce(gap >= max_gap, F.lit(True)).cast("int")
-    ).withColumn("_number", F.sum("_new").over(up_to))
+    gap = F.timestamp_diff("SECOND", "_previous_end", "_at")
+    is_new = F.coalesce(gap >= max_gap, F.lit(True))
+    grouped = episodes.withColumn("_number", F.count_if(is_new).over(up_to))
     return (
         grouped.groupBy(*STAY_KEYS, "_number")
         .agg(
