@@ -74,6 +74,8 @@ def _records(adt: DataFrame, start_types, end_types, ignore_types) -> DataFrame:
         F.col("adt_occurrence_id").alias("_id"),
         _kind(start_types, end_types).alias("_kind"),
     )
+    # by instant even where the input is already partitioned by person
+    rows = rows.repartition(*STAY_KEYS, "_at")
     instant = Window.partitionBy(*STAY_KEYS, "_at", F.col("_kind") == "other")
     both = F.bool_or(F.col("_kind") == "start").over(instant) & F.bool_or(
         F.col("_kind") == "end"

@@ -19,7 +19,8 @@ def write_result(
     """Replace a result table.
 
     ``bucket_by=(n, column)`` stores a catalog table in buckets. Event tables
-    bucketed by ``person_id`` need no shuffle for the per-person steps.
+    bucketed by ``person_id`` need no shuffle for the per-person steps; a table
+    where single persons own a large part of the rows is better left unbucketed.
     """
     writer = df.write.mode("overwrite").format("parquet")
     if bucket_by is not None:

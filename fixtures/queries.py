@@ -59,12 +59,12 @@ def _query(build: Callable[[ClinicalViews], DataFrame]):
 def study_inputs(v: ClinicalViews) -> StudyInputs:
     return StudyInputs(
         person=v.person,
-        visits=v.visit_occurrence,
-        adt=v.adt_occurrence,
-        conditions=v.condition_occurrence,
-        procedures=v.procedure_occurrence,
-        labs=v.measurement_labs,
-        drugs=v.drug_exposure,
+        visits=v.visits,
+        adt=v.adt,
+        conditions=v.conditions,
+        procedures=v.procedures,
+        labs=v.labs,
+        drugs=v.drugs,
         sepsis_codes=v.dx_sepsis,
         culture_px_codes=v.px_blood_culture,
         culture_lab_codes=v.lab_blood_culture,
@@ -91,17 +91,17 @@ def latest_visit_by_site_(v):
 
 @_query
 def index_events_(v):
-    return index_events(v.adt_occurrence, v.visit_occurrence, v.person)
+    return index_events(v.adt_occurrence, v.visits, v.person)
 
 
 @_query
 def icu_cohort_adt_(v):
-    return icu_cohort_adt(v.adt_occurrence, v.person, INDEX_RANGE)
+    return icu_cohort_adt(v.adt, v.person, INDEX_RANGE)
 
 
 @_query
 def icu_cohort_visit_(v):
-    return icu_cohort_visit(v.adt_occurrence, v.visit_occurrence, v.person, INDEX_RANGE)
+    return icu_cohort_visit(v.adt, v.visits, v.person, INDEX_RANGE)
 
 
 @_query
@@ -111,12 +111,12 @@ def icu_admits_(v):
 
 @_query
 def patient_count(v):
-    return count_patients(v.adt_occurrence.where(F.col("service_concept_id") == ICU_SERVICE))
+    return count_patients(v.adt.where(F.col("service_concept_id") == ICU_SERVICE))
 
 
 @_query
 def person_site_lookup(v):
-    cohort = icu_cohort_adt(v.adt_occurrence, v.person, INDEX_RANGE)
+    cohort = icu_cohort_adt(v.adt, v.person, INDEX_RANGE)
     return add_site(cohort.select("person_id").distinct(), v.person)
 
 
@@ -126,7 +126,7 @@ def person_site_lookup(v):
 def _condition(v, by: str, days: int = DAYS) -> DataFrame:
     cohort = sepsis.index_cohort(study_inputs(v), by)
     return condition_near_index(
-        v.dx_sepsis, cohort, by, days, days, v.condition_occurrence, INDEX_RANGE
+        v.dx_sepsis, cohort, by, days, days, v.conditions, INDEX_RANGE
     )
 
 
@@ -217,7 +217,7 @@ def demographic_summary_(v):
 @_query
 def demographic_summary_by_index(v):
     """Several rows per person: the total counts persons, the categories rows."""
-    cohort = icu_cohort_adt(v.adt_occurrence, v.person, INDEX_RANGE)
+    cohort = icu_cohort_adt(v.adt, v.person, INDEX_RANGE)
     return demographic_summary(demographics(cohort, "adt_date", v.person))
 
 
@@ -397,7 +397,7 @@ def search_availability_by_site(v):
 @_query
 def observed_concepts(v):
     found = availability.concept_search(v.concept, ["red|blue", "widget|ring"])
-    return availability.observed_concepts(v.measurement_labs, "measurement_concept_id", found)
+    return availability.observed_concepts(v.labs, "measurement_concept_id", found)
 
 
 # linked visits
@@ -466,13 +466,13 @@ def same_visit_phenotype(v):
 
 @_query
 def adt_tie_guard(v):
-    return max_records_per_instant(v.adt_occurrence)
+    return max_records_per_instant(v.adt)
 
 
 @_query
 def adt_episodes_(v):
     service = v.adt_occurrence.where(F.col("service_concept_id") == ICU_SERVICE)
-    return adt_episodes(service, v.visit_occurrence)
+    return adt_episodes(service, v.visits)
 
 
 @_query
@@ -513,8 +513,8 @@ def source_code_anti_join(v):
 
 @_query
 def interval_join(v):
-    cohort = icu_cohort_adt(v.adt_occurrence, v.person, INDEX_RANGE)
-    coded = codes.match_codes(v.condition_occurrence, "condition_concept_id", v.dx_sepsis)
+    cohort = icu_cohort_adt(v.adt, v.person, INDEX_RANGE)
+    coded = codes.match_codes(v.conditions, "condition_concept_id", v.dx_sepsis)
     return near_index(coded, "condition_start_date", cohort, "adt_date", 2, 5, INDEX_RANGE).select(
         "condition_occurrence_id", "person_id", "condition_start_date", "adt_date"
     )
@@ -545,7 +545,7 @@ def day_bucket_join(v):
     inputs = study_inputs(v)
     coded = Criterion(
         "coded",
-        EventSource(v.condition_occurrence, "condition_start_date", ("condition_concept_id",)),
+        EventSource(v.conditions, "condition_start_date", ("condition_concept_id",)),
         v.dx_sepsis,
     )
     return criteria_by_index(
@@ -570,7 +570,7 @@ def union_distinct_by_name(v):
 
 def _by_race(v, sex: str) -> DataFrame:
     cohort = demographics(
-        icu_cohort_adt(v.adt_occurrence, v.person, INDEX_RANGE), "adt_date", v.person
+        icu_cohort_adt(v.adt, v.person, INDEX_RANGE), "adt_date", v.person
     )
     return cohort.where(F.col("sex_cat") == sex).groupBy("race_cat2", "eth_cat2").agg(
         F.count("*").alias(f"n_{sex.lower()}")

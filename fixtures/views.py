@@ -122,17 +122,18 @@ class ClinicalViews:
             (user * 100 + F.dayofmonth(ts)).cast("bigint").alias("visit_occurrence_id"),
         )
 
-    @cached_property
-    def _sited_events(self) -> DataFrame:
-        return self._events.join(self.person.select("person_id", "site"), "person_id")
+    def with_site(self, df: DataFrame) -> DataFrame:
+        return df.join(self.person.select("person_id", "site"), "person_id")
 
     def _of_type(self, event_type: str, *columns) -> DataFrame:
-        return self._sited_events.where(F.col("event_type") == event_type).select(*columns)
+        return self._events.where(F.col("event_type") == event_type).select(*columns)
+
+    # Every event is a customer's, so the site can be looked up late, or not at
+    # all where nothing asks for it: the short names are without it.
 
     @cached_property
-    def visit_occurrence(self) -> DataFrame:
-        return self._sited_events.groupBy("visit_occurrence_id", "person_id").agg(
-            F.min("site").alias("site"),
+    def visits(self) -> DataFrame:
+        return self._events.groupBy("visit_occurrence_id", "person_id").agg(
             F.min("d").alias("visit_start_date"),
             F.max("d").alias("visit_end_date"),
             F.min("ts").alias("visit_start_datetime"),
@@ -140,12 +141,15 @@ class ClinicalViews:
         )
 
     @cached_property
-    def adt_occurrence(self) -> DataFrame:
+    def visit_occurrence(self) -> DataFrame:
+        return self.with_site(self.visits)
+
+    @cached_property
+    def adt(self) -> DataFrame:
         service = F.when(F.col("value") >= 20, 2000000078).otherwise(2000000079)
-        return self._sited_events.select(
+        return self._events.select(
             F.col("event_id").alias("adt_occurrence_id"),
             "person_id",
-            "site",
             "visit_occurrence_id",
             F.col("ts").alias("adt_datetime"),
             F.col("d").alias("adt_date"),
@@ -154,50 +158,66 @@ class ClinicalViews:
         )
 
     @cached_property
-    def condition_occurrence(self) -> DataFrame:
+    def adt_occurrence(self) -> DataFrame:
+        return self.with_site(self.adt)
+
+    @cached_property
+    def conditions(self) -> DataFrame:
         return self._of_type(
             "error",
             F.col("event_id").alias("condition_occurrence_id"),
             "person_id",
-            "site",
             F.col("v50").alias("condition_concept_id"),
             F.col("k").alias("condition_source_concept_id"),
             F.col("d").alias("condition_start_date"),
         )
 
     @cached_property
-    def procedure_occurrence(self) -> DataFrame:
+    def condition_occurrence(self) -> DataFrame:
+        return self.with_site(self.conditions)
+
+    @cached_property
+    def procedures(self) -> DataFrame:
         return self._of_type(
             "purchase",
             F.col("event_id").alias("procedure_occurrence_id"),
             "person_id",
-            "site",
             F.col("k").alias("procedure_concept_id"),
             F.col("d").alias("procedure_date"),
         )
 
     @cached_property
-    def measurement_labs(self) -> DataFrame:
+    def procedure_occurrence(self) -> DataFrame:
+        return self.with_site(self.procedures)
+
+    @cached_property
+    def labs(self) -> DataFrame:
         return self._of_type(
             "click",
             F.col("event_id").alias("measurement_id"),
             "person_id",
-            "site",
             F.col("k").alias("measurement_concept_id"),
             F.col("d").alias("measurement_date"),
         )
 
     @cached_property
-    def drug_exposure(self) -> DataFrame:
+    def measurement_labs(self) -> DataFrame:
+        return self.with_site(self.labs)
+
+    @cached_property
+    def drugs(self) -> DataFrame:
         return self._of_type(
             "view",
             F.col("event_id").alias("drug_exposure_id"),
             "person_id",
-            "site",
             F.col("k").alias("drug_concept_id"),
             F.col("d").alias("drug_exposure_start_date"),
         )
 
+    @cached_property
+    def drug_exposure(self) -> DataFrame:
+        return self.with_site(self.drugs)
+
     @cached_property
     def concept(self) -> DataFrame:
         return self._table("part").select(
