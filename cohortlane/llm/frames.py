@@ -35,3 +35,32 @@ def ship(spark: SparkSession) -> None:
 def words(text: Column) -> Column:
     """Array of the words of a text; empty for NULL."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), WORD_GAP), "")
+
+
+def prefix_sums(values: Column, chunk: int = 256) -> Column:
+    """Exclusive running sums of an array of longs.
+
+    Sums are built chunk by chunk and shifted by the chunks before, so that a
+    row with very many values does not copy a long array once for each.
+    """
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<long>").alias("out"))
+
+    def step(size):
+        return lambda state, x: F.struct(
+            (state["at"] + size(x)).alias("at"),
+            F.concat(state["out"], F.array(state["at"])).alias("out"),
+        )
+
+    last = F.floor((F.size(values) - 1) / chunk).cast("int")
+    chunks = F.transform(F.sequence(F.lit(0), last), lambda c: F.slice(values, c * chunk + 1, chunk))
+    sums = F.transform(chunks, lambda part: F.aggregate(part, start, step(lambda x: x)))
+    shifted = let(
+        sums,
+        lambda s: let(
+            F.aggregate(s, start, step(lambda x: x["at"]))["out"],
+            lambda base: F.flatten(
+                F.transform(s, lambda part, k: F.transform(part["out"], lambda x: x + F.get(base, k)))
+            ),
+        ),
+    )
+    return F.when(F.size(values) > 0, shifted).otherwise(F.array().cast("array<long>"))

@@ -5,20 +5,34 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cohortlane.llm import quality_rules
+from cohortlane.llm import quality_rules, secrets
 from cohortlane.llm.frames import read_table, ship
 from cohortlane.llm.oracle import ORACLES
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets.find_secrets(docs)
+    counts = [secrets.count_kind(F.col("spans"), k).alias(f"n_{name}") for k, name in enumerate(secrets.KINDS)]
+    return found.select(
+        "doc_id",
+        *counts,
+        F.sha2(secrets.joined(F.col("base")), 256).alias("base_sha256"),
+        secrets.joined(F.col("spans")).alias("spans"),
+    )
+
+
 def op7_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality_rules.clean_lines(docs).drop("text", "cleaned")
 
 
 QUERIES: dict[str, Query] = {
+    "op4_secrets": op4_secrets,
     "op7_line_rules": op7_line_rules,
 }
 
