@@ -47,4 +47,26 @@ SELECT *, (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed,
 FROM figures
 """
 
-ORACLES: dict[str, str] = {"op7_line_rules": OP7}
+_CONTROLS = ("<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>",
+             "<|im_start|>", "<|im_sep|>", "<|im_end|>", "<|endoftext|>")
+
+
+def _escaped_chars(column: str) -> str:
+    broken = " + ".join(f"(length({column}) - length(replace({column}, '{c}', ''))) // {len(c)}" for c in _CONTROLS)
+    return f"length({column}) + length({column}) - length(replace({column}, chr(92), '')) + {broken}"
+
+
+OP1 = f"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]'))
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum({_escaped_chars("role")} + {_escaped_chars("text")} + 33)::BIGINT AS formatted_chars
+FROM c GROUP BY conv_id
+"""
+
+ORACLES: dict[str, str] = {"op1_chat": OP1, "op7_line_rules": OP7}
