@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlane.llm import chat, quality_rules, secrets
+from cohortlane.llm import chat, pii, quality_rules, secrets
 from cohortlane.llm.frames import read_table, ship
 from cohortlane.llm.oracle import ORACLES
 
@@ -46,10 +46,24 @@ def op7_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.clean_lines(docs).drop("text", "cleaned")
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    found = pii.find_pii(read_table(spark, sf_dir, "documents"))
+    counts = [secrets.count_kind(F.col("spans"), k).alias(f"n_{name}") for k, name in enumerate(pii.KINDS)]
+    return found.select(
+        "doc_id",
+        *counts,
+        F.sha2(secrets.joined(F.col("base"), pii.KINDS), 256).alias("base_sha256"),
+        secrets.joined(F.col("spans"), pii.KINDS).alias("spans"),
+        (F.size("spans") - F.size("base")).cast("long").alias("n_disguised"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_chat": op1_chat,
     "op4_secrets": op4_secrets,
     "op7_line_rules": op7_line_rules,
+    "op10_pii": op10_pii,
 }
 
 
