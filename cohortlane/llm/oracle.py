@@ -69,4 +69,33 @@ SELECT conv_id, count(*) AS n_turns,
 FROM c GROUP BY conv_id
 """
 
-ORACLES: dict[str, str] = {"op1_chat": OP1, "op7_line_rules": OP7}
+# Lower-cases A-Z alone, as the contract says.
+_LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS5 = "regexp_extract_all(" + _LOW.format("coalesce(text, '')") + ", '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+OP5 = f"""
+WITH d AS (SELECT doc_id, {_WORDS5} AS ws FROM documents),
+b AS (SELECT item_id, {_WORDS5} AS ws FROM benchmark),
+places AS (SELECT item_id, ws, unnest(range(1, greatest(2, len(ws) - 11))) AS i FROM b WHERE len(ws) > 0),
+windows AS (SELECT DISTINCT item_id, list_slice(ws, i, i + 12) AS g, least(13, len(ws)) AS n FROM places),
+spread AS (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM d),
+pieces AS (
+  SELECT doc_id, i, n, list_slice(ws, i, i + n - 1) AS g
+  FROM spread, (SELECT DISTINCT n FROM windows) WHERE i + n - 1 <= len(ws)
+),
+hits AS (SELECT doc_id, i, item_id, windows.n FROM pieces JOIN windows ON pieces.g = windows.g AND pieces.n = windows.n),
+words AS (
+  SELECT doc_id, count(DISTINCT i + k) AS n_hit
+  FROM (SELECT DISTINCT doc_id, i, n FROM hits), (SELECT unnest(range(0, 13)) AS k) WHERE k < n GROUP BY doc_id
+),
+items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hits) GROUP BY doc_id
+)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
+  coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+ORACLES: dict[str, str] = {"op5_decontaminate": OP5, "op1_chat": OP1, "op7_line_rules": OP7}

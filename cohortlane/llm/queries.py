@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlane.llm import chat, pii, quality_rules, secrets
+from cohortlane.llm import chat, decontaminate, pii, quality_rules, secrets
 from cohortlane.llm.frames import read_table, ship
 from cohortlane.llm.oracle import ORACLES
 
@@ -41,6 +41,20 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    hits = decontaminate.benchmark_hits(docs, read_table(spark, sf_dir, "benchmark"), drop=("text",))
+    return hits.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", F.sort_array("items")), 256).alias("items_sha256"),
+        "contaminated",
+    )
+
+
 def op7_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality_rules.clean_lines(docs).drop("text", "cleaned")
@@ -62,6 +76,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_chat": op1_chat,
     "op4_secrets": op4_secrets,
+    "op5_decontaminate": op5_decontaminate,
     "op7_line_rules": op7_line_rules,
     "op10_pii": op10_pii,
 }
