@@ -98,4 +98,22 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op5_decontaminate": OP5, "op1_chat": OP1, "op7_line_rules": OP7}
+OP6 = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all({_LOW.format("coalesce(text, '')")}, '[^\\x20\\x09-\\x0D]+') AS ws FROM documents
+), places AS (SELECT doc_id, ws, unnest(range(1, greatest(2, len(ws) - 2))) AS i FROM d WHERE len(ws) > 0),
+grams AS (SELECT DISTINCT doc_id, hash(list_slice(ws, i, i + 3)) AS g FROM places),
+sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n_both FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id < b.doc_id
+  GROUP BY ALL
+), links AS (
+  SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+  WHERE 100 * n_both >= 85 * (x.n + y.n - n_both)
+), ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach(node, other) AS (SELECT a, b FROM ways UNION SELECT node, b FROM reach JOIN ways ON other = a)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(min(other), d.doc_id)) AS component_id
+FROM d LEFT JOIN sizes USING (doc_id) LEFT JOIN reach ON reach.node = d.doc_id GROUP BY ALL
+"""
+
+ORACLES: dict[str, str] = {"op6_jaccard": OP6, "op5_decontaminate": OP5, "op1_chat": OP1, "op7_line_rules": OP7}

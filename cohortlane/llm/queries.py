@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlane.llm import chat, decontaminate, pii, quality_rules, secrets
+from cohortlane.llm import chat, decontaminate, jaccard, pii, quality_rules, secrets
 from cohortlane.llm.frames import read_table, ship
 from cohortlane.llm.oracle import ORACLES
 
@@ -55,6 +55,11 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return jaccard.link_documents(read_table(spark, sf_dir, "documents"))
+
+
 def op7_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality_rules.clean_lines(docs).drop("text", "cleaned")
@@ -77,6 +82,7 @@ QUERIES: dict[str, Query] = {
     "op1_chat": op1_chat,
     "op4_secrets": op4_secrets,
     "op5_decontaminate": op5_decontaminate,
+    "op6_jaccard": op6_jaccard,
     "op7_line_rules": op7_line_rules,
     "op10_pii": op10_pii,
 }
