@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from cohortlane.llm.licenses import LEAD, OPEN, RULES, SENTENCES
 from cohortlane.llm.quality_rules import BOILERPLATE, NAVIGATION
 
 _NAV = ", ".join(f"'{x}'" for x in NAVIGATION)
@@ -117,4 +118,34 @@ SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(
 FROM d LEFT JOIN sizes USING (doc_id) LEFT JOIN lowest ON lowest.node = d.doc_id
 """
 
-ORACLES: dict[str, str] = {"op6_jaccard": OP6, "op5_decontaminate": OP5, "op1_chat": OP1, "op7_line_rules": OP7}
+def _license_rules() -> str:
+    """One step per rule: the text that is left, and the licences so far."""
+    steps = ["r0 AS (SELECT doc_id, ids || ' ' AS seq, []::VARCHAR[] AS names FROM found)"]
+    for i, (name, rule) in enumerate(RULES):
+        words = [f"({w[:-1]} )?" if w.endswith("?") else f"{w} " for w in rule.split()]
+        p = "(^| )" + "".join(words)
+        steps.append(
+            f"r{i + 1} AS MATERIALIZED (SELECT doc_id, regexp_replace(seq, '{p}', ' | ', 'g') AS seq, "
+            f"CASE WHEN regexp_matches(seq, '{p}') AND NOT list_contains(names, '{name}') "
+            f"THEN list_append(names, '{name}') ELSE names END AS names FROM r{i})"
+        )
+    return ",\n".join(steps)
+
+
+_KNOWN = ", ".join(f"('{s}', '{i}')" for s, i in SENTENCES.items())
+_PLAIN = "trim(regexp_replace(replace(lower(s), 'licence', 'license'), '[^a-z0-9.+-]+', ' ', 'g'))"
+_BARE = f"trim(regexp_replace(regexp_replace({_PLAIN}, '([.+-]+( |$))|(^[.+-]+)', ' ', 'g'), ' +', ' ', 'g'))"
+OP8 = f"""
+WITH known(sentence, id) AS (VALUES {_KNOWN}),
+d AS (SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '([.!?])[ \\t]+', '\\1' || chr(10), 'g'), chr(10)) AS ss FROM documents),
+spread AS (SELECT doc_id, unnest(ss) AS s, unnest(range(len(ss))) AS i FROM d),
+named AS (SELECT doc_id, i, id FROM spread JOIN known ON sentence = regexp_replace({_BARE}, '{LEAD}', 'under ')),
+found AS (SELECT doc_id, string_agg(id, ' ' ORDER BY i) AS ids, count(*) AS n FROM named GROUP BY doc_id),
+{_license_rules()}
+SELECT documents.doc_id, coalesce(n, 0)::BIGINT AS n_sentences, coalesce(ids, '') AS sentences,
+  coalesce(array_to_string(names, ','), '') AS licenses,
+  coalesce(len(names) > 0 AND len(list_filter(names, lambda x: x NOT IN ({", ".join(f"'{x}'" for x in OPEN)}))) = 0, false) AS open
+FROM documents LEFT JOIN found USING (doc_id) LEFT JOIN r{len(RULES)} USING (doc_id)
+"""
+
+ORACLES: dict[str, str] = {"op8_licenses": OP8, "op6_jaccard": OP6, "op5_decontaminate": OP5, "op1_chat": OP1, "op7_line_rules": OP7}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlane.llm import chat, decontaminate, jaccard, pii, quality_rules, secrets
+from cohortlane.llm import chat, decontaminate, jaccard, licenses, pii, quality_rules, secrets
 from cohortlane.llm.frames import read_table, ship
 from cohortlane.llm.oracle import ORACLES
 
@@ -65,6 +65,17 @@ def op7_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.clean_lines(docs).drop("text", "cleaned")
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.find_licenses(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id",
+        F.size("sentences").cast("long").alias("n_sentences"),
+        F.concat_ws(" ", "sentences").alias("sentences"),
+        F.concat_ws(",", "licenses").alias("licenses"),
+        "open",
+    )
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     found = pii.find_pii(read_table(spark, sf_dir, "documents"))
@@ -84,6 +95,7 @@ QUERIES: dict[str, Query] = {
     "op5_decontaminate": op5_decontaminate,
     "op6_jaccard": op6_jaccard,
     "op7_line_rules": op7_line_rules,
+    "op8_licenses": op8_licenses,
     "op10_pii": op10_pii,
 }
 
