@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlane.llm import chat, decontaminate, jaccard, licenses, pii, quality_rules, secrets
+from cohortlane.llm import chat, decontaminate, jaccard, licenses, packing, pii, quality_rules, secrets
 from cohortlane.llm.frames import read_table, ship
 from cohortlane.llm.oracle import ORACLES
 
@@ -29,6 +29,17 @@ def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(read_table(spark, sf_dir, "conversations").select(*columns).unionByName(probe))
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return packing.pack_documents(read_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     found = secrets.find_secrets(docs)
@@ -91,6 +102,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_chat": op1_chat,
+    "op3_packing": op3_packing,
     "op4_secrets": op4_secrets,
     "op5_decontaminate": op5_decontaminate,
     "op6_jaccard": op6_jaccard,
