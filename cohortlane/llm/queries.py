@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlane.llm import chat, decontaminate, jaccard, licenses, packing, pii, quality_rules, secrets
+from cohortlane.llm import chat, decontaminate, jaccard, licenses, packing, pii, quality_crf, quality_rules, secrets
 from cohortlane.llm.frames import read_table, ship
 from cohortlane.llm.oracle import ORACLES
 
@@ -29,6 +29,20 @@ def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(read_table(spark, sf_dir, "conversations").select(*columns).unionByName(probe))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    docs = read_table(spark, sf_dir, "documents")
+    model = quality_crf.fit(docs, read_table(spark, sf_dir, "labels"))
+    scored = quality_crf.score_documents(docs, model)
+    return scored.select(
+        "doc_id",
+        quality_crf.held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+        "n_lines",
+    )
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -102,6 +116,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_chat": op1_chat,
+    "op2_quality": op2_quality,
     "op3_packing": op3_packing,
     "op4_secrets": op4_secrets,
     "op5_decontaminate": op5_decontaminate,
