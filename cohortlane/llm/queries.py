@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlane.llm import chat, decontaminate, jaccard, licenses, packing, pii, quality_crf, quality_rules, secrets
+from cohortlane.llm import chat, decontaminate, jaccard, licenses, lm_score, packing, pii, quality_crf, quality_rules, secrets
 from cohortlane.llm.frames import read_table, ship
 from cohortlane.llm.oracle import ORACLES
 
@@ -101,6 +101,23 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = lm_score.held_out(F.col("doc_id"))
+    model, counts = lm_score.fit(docs.where(~out))
+    scored = lm_score.score_documents(docs, model, counts)
+    return scored.select(
+        "doc_id",
+        out.alias("held_out"),
+        "n_tokens",
+        "n_known",
+        F.lit(model.tokens).cast("long").alias("train_tokens"),
+        "base_score",
+        "score",
+    )
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     found = pii.find_pii(read_table(spark, sf_dir, "documents"))
@@ -123,6 +140,7 @@ QUERIES: dict[str, Query] = {
     "op6_jaccard": op6_jaccard,
     "op7_line_rules": op7_line_rules,
     "op8_licenses": op8_licenses,
+    "op9_lm": op9_lm,
     "op10_pii": op10_pii,
 }
 
