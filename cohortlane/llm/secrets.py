@@ -191,10 +191,12 @@ def _band(length: Column, battery: Battery) -> Column:
     return band
 
 
-def candidates(docs: DataFrame, battery: Battery = Battery(), text: str = "text") -> DataFrame:
+def candidates(
+    docs: DataFrame, battery: Battery = Battery(), text: str = "text", with_text: bool = False
+) -> DataFrame:
     """Adds ``_base``, the kept base spans, and ``_tested``, other candidates with stratum and p-value bin."""
     body = F.coalesce(F.col(text), F.lit(""))
-    rest = [c for c in docs.columns if c not in ("_base", "_tested", "_wide", text)]
+    rest = [c for c in docs.columns if c not in ("_base", "_tested", "_wide") and (with_text or c != text)]
     base = F.concat(*[_found(body, p, g, n, k) for k, (_, p, g, n) in enumerate(BASE)])
     wide = _found(body, f"[A-Za-z0-9+/_=-]{{{battery.least},}}", 0, battery.least, 3)
     found = docs.select(*[F.col(f"`{c}`") for c in rest], F.sort_array(base).alias("_base"), wide.alias("_wide"))
@@ -256,19 +258,63 @@ def find_secrets(docs: DataFrame, battery: Battery = Battery(), text: str = "tex
     """
     tested = stage(candidates(docs, battery, text), "secrets")
     first = rejected_from(tested, battery.alpha)
-    bound = F.lit(LAST_BIN + 1)
     rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("_base", "_tested", "_wide", text, "base", "spans")]
+    return tested.select(*rest, F.col("_base").alias("base"), _all_spans(first).alias("spans"))
+
+
+def _all_spans(first: dict[str, int]) -> Column:
+    """Base spans and the candidates that no bound of their stratum calls not random."""
 
     def random(x: Column) -> Column:
-        limit = bound
+        limit = F.lit(LAST_BIN + 1)
         for stratum, b in sorted(first.items()):
             limit = F.when(x["stratum"] == stratum, F.lit(b)).otherwise(limit)
         return x["bin"] < limit
 
     added = F.transform(F.filter(F.col("_tested"), random), lambda x: x["span"])
-    return tested.select(
-        *rest, F.col("_base").alias("base"), F.sort_array(F.concat("_base", added)).alias("spans")
-    )
+    return F.sort_array(F.concat("_base", added))
+
+
+def redact(docs: DataFrame, battery: Battery = Battery(), text: str = "text", mark: str = "[SECRET]") -> DataFrame:
+    """Documents with every secret replaced by ``mark``; all rows and columns stay.
+
+    Overlapping secrets become one mark. The false-discovery bound needs the
+    candidates of all documents, so texts are scanned twice instead of being
+    stored or joined.
+    """
+    names = [f"_c{i}" for i in range(len(docs.columns))]
+    plain, body = docs.toDF(*names), f"_c{docs.columns.index(text)}"
+    first = rejected_from(candidates(plain.select(body), battery, body), battery.alpha)
+    found = candidates(plain, battery, body, with_text=True).withColumn("_spans", _all_spans(first))
+
+    def rebuilt(spans: Column) -> Column:
+        # where the text before a span starts: after all spans before it
+        ends = F.transform(
+            spans, lambda s, i: F.coalesce(F.array_max(F.transform(F.slice(spans, 1, i), lambda x: x["end"])), F.lit(0).cast("long"))
+        )
+        return let(
+            ends,
+            lambda end: F.concat(
+                F.concat_ws(
+                    "",
+                    F.transform(
+                        spans,
+                        lambda s, i: F.when(
+                            s["start"] < F.get(end, i), F.lit("")
+                        ).otherwise(
+                            F.concat(
+                                F.substr(F.col(body), (F.get(end, i) + 1).cast("int"), (s["start"] - F.get(end, i)).cast("int")),
+                                F.lit(mark),
+                            )
+                        ),
+                    ),
+                ),
+                F.substr(F.col(body), (F.array_max(F.transform(spans, lambda x: x["end"])) + 1).cast("int")),
+            ),
+        )
+
+    clean = F.when(F.size("_spans") > 0, let(F.col("_spans"), rebuilt)).otherwise(F.col(body))
+    return found.withColumn(body, clean).select(*names).toDF(*docs.columns)
 
 
 def joined(spans: Column, kinds: tuple[str, ...] = KINDS) -> Column:
