@@ -4,8 +4,10 @@ import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
 from compare import duckdb_connection, duckdb_rows, spark_rows
+from fixtures.oracle import all_oracles
+from fixtures.queries import all_queries
 
-QUERIES, ORACLES = queries(), oracle_sql()
+QUERIES, ORACLES = all_queries(), all_oracles()
 SPARK_TO_SQL = {
     "bigint": "BIGINT",
     "int": "INTEGER",
@@ -23,6 +25,7 @@ def con(sf_dir):
 
 def test_every_query_has_a_twin():
     assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(queries()) and set(ORACLES) <= set(oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
