@@ -34,6 +34,8 @@ _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(
 #: A run longer than this is compared block by block.
 BLOCK = 4096
 BITMAP_BITS = 22
+#: Bits of the long sketch per shingle of difference: sets that pass it hardly ever fail to link.
+LONG = 16
 
 
 @dataclass(frozen=True)
@@ -104,9 +106,9 @@ def cells(hashes: np.ndarray, group: int, limit: int) -> np.ndarray:
     return mix(parity ^ mix(which.astype(np.uint64) + (np.uint64(group) << np.uint64(40))))
 
 
-def sketch(hashes: np.ndarray, limit: int) -> np.ndarray:
-    """Parity sketch of about four bits per shingle of difference; a power of two, so that longer ones fold."""
-    bits = max(64, 1 << (4 * limit - 1).bit_length() if limit else 64)
+def sketch(hashes: np.ndarray, limit: int, per: int = 4) -> np.ndarray:
+    """Parity sketch of about ``per`` bits per shingle of difference; a power of two, so that longer ones fold."""
+    bits = max(64, 1 << (per * limit - 1).bit_length() if limit else 64)
     odd = np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
 
@@ -119,14 +121,14 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def _describe(join: Join):
-    """Rows (doc_id, n, h1, h2, keys, sketch); a set that the task has seen has no keys."""
+    """Rows (doc_id, n, h1, h2, keys, short, long): long and short sketch; a set that the task has seen has no keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, last = join.bands(1 << 12)
         seen: set[tuple[int, int]] = set()
         for batch in batches:
             for part in (batch.slice(at, 512) for at in range(0, batch.num_rows, 512)):
-                n, h1, h2, keys, sketches = [], [], [], [], []
+                n, h1, h2, keys, short, long = [], [], [], [], [], []
                 for text in part.column(1):
                     s = shingles(text.as_py(), join.size)
                     a = int(np.bitwise_xor.reduce(mix(s))) if len(s) else 0
@@ -136,7 +138,8 @@ def _describe(join: Join):
                     h2.append(b)
                     if not len(s) or (a, b) in seen:
                         keys.append(None)
-                        sketches.append(None)
+                        short.append(None)
+                        long.append(None)
                         continue
                     seen.add((a, b))
                     while len(s) > last[-2]:
@@ -144,7 +147,8 @@ def _describe(join: Join):
                     k = int(np.searchsorted(last, len(s)))
                     limits = [join.apart(2 * int(last[g])) for g in (k, k + 1)]
                     keys.append(np.concatenate([cells(s, g, x) for g, x in zip((k, k + 1), limits)]).view(np.int64))
-                    sketches.append(sketch(s, limits[1]).tobytes())
+                    short.append(sketch(s, limits[1]).tobytes())
+                    long.append(sketch(s, limits[1], LONG).tobytes())
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),
@@ -152,9 +156,10 @@ def _describe(join: Join):
                         _signed(np.array(h1, np.uint64)),
                         _signed(np.array(h2, np.uint64)),
                         pa.array(keys, pa.list_(pa.int64())),
-                        pa.array(sketches, pa.binary()),
+                        pa.array(short, pa.binary()),
+                        pa.array(long, pa.binary()),
                     ],
-                    names=["doc_id", "n", "h1", "h2", "keys", "sketch"],
+                    names=["doc_id", "n", "h1", "h2", "keys", "short", "long"],
                 )
 
     return run
@@ -363,7 +368,7 @@ def link_documents(docs: DataFrame, join: Join = Join(), text: str = "text") ->
     docs = docs.select("doc_id", F.col(text).alias("text"))
     described = stage(
         docs.mapInArrow(
-            _describe(join), "doc_id long, n long, h1 long, h2 long, keys array<bigint>, sketch binary"
+            _describe(join), "doc_id long, n long, h1 long, h2 long, keys array<bigint>, short binary, long binary"
         ),
         "described",
     )
@@ -371,7 +376,10 @@ def link_documents(docs: DataFrame, join: Join = Join(), text: str = "text") ->
     # sets with equal texts are one node, named by its smallest document
     classes = stage(
         solid.groupBy("h1", "h2").agg(
-            F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("sketch", ignorenulls=True).alias("sketch")
+            F.min("doc_id").alias("node"),
+            F.first("n").alias("n"),
+            F.first("short", ignorenulls=True).alias("short"),
+            F.first("long", ignorenulls=True).alias("long"),
         ),
         "classes",
     )
@@ -392,31 +400,31 @@ def link_documents(docs: DataFrame, join: Join = Join(), text: str = "text") ->
         )
     )
     members = stage(
-        spread.join(classes.select("h1", "node", "n", "sketch"), "h1").select(
-            "key", "low", "high", "block", "node", "n", "sketch"
-        ),
-        "members",
+        spread.join(classes.select("h1", "node"), "h1").select("key", "low", "high", "block", "node"), "members"
     )
 
-    def candidates(labelled: DataFrame, rest: bool) -> DataFrame:
+    def candidates(labelled: DataFrame, kind: str, rest: bool) -> DataFrame:
         order = ("key", "low", "high", "block", "node")
         found = (
-            labelled.repartition("key", "low", "high")
+            labelled.join(classes.select("node", "n", F.col(kind).alias("sketch")), "node")
+            .repartition("key", "low", "high")
             .sortWithinPartitions(*order)
             .select(*order, "n", "sketch", "label")
             .mapInArrow(_compare(join, rest), "a long, b long")
         )
         return stage(found.distinct(), "pairs")
 
-    links = _verified(candidates(members.withColumn("label", F.col("node")), False), docs, join)
+    links = _verified(candidates(members.withColumn("label", F.col("node")), "short", False), docs, join)
     links = stage(links, "verified")
     known = components(links)
     labelled = members.join(known, "node", "left").withColumn(
         "label", F.coalesce("component", "node")
     )
-    # a run within one component has nothing left to compare
+    # a run within one component has nothing left to compare; the long sketch
+    # keeps pairs that don't quite link from coming out of every run they share
     open_runs = labelled.groupBy("key").agg(F.min("label").alias("one"), F.max("label").alias("two")).where("one <> two")
-    more = _verified(candidates(labelled.join(open_runs.select("key"), "key", "left_semi"), True), docs, join)
+    open_members = labelled.join(open_runs.select("key"), "key", "left_semi")
+    more = _verified(candidates(open_members, "long", True), docs, join)
     final = components(links.unionByName(more))
     named = (
         described.select("doc_id", "n", "h1", "h2")
