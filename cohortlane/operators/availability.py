@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlane.functions.text import name_matches
-from cohortlane.operators.codes import is_small, join_codes
+from cohortlane.operators.codes import Codes, frame_of, join_codes
 
 
 def concept_search(
@@ -34,24 +34,22 @@ def search_topics(
     return concepts.select(F.explode(found).alias("topic"), "concept_id")
 
 
-def topic_codes(codes_by_topic: Mapping[str, DataFrame]) -> DataFrame:
+def topic_codes(codes_by_topic: Mapping[str, Codes]) -> DataFrame:
     """(topic, concept_id) of several code sets."""
     return reduce(DataFrame.unionByName, [
-        codes.select(F.lit(topic).alias("topic"), "concept_id")
+        frame_of(codes).select(F.lit(topic).alias("topic"), "concept_id")
         for topic, codes in codes_by_topic.items()
     ])
 
 
-def availability_by_site(events: DataFrame, concept_col: str, topics: DataFrame) -> DataFrame:
+def availability_by_site(events: DataFrame, concept_col: str, topics: Codes) -> DataFrame:
     """Event rows per topic and site: one scan for all topics."""
     listed = (
-        topics.where(F.col("concept_id").isNotNull())
+        frame_of(topics).where(F.col("concept_id").isNotNull())
         .select("topic", F.col("concept_id").alias("_code"))
         .distinct()
     )
-    matched = join_codes(
-        events.select("site", concept_col), concept_col, listed, "inner", is_small(topics)
-    )
+    matched = join_codes(events.select("site", concept_col), concept_col, listed, "inner", [topics])
     return matched.groupBy("topic", "site").agg(F.count("*").alias("n"))
 
 
@@ -62,3 +60,17 @@ def observed_concepts(events: DataFrame, concept_col: str, concepts: DataFrame)
     """
     seen = events.select(F.col(concept_col).alias("concept_id")).distinct()
     return concepts.join(seen, "concept_id", "left_semi")
+
+
+def observed_concepts_by_topic(
+    events: DataFrame,
+    concept_col: str,
+    concepts: DataFrame,
+    searches: Mapping[str, tuple[Iterable[str], Iterable[str]]],
+) -> DataFrame:
+    """(topic, concept columns) of the found concepts that occur in the events.
+
+    One scan of the events and one of the vocabulary for all topics.
+    """
+    topics = search_topics(concepts, searches).distinct()
+    return observed_concepts(events, concept_col, concepts.join(topics, "concept_id"))

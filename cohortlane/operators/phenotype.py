@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlane.functions.dates import as_date
-from cohortlane.operators.codes import has_tag, is_small, tag_events
+from cohortlane.operators.codes import Codes, has_tag, tag_events
 from cohortlane.operators.proximity import (
     DateRange,
     date_filter,
@@ -25,23 +25,22 @@ class EventSource:
     """An event table and the columns criteria look at.
 
     Several concept columns mean "this code or that one", as with standard and
-    source condition codes. Criteria sharing a source share one scan of it.
+    source condition codes. Criteria with the same table and columns share one scan.
     """
 
     events: DataFrame
     date_col: str
     concept_cols: tuple[str, ...]
 
+    def key(self) -> tuple:
+        return id(self.events), self.date_col, self.concept_cols
+
 
 @dataclass(frozen=True, eq=False)
 class Criterion:
     name: str
     source: EventSource
-    codes: DataFrame
-
-
-# Most persons a filter on cohort members is broadcast for (ids only).
-BROADCAST_PERSONS = 2_000_000
+    codes: Codes
 
 
 def _matches(
@@ -51,24 +50,21 @@ def _matches(
 
     The per-day aggregate runs before any join with a cohort: partial results
     are combined before the shuffle, and a person with very many events shrinks
-    to one row per day. ``members`` are broadcast to drop other persons' events
-    before that shuffle.
+    to one row per day. ``members`` drop other persons' events first: a semi join
+    that Spark broadcasts or shuffles as their size has it.
     """
-    sources = {id(c.source): c.source for c in criteria}
-    all_codes = reduce(DataFrame.union, [c.codes.select("concept_id") for c in criteria])
-    small = is_small(all_codes)
+    sources = {c.source.key(): c.source for c in criteria}
     per_source = []
     for key, source in sources.items():
         # a criterion's bit is its position among all criteria
-        codes = {bit: c.codes for bit, c in enumerate(criteria) if id(c.source) == key}
+        codes = {bit: c.codes for bit, c in enumerate(criteria) if c.source.key() == key}
         tagged = tag_events(
             date_filter(source.events, source.date_col, between),
             source.concept_cols,
             codes,
-            small,
         )
         if members is not None:
-            tagged = tagged.join(F.broadcast(members), "person_id", "left_semi")
+            tagged = tagged.join(members, "person_id", "left_semi")
         per_source.append(
             tagged.select("person_id", as_date(source.date_col).alias("event_date"), "_tags")
         )
@@ -89,32 +85,37 @@ def criteria_by_index(
     keep_unmatched: bool = False,
     day_buckets: bool = False,
     stored_cohort: bool = False,
+    by: Sequence[str] = (),
 ) -> DataFrame:
     """Per person and index date: one flag per criterion met in the window.
 
     Index dates without any match are left out unless ``keep_unmatched``.
     ``stored_cohort=True`` says that the cohort is a stored table, so that
-    counting its persons is cheap: if they are few enough, events of everybody
-    else are dropped right after the scan instead of in the join.
+    reading it twice is cheap: events of everybody else are dropped right after
+    the scan instead of in the join. ``by`` are columns of the cohort that tell
+    several index definitions apart; all are evaluated with one look at the events.
+
+    The join and the aggregates are by person. A person with very many events or
+    index dates has one row per day on either side; to split the join of such a
+    person the session needs adaptive skew-join handling (``SESSION_SETTINGS``).
     """
     between = reachable(index_between, days_pre, days_post) if index_between else None
     members = None
     if stored_cohort:
-        persons = cohort.select("person_id").distinct()
-        members = persons if is_small(persons, BROADCAST_PERSONS) else None
+        members = cohort.select("person_id").distinct()
     joined = join_near(
-        index_dates(cohort, date_col),
+        index_dates(cohort, date_col, by),
         _matches(criteria, between, members),
         days_pre,
         days_post,
         how="left" if keep_unmatched else "inner",
         day_buckets=day_buckets,
     )
-    met = joined.groupBy("person_id", "index_date").agg(
+    met = joined.groupBy("person_id", *by, "index_date").agg(
         F.coalesce(F.bit_or("_tags"), F.lit(0)).alias("_tags")
     )
     flags = [has_tag(bit).alias(c.name) for bit, c in enumerate(criteria)]
-    return met.select("person_id", F.col("index_date").alias(date_col), *flags)
+    return met.select("person_id", *by, F.col("index_date").alias(date_col), *flags)
 
 
 def _rule(rule: str | Column) -> Column:
@@ -122,7 +123,7 @@ def _rule(rule: str | Column) -> Column:
 
 
 def phenotypes_by_person(
-    by_index: DataFrame, date_col: str, rules: Mapping[str, str | Column]
+    by_index: DataFrame, date_col: str, rules: Mapping[str, str | Column], by: Sequence[str] = ()
 ) -> DataFrame:
     """Per person and rule: first, last and number of index dates that meet it.
 
@@ -137,7 +138,7 @@ def phenotypes_by_person(
             F.max(day).alias(f"{name}_max_date"),
             F.count(day).alias(f"{name}_n_dates"),
         ]
-    return by_index.groupBy("person_id").agg(*aggregates)
+    return by_index.groupBy("person_id", *by).agg(*aggregates)
 
 
 def phenotype_near_index(
@@ -167,7 +168,7 @@ def phenotype_near_index(
 
 
 def condition_near_index(
-    codes: DataFrame,
+    codes: Codes,
     cohort: DataFrame,
     date_col: str,
     days_pre: int,

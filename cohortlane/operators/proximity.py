@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame
@@ -26,9 +27,9 @@ def date_filter(df: DataFrame, date_col: str, between: DateRange | None) -> Data
     return df.where(as_date(date_col).between(F.lit(between[0]), F.lit(between[1])))
 
 
-def index_dates(cohort: DataFrame, date_col: str) -> DataFrame:
-    """Distinct (person_id, index_date)."""
-    return cohort.select("person_id", as_date(date_col).alias("index_date")).distinct()
+def index_dates(cohort: DataFrame, date_col: str, by: Sequence[str] = ()) -> DataFrame:
+    """Distinct (person_id, index_date), with the columns ``by``."""
+    return cohort.select("person_id", *by, as_date(date_col).alias("index_date")).distinct()
 
 
 def join_near(

@@ -255,12 +255,16 @@ def test_stored_cohort_gives_the_same(make, monkeypatch, limit):
         assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, reduced.collect()))
 
 
-def test_hot_concept_beyond_the_broadcast_limit(make, spark, monkeypatch):
+def large(codes):
+    """A code set as if it were too large to broadcast."""
+    return code_ops.CodeSet(codes, rows=10**9, bytes=10**11, spread=16)
+
+
+def test_hot_concept_beyond_the_broadcast_limit(make, spark):
     """A concept with a third of all events is spread over partitions."""
     rows = [(n, 0 if n % 3 == 0 else n, D0) for n in range(6000)]
     events, wanted = make.events(*rows), make.codes(*range(0, 6000, 2))
     small = code_ops.tag_events(events, ("concept_id_",), {0: wanted, 3: make.codes(0)}).collect()
-    monkeypatch.setattr(code_ops, "is_small", lambda df, max_rows=0: False)
     settings = {
         "spark.sql.autoBroadcastJoinThreshold": "-1",
         "spark.sql.adaptive.coalescePartitions.enabled": "false",
@@ -269,10 +273,12 @@ def test_hot_concept_beyond_the_broadcast_limit(make, spark, monkeypatch):
     for k, v in settings.items():
         spark.conf.set(k, v)
     try:
-        large = code_ops.tag_events(events, ("concept_id_",), {0: wanted, 3: make.codes(0)})
-        hot = large.where("concept_id_ = 0").groupBy(F.spark_partition_id()).count().count()
-        found = large.collect()
-        twice = code_ops.tag_events(events, ("concept_id_", "person_id"), {0: wanted}).collect()
+        tagged = code_ops.tag_events(
+            events, ("concept_id_",), {0: large(wanted), 3: large(make.codes(0))}
+        )
+        hot = tagged.where("concept_id_ = 0").groupBy(F.spark_partition_id()).count().count()
+        found = tagged.collect()
+        twice = code_ops.tag_events(events, ("concept_id_", "person_id"), {0: large(wanted)}).collect()
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
@@ -281,21 +287,24 @@ def test_hot_concept_beyond_the_broadcast_limit(make, spark, monkeypatch):
     assert len(twice) == sum(c % 2 == 0 or p % 2 == 0 for p, c, _ in rows)
 
 
-def test_large_code_sets_are_not_broadcast(make, monkeypatch, spark):
+def test_only_checked_small_code_sets_are_hinted(make):
     events = make.events(*[(n, n % 7, D0) for n in range(100)])
-    small = code_ops.match_codes(events, "concept_id_", make.codes(1, 2))
-    monkeypatch.setattr(code_ops, "is_small", lambda df, max_rows=0: False)
-    large = code_ops.match_codes(events, "concept_id_", make.codes(1, 2))
+    codes = make.codes(1, 2)
+    small = code_ops.match_codes(events, "concept_id_", code_ops.CodeSet.checked(codes))
+    others = [code_ops.match_codes(events, "concept_id_", c) for c in (codes, large(codes))]
     hinted = "strategy=broadcast"
     assert hinted in small._jdf.queryExecution().optimizedPlan().toString().lower()
-    assert hinted not in large._jdf.queryExecution().optimizedPlan().toString().lower()
-    assert sorted(map(tuple, small.collect())) == sorted(map(tuple, large.collect()))
+    for other in others:
+        assert hinted not in other._jdf.queryExecution().optimizedPlan().toString().lower()
+        assert sorted(map(tuple, small.collect())) == sorted(map(tuple, other.collect()))
 
 
-def test_size_check(make):
-    codes = make.codes(*range(10))
-    assert code_ops.is_small(codes, 10)
-    assert not code_ops.is_small(codes, 9)
+def test_size_check(make, spark):
+    checked = code_ops.CodeSet.checked(make.codes(*range(10)))
+    assert checked.rows == 10 and checked.small
+    wide = spark.range(3).selectExpr("id as concept_id", "repeat('x', 30000000) as note")
+    assert not code_ops.CodeSet.checked(wide).small
+    assert code_ops.CodeSet.checked(make.codes(1).limit(0)).bytes == 0
 
 
 def test_at_most_63_code_sets(make):
