@@ -41,9 +41,10 @@ SESSION_SETTINGS: dict[str, str] = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
 }
 
-# What to add on a cluster. Shuffles start out finely divided and adaptive
-# execution joins partitions up to the advisory size, so that a partition fits
-# the memory of a task at any scale; also name a shared spark.checkpoint.dir.
+# What to add on a cluster for about 2 TB per shuffle: 20,000 partitions of about
+# 100 MB. Adaptive execution merges partitions that turn out smaller, but doesn't split
+# larger ones (except of skewed joins): set the number to the largest shuffle's
+# size divided by the advisory size. Also name a shared spark.checkpoint.dir.
 CLUSTER_SETTINGS: dict[str, str] = {
     **SESSION_SETTINGS,
     "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "20000",

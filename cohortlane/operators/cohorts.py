@@ -49,13 +49,26 @@ def icu_admits(
 def index_events(
     adt: DataFrame, visits: DataFrame, person: DataFrame, service: int = ICU_SERVICE
 ) -> DataFrame:
-    """Records of one service with their visit's dates and the person's birth date."""
+    """Records of one service with their visit's dates and the person's birth date.
+
+    Records without a visit would all meet in one NULL key, so each gets a key
+    of its own that no visit has.
+    """
+    records = adt.where(F.col("service_concept_id") == service)
+    times = visits.select(
+        F.col("visit_occurrence_id").alias("_visit"), "visit_start_date", "visit_end_date"
+    )
+    dealt = F.coalesce(F.col("visit_occurrence_id"), -F.abs(F.xxhash64(*records.columns)) - 1)
+    # ids are not negative; a NULL one must not find a visit whatever its key
+    found = (dealt == F.col("_visit")) & F.col("visit_occurrence_id").isNotNull()
     return (
-        adt.where(F.col("service_concept_id") == service)
-        .join(
-            visits.select("visit_occurrence_id", "visit_start_date", "visit_end_date"),
+        records.join(times, found, "left")
+        .drop("_visit")
+        .select(
             "visit_occurrence_id",
-            "left",
+            *[c for c in records.columns if c != "visit_occurrence_id"],
+            "visit_start_date",
+            "visit_end_date",
         )
         .join(person.select("person_id", "birth_date"), "person_id", "left")
     )
@@ -142,6 +155,7 @@ def visit_index(
 
 
 def site_subset(df: DataFrame, sites: Sequence[str]) -> DataFrame:
+    """Rows of some sites."""
     return df.where(F.col("site").isin(*sites))
 
 

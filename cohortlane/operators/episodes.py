@@ -52,7 +52,8 @@ def max_records_per_instant(
 ) -> DataFrame:
     """Largest number of start/end (or of other) records of a person at one instant.
 
-    Episodes are well defined only while this is at most 2.
+    Episodes are well defined only while this is at most 2, which
+    ``adt_episodes`` checks.
     """
     return (
         adt.groupBy(
@@ -65,17 +66,32 @@ def max_records_per_instant(
     )
 
 
-def _records(adt: DataFrame, start_types, end_types, ignore_types) -> DataFrame:
-    """Records of each stay, without start/end pairs at one and the same instant."""
-    rows = adt.where(~F.col("adt_type_concept_id").isin(*ignore_types)).select(
+def _records(adt: DataFrame, start_types, end_types, ignore_types, check_ties: bool) -> DataFrame:
+    """Records of each stay, without start/end pairs at one and the same instant.
+
+    ``check_ties`` fails the query if a person has more than two records of one
+    sort at an instant.
+    """
+    rows = adt.select(
         *STAY_KEYS,
         F.col("adt_datetime").alias("_at"),
         F.col("adt_date").alias("_date"),
         F.col("adt_occurrence_id").alias("_id"),
         _kind(start_types, end_types).alias("_kind"),
+        F.col("adt_type_concept_id").isin(*ignore_types).alias("_ignored"),
     )
-    # by instant even where the input is already partitioned by person
-    rows = rows.repartition(*STAY_KEYS, "_at")
+    if not check_ties:
+        rows = rows.where(~F.col("_ignored"))
+    # by instant even where the input is already partitioned by person; the
+    # guard and the windows of a stay need no other partitioning
+    rows = rows.repartition("person_id", "_at")
+    if check_ties:
+        sort = Window.partitionBy("person_id", "_at", F.col("_kind") == "other")
+        rows = rows.withColumn("_ties", F.count("*").over(sort))
+        few = F.assert_true(
+            F.col("_ties") <= 2, F.lit("more than two records of a person at one instant")
+        )
+        rows = rows.where(few.isNull() & ~F.col("_ignored"))
     instant = Window.partitionBy(*STAY_KEYS, "_at", F.col("_kind") == "other")
     both = F.bool_or(F.col("_kind") == "start").over(instant) & F.bool_or(
         F.col("_kind") == "end"
@@ -278,6 +294,7 @@ def adt_episodes(
     ignore_types: Sequence[int] = IGNORED_TYPES,
     max_gap_seconds: int = MAX_GAP_SECONDS,
     slice_seconds: int = 86_400,
+    check_ties: bool = True,
 ) -> DataFrame:
     """Episodes per (person, visit, site) between start and end records.
 
@@ -287,10 +304,14 @@ def adt_episodes(
     record. With ``visits``, the visit's start and end stand in where the
     records of a stay do not begin with a start or finish with an end.
 
+    The rules are defined for at most two records of one sort (start or end, or
+    others) of a person at an instant; more fail the query unless ``check_ties``
+    is False.
+
     ``slice_seconds`` only says how stays are cut up for processing; it does not
     change the result.
     """
-    records = _records(adt, start_types, end_types, ignore_types)
+    records = _records(adt, start_types, end_types, ignore_types, check_ties)
     if visits is not None:
         records = records.unionByName(_bookends(records, visits))
     return _pair(_condense(records, max_gap_seconds, slice_seconds), max_gap_seconds)

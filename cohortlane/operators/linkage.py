@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import date
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlane.functions.dates import age_years, as_date, elapsed_seconds
@@ -63,37 +63,38 @@ def ed_linked_to_inpatient(
     """
     columns = _visit_columns(visits)
     emergency = visits.where(F.col("visit_concept_id").isin(*EMERGENCY_CONCEPTS)).select(*columns)
-    inpatient = visits.where(F.col("visit_concept_id").isin(*INPATIENT_CONCEPTS))
-
-    combined = visits.where(
-        (F.col("visit_concept_id") == EMERGENCY_TO_INPATIENT)
-        & (F.col("visit_start_date") >= F.lit(combined_since))
-    ).select(*columns)
-
-    # Both kinds of link are pairs of an emergency and an inpatient visit id, so
-    # one join with each side resolves them together. Of the inpatient visit
-    # only the existence matters: a semi join.
-    related = (
-        fact_relationship.select(
-            F.col("fact_id_1").alias("visit_occurrence_id"), F.col("fact_id_2").alias("_inpatient")
-        )
-        .distinct()
-        .withColumn("_shown", F.col("visit_occurrence_id"))
-    )
-    preceded = inpatient.select(
-        F.col("preceding_visit_occurrence_id").alias("visit_occurrence_id"),
+    inpatient = visits.where(F.col("visit_concept_id").isin(*INPATIENT_CONCEPTS)).select(
+        "person_id",
         F.col("visit_occurrence_id").alias("_inpatient"),
-        F.col("visit_occurrence_id").alias("_shown"),
+        F.col("preceding_visit_occurrence_id").alias("_preceding"),
+    )
+    related = fact_relationship.select(
+        F.col("fact_id_1").alias("_emergency"), F.col("fact_id_2").alias("_inpatient")
+    ).distinct()
+
+    # Both kinds of link start from the inpatient visit: as (emergency visit,
+    # person, id to show). The visits are read twice, once for each side.
+    def link(emergency_id: str, shown: str) -> Column:
+        return F.when(
+            F.col(emergency_id).isNotNull(),
+            F.struct(F.col(emergency_id).alias("_linked"), F.col(shown).alias("_shown")),
+        )
+
+    links = inpatient.join(related, "_inpatient", "left").select(
+        F.col("person_id").alias("_person"),
+        F.inline(F.array_compact(F.array(link("_preceding", "_inpatient"), link("_emergency", "_emergency")))),
+    ).distinct()
+    same = (F.col("visit_occurrence_id") == F.col("_linked")) & (F.col("person_id") == F.col("_person"))
+    combined = (F.col("visit_concept_id") == EMERGENCY_TO_INPATIENT) & (
+        F.col("visit_start_date") >= F.lit(combined_since)
     )
-    targets = inpatient.select(F.col("visit_occurrence_id").alias("_inpatient"), "person_id")
-    linked = (
-        emergency.join(related.unionByName(preceded), "visit_occurrence_id")
-        .join(targets, ["_inpatient", "person_id"], "left_semi")
-        .select(*[
-            F.col("_shown").alias(c) if c == "visit_occurrence_id" else F.col(c) for c in columns
-        ])
+    shown = F.array_compact(F.array(F.when(combined, F.col("visit_occurrence_id")), F.col("_shown")))
+    return (
+        emergency.join(links, same, "left")
+        .withColumn("visit_occurrence_id", F.explode(shown))
+        .select(*columns)
+        .distinct()
     )
-    return combined.unionByName(linked).distinct()
 
 
 def _linked_keys(linked: DataFrame) -> DataFrame:

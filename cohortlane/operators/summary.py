@@ -28,11 +28,13 @@ def demographic_summary(
     variables: Sequence[str] = SUMMARY_VARIABLES,
     by: Sequence[str] = (),
     one_row_per_person: bool = False,
+    groups: Sequence[Sequence] = (),
 ) -> DataFrame:
     """Total persons, and rows and percentage per category of each variable.
 
     All variables are counted in one pass with grouping sets; ``by`` adds
-    columns to report separately for each of their values. The percentage
+    columns to report separately for each of their values, and ``groups`` lists
+    values of theirs that have a total even without rows. The percentage
     refers to the number of distinct persons. ``one_row_per_person=True`` is
     the caller's word that persons are unique, and saves finding that out.
     """
@@ -44,10 +46,11 @@ def demographic_summary(
         )
     else:
         rows = _count_persons_once(cohort, keys, names)
-    if not keys:
-        # an empty cohort still reports a total of 0
-        types = dict(rows.dtypes)
+    # an empty cohort still reports a total of 0
+    types = dict(rows.dtypes)
+    for group in groups if keys else [()]:
         seed = cohort.sparkSession.range(1).select(
+            *[F.lit(value).cast(types[k]).alias(k) for k, value in zip(keys, group, strict=True)],
             *[F.lit(None).cast(types[n]).alias(n) for n in names],
             F.lit(0).cast("bigint").alias("_rows"),
             F.lit(0).cast("bigint").alias("_person"),
@@ -175,8 +178,8 @@ def demographics_continuous(
         variable.alias("variable"),
         category.alias("category"),
         F.when(is_age, F.col("_ages")).otherwise(F.col("_rows")).alias("n_patients"),
-        F.when(is_age, F.round("_mean", 6)).alias("mean"),
-        F.when(is_age, F.round("_sd", 6)).alias("sd"),
+        F.when(is_age, F.col("_mean")).alias("mean"),
+        F.when(is_age, F.col("_sd")).alias("sd"),
     )
     known = F.sum(F.when(F.col("category").isNotNull(), F.col("n_patients"))).over(
         Window.partitionBy("variable")

@@ -23,6 +23,7 @@ from cohortlane.operators.cohorts import (
     add_site,
     icu_cohort_adt,
     icu_cohort_visit,
+    site_subset,
     visit_index,
 )
 from cohortlane.operators.demographics import demographics, known_sex
@@ -47,6 +48,7 @@ SUSPECTED = "(culture_px or culture_lab) and fluids and antibiotics"
 CODED = "coded"
 KNOWN_SEXES = (MALE, FEMALE)
 
+# Column titles of the report.
 SUSPECTED_TITLE = "Suspected Sepsis N (Col %)"
 CONFIRMED_TITLE = "Confirmed Sepsis N (Col %)"
 
@@ -85,9 +87,19 @@ def suspected_criteria(inputs: StudyInputs) -> list[Criterion]:
     ]
 
 
-def study_criteria(inputs: StudyInputs) -> list[Criterion]:
+# phenotype name -> rule over the criteria
+PHENOTYPES = {"suspected": SUSPECTED, "coded": CODED}
+
+
+def study_criteria(
+    inputs: StudyInputs, phenotypes: Sequence[str] = tuple(PHENOTYPES)
+) -> list[Criterion]:
+    """The criteria that the phenotypes need; no other event table is read."""
     coded = Criterion(CODED, condition_source(inputs.conditions), inputs.sepsis_codes)
-    return [*suspected_criteria(inputs), coded]
+    return [
+        *(suspected_criteria(inputs) if "suspected" in phenotypes else []),
+        *([coded] if "coded" in phenotypes else []),
+    ]
 
 
 def index_cohort(
@@ -107,14 +119,15 @@ def study_criteria_by_index(
     sexes: Sequence[int] | None = KNOWN_SEXES,
     keep_unmatched: bool = False,
     cohort: DataFrame | None = None,
+    phenotypes: Sequence[str] = tuple(PHENOTYPES),
 ) -> DataFrame:
-    """All criteria of the study at each index date.
+    """The criteria of the phenotypes at each index date.
 
     ``cohort`` is a stored :func:`index_cohort`, if there is one.
     """
     return criteria_by_index(
         index_cohort(inputs, by, sexes) if cohort is None else cohort,
-        study_criteria(inputs),
+        study_criteria(inputs, phenotypes),
         by,
         inputs.days_pre,
         inputs.days_post,
@@ -130,16 +143,44 @@ def study_persons(
     sexes: Sequence[int] | None = KNOWN_SEXES,
     keep_unmatched: bool = False,
     cohort: DataFrame | None = None,
+    phenotypes: Sequence[str] = tuple(PHENOTYPES),
 ) -> DataFrame:
-    """One row per person: dates and counts of suspected and of coded sepsis.
+    """One row per person: dates and counts of the phenotypes.
 
     With ``keep_unmatched`` every person of the index cohort has a row.
     """
     return phenotypes_by_person(
-        study_criteria_by_index(inputs, by, sexes, keep_unmatched, cohort),
+        study_criteria_by_index(inputs, by, sexes, keep_unmatched, cohort, phenotypes),
         by,
-        {"suspected": SUSPECTED, "coded": CODED},
+        {name: PHENOTYPES[name] for name in phenotypes},
+    )
+
+
+INDEX_KINDS = ("adt_date", "visit_start_date")
+
+
+def persons_by_kind(inputs: StudyInputs, keep_unmatched: bool = False) -> DataFrame:
+    """``study_persons`` of both index definitions, told apart by ``index_kind``.
+
+    The events are read and reduced once for both. Any sex counts.
+    """
+    cohorts = [
+        index_cohort(inputs, kind, None).select(
+            "person_id", F.lit(kind).alias("index_kind"), F.col(kind).alias("index_day")
+        )
+        for kind in INDEX_KINDS
+    ]
+    by_index = criteria_by_index(
+        reduce(DataFrame.unionByName, cohorts),
+        study_criteria(inputs),
+        "index_day",
+        inputs.days_pre,
+        inputs.days_post,
+        inputs.index_between,
+        keep_unmatched=keep_unmatched,
+        by=("index_kind",),
     )
+    return phenotypes_by_person(by_index, "index_day", PHENOTYPES, ("index_kind",))
 
 
 # cohort name -> (rows that belong to it, phenotype its dates refer to)
@@ -150,7 +191,14 @@ MEMBERSHIP = {
 }
 
 
-def cohort_members(persons: DataFrame, cohorts: Sequence[str]) -> DataFrame:
+def phenotypes_of(cohorts: Sequence[str]) -> tuple[str, ...]:
+    """The phenotypes that decide on membership in the cohorts."""
+    return tuple(p for p in PHENOTYPES if any(f"{p}_n_dates" in MEMBERSHIP[c][0] for c in cohorts))
+
+
+def cohort_members(
+    persons: DataFrame, cohorts: Sequence[str], by: Sequence[str] = ()
+) -> DataFrame:
     """One row per person and cohort, with first, last and number of index dates."""
 
     def entry(cohort: str) -> Column:
@@ -166,7 +214,7 @@ def cohort_members(persons: DataFrame, cohorts: Sequence[str]) -> DataFrame:
         )
 
     entries = F.array_compact(F.array(*[entry(name) for name in cohorts]))
-    return persons.select("person_id", F.inline(entries))
+    return persons.select("person_id", *by, F.inline(entries))
 
 
 def cohort_demographics(
@@ -180,20 +228,31 @@ def cohort_demographics(
 
     ``persons`` are stored :func:`study_persons`, if there are any.
     """
-    evaluated = study_persons(inputs, by, sexes) if persons is None else persons
-    return demographics(cohort_members(evaluated, cohorts), "max_picu_date", inputs.person)
+    if persons is None:
+        persons = study_persons(inputs, by, sexes, phenotypes=phenotypes_of(cohorts))
+    return demographics(cohort_members(persons, cohorts), "max_picu_date", inputs.person)
 
 
 def summary_by_cohort(
     members: DataFrame,
     sites: Sequence[str] | None = None,
     variables: Sequence[str] = SUMMARY_VARIABLES,
+    cohorts: Sequence[str] = (),
 ) -> DataFrame:
-    """Labelled demographic summary of each cohort of the members, in one pass."""
+    """Labelled demographic summary of each cohort of the members, in one pass.
+
+    ``cohorts`` are reported with a total of 0 if they have no members.
+    """
     if sites is not None:
-        members = members.where(F.col("site").isin(*sites))
+        members = site_subset(members, sites)
     return labelled_summary(
-        demographic_summary(members, variables, by=("cohort",), one_row_per_person=True)
+        demographic_summary(
+            members,
+            variables,
+            by=("cohort",),
+            one_row_per_person=True,
+            groups=[(c,) for c in cohorts],
+        )
     )
 
 
@@ -215,17 +274,11 @@ def raceth_by_sex_all(
     )
 
 
-def _in_range(column: str, between: DateRange) -> str:
-    return f"{column} between date'{between[0]}' and date'{between[1]}'"
-
-
-def _sites(sites: Sequence[str]) -> str:
-    return "site in ({})".format(", ".join(f"'{s}'" for s in sites))
-
-
-def entry_condition(inputs: StudyInputs) -> str:
-    types = ", ".join(str(t) for t in ENTRY_TYPES)
-    return f"{_in_range('adt_date', inputs.index_between)} and adt_type_concept_id in ({types})"
+def entry_condition(inputs: StudyInputs) -> Column:
+    first, last = inputs.index_between
+    return F.col("adt_date").between(F.lit(first), F.lit(last)) & F.col("adt_type_concept_id").isin(
+        *ENTRY_TYPES
+    )
 
 
 def attrition_steps(inputs: StudyInputs, persons: DataFrame | None = None) -> list[AttritionStep]:
@@ -237,8 +290,8 @@ def attrition_steps(inputs: StudyInputs, persons: DataFrame | None = None) -> li
     service = inputs.adt.where(F.col("service_concept_id") == ICU_SERVICE)
     evaluated = study_persons(inputs, keep_unmatched=True) if persons is None else persons
     persons = add_site(evaluated, inputs.person)
-    suspected, confirmed = MEMBERSHIP["suspected"][0], MEMBERSHIP["confirmed"][0]
-    here = _sites(inputs.sites)
+    suspected, confirmed = (F.expr(MEMBERSHIP[c][0]) for c in ("suspected", "confirmed"))
+    here = F.col("site").isin(*inputs.sites)
     return [
         AttritionStep("1. All patients", inputs.person),
         AttritionStep("2. From 1: Patients with an ICU record", service),
@@ -250,8 +303,8 @@ def attrition_steps(inputs: StudyInputs, persons: DataFrame | None = None) -> li
         AttritionStep("4. From 3: Aged >=0 and <18 with male or female sex", persons),
         AttritionStep("5. From 4: Suspected sepsis", persons, suspected),
         AttritionStep("6. From 5: Confirmed sepsis", persons, confirmed),
-        AttritionStep("5B. From 5: Site subset", persons, f"{suspected} and {here}"),
-        AttritionStep("6B. From 6: Site subset", persons, f"{confirmed} and {here}"),
+        AttritionStep("5B. From 5: Site subset", persons, suspected & here),
+        AttritionStep("6B. From 6: Site subset", persons, confirmed & here),
     ]
 
 
@@ -265,26 +318,26 @@ def attrition_steps_wide(
     """
     service = inputs.adt.where(F.col("service_concept_id") == ICU_SERVICE)
     started = visit_index(inputs.adt, inputs.visits, inputs.index_between)
-    by_entry = add_site(study_persons(inputs, "adt_date", None, True), inputs.person)
-    by_visit = add_site(study_persons(inputs, "visit_start_date", None, True), inputs.person)
+    persons = add_site(persons_by_kind(inputs, keep_unmatched=True), inputs.person)
+    by_entry, by_visit = (F.col("index_kind") == kind for kind in INDEX_KINDS)
     in_visit = add_site(same_visit, linked_person)
-    suspected, coded = MEMBERSHIP["suspected"][0], MEMBERSHIP["coded"][0]
-    here = _sites(inputs.sites)
+    suspected, coded = (F.expr(MEMBERSHIP[c][0]) for c in ("suspected", "coded"))
+    here = F.col("site").isin(*inputs.sites)
     return [
         AttritionStep("1. All patients", inputs.person),
         AttritionStep("2A. From 1: Patients with an ICU record", service),
         AttritionStep("3A. From 2A: ICU entry within the study period", service, entry_condition(inputs)),
         AttritionStep("3B. From 2A: Visit started within the study period", started),
-        AttritionStep("4A. From 3A: Aged >=0 and <18 at entry", by_entry),
-        AttritionStep("4B. From 3B: Aged >=0 and <18 at visit start", by_visit),
-        AttritionStep("5A. From 4A: Sepsis code near entry", by_entry, coded),
-        AttritionStep("5B. From 4B: Sepsis code near visit start", by_visit, coded),
-        AttritionStep("5C. From 4A: Suspected sepsis near entry", by_entry, suspected),
-        AttritionStep("5D. From 4B: Suspected sepsis near visit start", by_visit, suspected),
-        AttritionStep("6A. From 5A: Site subset", by_entry, f"{coded} and {here}"),
-        AttritionStep("6B. From 5B: Site subset", by_visit, f"{coded} and {here}"),
-        AttritionStep("6C. From 5C: Site subset", by_entry, f"{suspected} and {here}"),
-        AttritionStep("6D. From 5D: Site subset", by_visit, f"{suspected} and {here}"),
+        AttritionStep("4A. From 3A: Aged >=0 and <18 at entry", persons, by_entry),
+        AttritionStep("4B. From 3B: Aged >=0 and <18 at visit start", persons, by_visit),
+        AttritionStep("5A. From 4A: Sepsis code near entry", persons, by_entry & coded),
+        AttritionStep("5B. From 4B: Sepsis code near visit start", persons, by_visit & coded),
+        AttritionStep("5C. From 4A: Suspected sepsis near entry", persons, by_entry & suspected),
+        AttritionStep("5D. From 4B: Suspected sepsis near visit start", persons, by_visit & suspected),
+        AttritionStep("6A. From 5A: Site subset", persons, by_entry & coded & here),
+        AttritionStep("6B. From 5B: Site subset", persons, by_visit & coded & here),
+        AttritionStep("6C. From 5C: Site subset", persons, by_entry & suspected & here),
+        AttritionStep("6D. From 5D: Site subset", persons, by_visit & suspected & here),
         AttritionStep("2X. From 1: Emergency visit linked to an inpatient visit", linked),
         AttritionStep("3X. From 2X: Suspected sepsis in the same visit", in_visit),
         AttritionStep("4X. From 3X: Site subset", in_visit, here),
@@ -309,9 +362,12 @@ def write_study(inputs: StudyInputs, catalog: StudyCatalog) -> list[str]:
         cohort_demographics(inputs, tuple(MEMBERSHIP), persons=persons), catalog, "sepsis_cohorts"
     )
     members = known_sex(members)
-    summary = materialize(summary_by_cohort(members), catalog, "sepsis_summary")
+    names = tuple(MEMBERSHIP)
+    summary = materialize(
+        summary_by_cohort(members, cohorts=names), catalog, "sepsis_summary"
+    )
     here = materialize(
-        summary_by_cohort(members, inputs.sites), catalog, "sepsis_summary_subset"
+        summary_by_cohort(members, inputs.sites, cohorts=names), catalog, "sepsis_summary_subset"
     )
     funnel = materialize(
         attrition(attrition_steps(inputs, persons)), catalog, "sepsis_attrition"
@@ -329,6 +385,7 @@ def write_study(inputs: StudyInputs, catalog: StudyCatalog) -> list[str]:
 
 
 WIDE_VARIABLES = ("site", "raceth_cat", "sex_cat", "age_group")
+# Column titles of the wide report.
 WIDE_TITLES = {
     "adt_coded": "adt_date confirmed N (%)",
     "visit_coded": "visit_start_date confirmed N (%)",
@@ -339,18 +396,22 @@ WIDE_TITLES = {
 
 
 def wide_summary(
-    inputs: StudyInputs, same_visit: DataFrame, linked_person: DataFrame
+    inputs: StudyInputs,
+    same_visit: DataFrame,
+    linked_person: DataFrame,
+    sites: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Labelled summaries of the five cohorts of the wide report."""
+    """Labelled summaries of the five cohorts of the wide report, for all sites or some."""
     columns = ("cohort", "person_id", *WIDE_VARIABLES)
-    parts = []
-    for prefix, by in (("adt", "adt_date"), ("visit", "visit_start_date")):
-        members = cohort_demographics(inputs, ("coded", "suspected"), by, None)
-        named = F.concat(F.lit(f"{prefix}_"), F.col("cohort"))
-        parts.append(members.withColumn("cohort", named).select(*columns))
-    in_visit = demographics(same_visit, "max_sepsis_date", linked_person)
-    parts.append(in_visit.withColumn("cohort", F.lit("same_visit")).select(*columns))
-    everyone = reduce(DataFrame.unionByName, parts)
-    return labelled_summary(
-        demographic_summary(everyone, WIDE_VARIABLES, by=("cohort",), one_row_per_person=True)
-    )
+    near = cohort_members(persons_by_kind(inputs), ("coded", "suspected"), ("index_kind",))
+    prefix = F.when(F.col("index_kind") == "adt_date", "adt_").otherwise("visit_")
+    parts = [
+        demographics(near, "max_picu_date", inputs.person).withColumn(
+            "cohort", F.concat(prefix, F.col("cohort"))
+        ),
+        demographics(same_visit, "max_sepsis_date", linked_person).withColumn(
+            "cohort", F.lit("same_visit")
+        ),
+    ]
+    everyone = reduce(DataFrame.unionByName, [part.select(*columns) for part in parts])
+    return summary_by_cohort(everyone, sites, WIDE_VARIABLES, tuple(WIDE_TITLES))

@@ -10,8 +10,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import types as T
-
 
 @dataclass(frozen=True)
 class TableContract:
@@ -113,9 +111,3 @@ CODESET_COLUMNS: dict[str, str] = {
     "concept_code": "string",
     "vocabulary_id": "string",
 }
-
-
-def codeset_schema(*extra: str) -> T.StructType:
-    """Schema of a code set; extra attribute columns are text."""
-    fields = {**CODESET_COLUMNS, **{name: "string" for name in extra}}
-    return T.StructType.fromDDL(", ".join(f"`{n}` {t}" for n, t in fields.items()))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -22,6 +24,8 @@ def write_result(
     bucketed by ``person_id`` need no shuffle for the per-person steps; a table
     where single persons own a large part of the rows is better left unbucketed.
     """
+    if bucket_by is not None and catalog.layout != "table":
+        raise ValueError("only catalog tables can be bucketed: use layout='table'")
     writer = df.write.mode("overwrite").format("parquet")
     if bucket_by is not None:
         writer = writer.bucketBy(*bucket_by)
@@ -52,16 +56,23 @@ def stage_root(spark: SparkSession) -> str:
     """Shared scratch folder: the session's checkpoint folder.
 
     A cluster has to name one, since a machine-local folder would be lost with
-    its machine. Only a local session falls back to a temporary folder.
+    its machine. Only a local session falls back to a temporary folder, which
+    goes with the process.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    # set by SparkContext.setCheckpointDir
+    named = spark.sparkContext.getCheckpointDir()
+    if named:
+        return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a shared folder")
     application = spark.sparkContext.applicationId
     if application not in _local_stage_roots:
-        _local_stage_roots[application] = tempfile.mkdtemp(prefix="cohortlane-")
+        folder = tempfile.mkdtemp(prefix="cohortlane-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _local_stage_roots[application] = folder
     return _local_stage_roots[application]
 
 

@@ -415,16 +415,19 @@ ON s.variable = c.variable AND s.category = c.category
 
 
 _WIDE = ("site", "raceth_cat", "sex_cat", "age_group")
-REPORT_WIDE = f"""
+
+
+def _report_wide(kind: str) -> str:
+    return f"""
 SELECT CASE WHEN a.variable = '1_Total' THEN 'Total' ELSE a.variable END AS variable, a.category,
   a.n_pct AS "adt_date confirmed N (%)", b.n_pct AS "visit_start_date confirmed N (%)",
   c.n_pct AS "adt_date suspected N (%)", d.n_pct AS "visit_start_date suspected N (%)",
   e.n_pct AS "suspected ED/IP N (%)"
-FROM ({_labelled('coded_any_adt_demog', _WIDE)}) a
-LEFT JOIN ({_labelled('coded_any_visit_demog', _WIDE)}) b ON a.variable = b.variable AND a.category = b.category
-LEFT JOIN ({_labelled('suspected_any_adt_demog', _WIDE)}) c ON a.variable = c.variable AND a.category = c.category
-LEFT JOIN ({_labelled('suspected_any_visit_demog', _WIDE)}) d ON a.variable = d.variable AND a.category = d.category
-LEFT JOIN ({_labelled('same_visit_demog', _WIDE)}) e ON a.variable = e.variable AND a.category = e.category
+FROM ({_labelled(f'coded_any_adt_{kind}', _WIDE)}) a
+LEFT JOIN ({_labelled(f'coded_any_visit_{kind}', _WIDE)}) b ON a.variable = b.variable AND a.category = b.category
+LEFT JOIN ({_labelled(f'suspected_any_adt_{kind}', _WIDE)}) c ON a.variable = c.variable AND a.category = c.category
+LEFT JOIN ({_labelled(f'suspected_any_visit_{kind}', _WIDE)}) d ON a.variable = d.variable AND a.category = d.category
+LEFT JOIN ({_labelled(f'same_visit_{kind}', _WIDE)}) e ON a.variable = e.variable AND a.category = e.category
 """
 
 
@@ -555,7 +558,15 @@ FROM coded_adt_demog""",
     "report_attrition": f'SELECT descriptions AS "Description", counts AS "Patient Count" FROM ({ATTRITION}) x',
     "report_demographics": _report("suspected_adt_known", "confirmed_adt_known"),
     "report_demographics_site_subset": _report("suspected_adt_subset", "confirmed_adt_subset"),
-    "report_demographics_wide": REPORT_WIDE,
+    "report_demographics_empty_cohort": """SELECT 'Total' AS variable, 'Total' AS category,
+  (SELECT count(DISTINCT person_id) FROM suspected_adt_known WHERE site = 'St. John''s') || ' (NaN)' AS "Suspected Sepsis N (Col %)",
+  (SELECT count(DISTINCT person_id) FROM confirmed_adt_known WHERE site = 'St. John''s') || ' (NaN)' AS "Confirmed Sepsis N (Col %)"
+""",
+    "report_demographics_wide": _report_wide("demog"),
+    "report_demographics_wide_site_subset": _report_wide("subset"),
+    "cdm_table_scan": """SELECT * FROM visit_occurrence
+WHERE visit_start_date BETWEEN DATE '2024-01-01' AND DATE '2024-01-28'""",
+    "vocabulary_scan": "SELECT * FROM concept WHERE concept_id < 50",
     "concept_search_all": "SELECT * FROM concept WHERE regexp_matches(lower(concept_name), 'red') "
     "AND regexp_matches(lower(concept_name), 'widget')",
     "concept_search_any": "SELECT * FROM concept WHERE regexp_matches(lower(concept_name), 'red|blue') "
@@ -577,6 +588,16 @@ JOIN (SELECT DISTINCT concept_id FROM px_blood_culture) k ON procedure_concept_i
     "observed_concepts": """SELECT k.* FROM (SELECT DISTINCT measurement_concept_id FROM measurement_labs) m
 JOIN concept k ON m.measurement_concept_id = k.concept_id
 WHERE regexp_matches(lower(concept_name), 'red|blue') AND regexp_matches(lower(concept_name), 'widget|ring')""",
+    "observed_concepts_by_topic": "\nUNION ALL\n".join(
+        f"SELECT '{topic}' AS topic, k.* FROM concept k WHERE ({where}) AND concept_id IN "
+        "(SELECT measurement_concept_id FROM measurement_labs)"
+        for topic, where in (
+            ("red or blue", "regexp_matches(lower(concept_name), 'red|blue')"),
+            ("widget or ring", "regexp_matches(lower(concept_name), 'widget|ring')"),
+            ("small, no gear", "regexp_matches(lower(concept_name), 'small') "
+             "AND NOT regexp_matches(lower(concept_name), 'gear')"),
+        )
+    ),
     "ed_visits": "SELECT * FROM ed",
     "inpatient_visits": "SELECT * FROM ip",
     "ed_linked_to_inpatient": "SELECT * FROM linked",
@@ -616,6 +637,8 @@ UNION SELECT concept_id, concept_name, NULL FROM lab_blood_culture""",
     "result_csv_roundtrip": _labelled("suspected_adt_known"),
     "notes_table": """SELECT concept_name AS component_name_all,
   concept_code || ', ' || vocabulary_id AS notes_on_data_availability FROM concept""",
+    "notes_result": """SELECT concept_name AS component_name,
+  'said "' || concept_code || '",' || chr(10) || 'then ' || vocabulary_id AS notes FROM concept""",
     "codeset_csv_roundtrip": "SELECT * FROM med_broad_spec_abx",
 }
 

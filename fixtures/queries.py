@@ -19,6 +19,7 @@ from cohortlane.operators.cohorts import (
     icu_cohort_visit,
     index_events,
     latest_visit_by_site,
+    site_subset,
 )
 from cohortlane.operators.demographics import demographics, known_sex
 from cohortlane.operators.episodes import adt_episodes, max_records_per_instant
@@ -42,7 +43,18 @@ from cohortlane.operators.summary import (
 )
 from cohortlane.plans import sepsis
 from cohortlane.plans.sepsis import StudyInputs
-from cohortlane.sources import get_result, materialize, read_codeset, read_notes, stage, stage_path, write_csv
+from cohortlane.sources import (
+    cdm_table,
+    get_result,
+    materialize,
+    read_codeset,
+    read_notes,
+    stage,
+    stage_path,
+    vocabulary_table,
+    write_csv,
+)
+from cohortlane.sources.codesets import BYTE_ORDER_MARK
 from fixtures.views import DAYS, INDEX_RANGE, LINKED_SINCE, SITES, ClinicalViews
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -223,7 +235,7 @@ def demographic_summary_by_index(v):
 
 @_query
 def demographic_summary_site_subset(v):
-    here = known_sex(_members(v, "coded")).where(F.col("site").isin(*SITES))
+    here = site_subset(known_sex(_members(v, "coded")), SITES)
     return demographic_summary(here, one_row_per_person=True)
 
 
@@ -269,7 +281,8 @@ def age_quantiles_(v):
 
 @_query
 def demographics_continuous_(v):
-    return demographics_continuous(_members(v, "coded"))
+    table = demographics_continuous(_members(v, "coded"))
+    return table.withColumns({"mean": F.round("mean", 6), "sd": F.round("sd", 6)})
 
 
 # funnel and reports
@@ -285,7 +298,7 @@ def _linked(v) -> DataFrame:
 
 
 def _stored_linked(v) -> DataFrame:
-    """Linked visits are used several times over, so they are worked out once."""
+    """Linked visits that a query reads several times are worked out once."""
     if v.linked is None:
         v.linked = stage(_linked(v), "linked")
     return v.linked
@@ -336,22 +349,41 @@ def report_attrition_(v):
 
 @_query
 def report_demographics_(v):
-    summary = sepsis.summary_by_cohort(_members(v, "suspected", "confirmed"))
+    return _report(v)
+
+
+def _report(v, sites=None) -> DataFrame:
+    cohorts = ("suspected", "confirmed")
+    summary = sepsis.summary_by_cohort(_members(v, *cohorts), sites, cohorts=cohorts)
     return report_demographics(summary, "cohort", sepsis.REPORT_TITLES)
 
 
 @_query
 def report_demographics_site_subset(v):
-    summary = sepsis.summary_by_cohort(_members(v, "suspected", "confirmed"), SITES)
-    return report_demographics(summary, "cohort", sepsis.REPORT_TITLES)
+    return _report(v, SITES)
 
 
 @_query
-def report_demographics_wide(v):
-    summary = sepsis.wide_summary(study_inputs(v), _same_visit_persons(v), v.person_star)
+def report_demographics_empty_cohort(v):
+    """A subset in which nobody belongs to either cohort still has its totals."""
+    return _report(v, ("St. John's",))
+
+
+def _report_wide(v, sites=None) -> DataFrame:
+    summary = sepsis.wide_summary(study_inputs(v), _same_visit_persons(v), v.person_star, sites)
     return report_demographics(summary, "cohort", sepsis.WIDE_TITLES, without=())
 
 
+@_query
+def report_demographics_wide(v):
+    return _report_wide(v)
+
+
+@_query
+def report_demographics_wide_site_subset(v):
+    return _report_wide(v, SITES)
+
+
 # concept search and availability
 
 
@@ -400,6 +432,13 @@ def observed_concepts(v):
     return availability.observed_concepts(v.labs, "measurement_concept_id", found)
 
 
+@_query
+def observed_concepts_by_topic(v):
+    return availability.observed_concepts_by_topic(
+        v.labs, "measurement_concept_id", v.concept, SEARCHES
+    )
+
+
 # linked visits
 
 
@@ -441,7 +480,7 @@ def blood_culture_within_30_days(v):
 
 @_query
 def drug_in_visit(v):
-    return linkage.drug_in_visit(_stored_linked(v), v.drug_star, _wide_antibiotics(v))
+    return linkage.drug_in_visit(_linked(v), v.drug_star, _wide_antibiotics(v))
 
 
 @_query
@@ -592,6 +631,27 @@ def null_key_left_join_null_safe(v):
 # sources and sinks
 
 
+def _stored_as_text(v, name: str, df: DataFrame) -> StudyCatalog:
+    """A stored table whose ids are text, and which has a column too many."""
+    folder = stage_path(v.spark, "tables")
+    ids = {c: F.col(c).cast("string") for c in df.columns if c.endswith("_id") and c != "vocabulary_id"}
+    df.withColumns(ids).withColumn("loaded", F.lit(True)).write.parquet(f"{folder}/{name}")
+    return StudyCatalog(cdm=folder, vocabulary=folder, results=folder, layout="parquet")
+
+
+@_query
+def cdm_table_scan(v):
+    catalog = _stored_as_text(v, "visit_occurrence", v.visit_occurrence)
+    visits = cdm_table(v.spark, catalog, "visit_occurrence")
+    return visits.where(F.col("visit_start_date").between(F.lit(INDEX_RANGE[0]), F.lit(INDEX_RANGE[1])))
+
+
+@_query
+def vocabulary_scan(v):
+    catalog = _stored_as_text(v, "concept", v.concept)
+    return vocabulary_table(v.spark, catalog).where(F.col("concept_id") < 50)
+
+
 @_query
 def result_table_roundtrip(v):
     folder = stage_path(v.spark, "results")
@@ -622,6 +682,19 @@ def notes_table(v):
     return read_notes(v.spark, path)
 
 
+@_query
+def notes_result(v):
+    """Notes from a file with a byte order mark, stored as a result table."""
+    path = stage_path(v.spark, "notes")
+    notes = v.concept.select(
+        F.col("concept_name").alias(f"{BYTE_ORDER_MARK}Component Name"),
+        F.concat(F.lit('said "'), "concept_code", F.lit('",\nthen '), "vocabulary_id").alias("Notes"),
+    )
+    write_csv(notes, path, single_file=True)
+    catalog = StudyCatalog(v.sf_dir, v.sf_dir, stage_path(v.spark, "results"), layout="parquet")
+    return materialize(read_notes(v.spark, path), catalog, "notes")
+
+
 @_query
 def codeset_csv_roundtrip(v):
     path = stage_path(v.spark, "codes")

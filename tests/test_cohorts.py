@@ -160,3 +160,22 @@ def test_race_ethnicity(spark, race, ethnicity, expected):
 def test_sex(spark, sex, expected):
     df = spark.createDataFrame([(sex,)], "gender_concept_id long")
     assert df.select(labels.sex().alias("x")).first().x == expected
+
+
+def test_records_without_a_visit_keep_their_rows(spark):
+    from cohortlane.operators.cohorts import ICU_SERVICE, index_events
+
+    adt = spark.createDataFrame(
+        [(1, None, ICU_SERVICE), (1, None, ICU_SERVICE), (1, 7, ICU_SERVICE), (2, 8, ICU_SERVICE)],
+        "person_id long, visit_occurrence_id long, service_concept_id long",
+    )
+    visits = spark.createDataFrame(
+        [(7, "a", "b"), (None, "c", "d")],
+        "visit_occurrence_id long, visit_start_date string, visit_end_date string",
+    )
+    person = spark.createDataFrame([(1, "z")], "person_id long, birth_date string")
+    rows = sorted(
+        ((r.person_id, r.visit_occurrence_id or 0, r.visit_start_date or "", r.birth_date or "")
+         for r in index_events(adt, visits, person).collect())
+    )
+    assert rows == [(1, 0, "", "z"), (1, 0, "", "z"), (1, 7, "a", "z"), (2, 8, "", "")]

@@ -83,7 +83,7 @@ def run(spark, stays, visits=None, **options):
             [(v, s.date(), s, e.date(), e) for v, (s, e) in visits.items()], VISIT
         )
     found = {}
-    for r in adt_episodes(adt, frame, **options).collect():
+    for r in adt_episodes(adt, frame, **{"check_ties": False, **options}).collect():
         assert r.episode_start_date == r.episode_start_datetime.date()
         assert r.episode_end_date == r.episode_end_datetime.date()
         found.setdefault((r.person_id, r.visit_occurrence_id, r.site), []).append(
@@ -211,3 +211,13 @@ def test_hot_stay(spark):
     gap = timedelta(hours=12)
     expected = {k: e for k, r in stays.items() if (e := machine(r, None, gap))}
     assert run(spark, stays) == expected
+
+
+def test_three_records_at_an_instant_fail(spark):
+    three = [(0, ADMISSION), (4, DISCHARGE), (4, DISCHARGE), (4, TRANSFER_OUT)]
+    with pytest.raises(Exception, match="more than two records"):
+        one(spark, *three, check_ties=True)
+    two = [(0, ADMISSION), (4, DISCHARGE), (4, TRANSFER_OUT)]
+    assert one(spark, *two, check_ties=True) == one(spark, *two)
+    # other records, and those of other persons, are counted apart
+    assert one(spark, (0, ADMISSION), (4, TRANSIT), (4, TRANSIT), (5, DISCHARGE), (5, TRANSFER_OUT), check_ties=True)

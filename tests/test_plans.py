@@ -5,13 +5,13 @@ from datetime import date
 
 import pytest
 
-from __spark_entry__ import queries
 from cohortlane.operators.phenotype import Criterion, EventSource, phenotype_near_index
 from cohortlane.plans import sepsis
-from fixtures.queries import study_inputs
+from cohortlane.operators.codes import CodeSet
+from fixtures.queries import all_queries, study_inputs
 from fixtures.views import ClinicalViews
 
-QUERIES = queries()
+QUERIES = all_queries()
 
 
 def plan_of(df):
@@ -52,7 +52,7 @@ def phenotype(stored, spark):
     drugs = EventSource(
         stored("drug", "person_id long, concept long, day date, note string"), "day", ("concept",)
     )
-    codes = spark.createDataFrame([(1,)], "concept_id long")
+    codes = CodeSet.checked(spark.createDataFrame([(1,)], "concept_id long"))
     criteria = [Criterion("px", px, codes), Criterion("iv", drugs, codes), Criterion("abx", drugs, codes)]
     between = (date(2020, 1, 1), date(2020, 12, 31))
     return phenotype_near_index(cohort, criteria, "px and iv and abx", "adt_date", 7, 7, between)
@@ -80,6 +80,66 @@ def test_study_scans_each_event_table_once(spark, sf_dir):
     assert plan.count("/events.parquet") == 5
 
 
+@pytest.mark.parametrize(
+    ("name", "scans"),
+    [("demographic_summary", 2), ("raceth_by_sex", 2), ("age_quantiles", 2), ("labelled_summary", 4)],
+)
+def test_only_the_criteria_asked_for_are_evaluated(name, scans, spark, sf_dir):
+    # records and conditions; or records, procedures, labs and drugs
+    assert plan_of(QUERIES[name](spark, sf_dir)).count("/events.parquet") == scans
+
+
+def test_both_index_definitions_look_at_events_once(spark, sf_dir):
+    plan = plan_of(sepsis.persons_by_kind(study_inputs(ClinicalViews(spark, sf_dir))))
+    # four events tables as criteria; records by entry, records by visit and the visits' own
+    assert plan.count("/events.parquet") == 4 + 3
+
+
+#: Queries that store something: results, exports, or visits that they read several times.
+STORING = {
+    "phenotype_near_stored_index", "demographic_summary_same_visit", "attrition_wide",
+    "report_demographics_wide", "report_demographics_wide_site_subset", "blood_culture_after_ed",
+    "blood_culture_within_30_days", "same_visit_criteria", "same_visit_phenotype", "result_table_roundtrip",
+    "result_csv_roundtrip", "notes_table", "notes_result", "codeset_csv_roundtrip", "cdm_table_scan", "vocabulary_scan",
+}
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - STORING))
+def test_building_a_query_starts_no_job(name, spark, sf_dir):
+    tracker, context = spark.sparkContext.statusTracker(), spark.sparkContext
+    context.setJobGroup(f"build-{name}", name)
+    try:
+        QUERIES[name](spark, sf_dir)
+        assert not tracker.getJobIdsForGroup(f"build-{name}")
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_linked_visits_read_visits_twice(spark, stored):
+    from cohortlane.operators.linkage import ed_linked_to_inpatient
+
+    visits = stored(
+        "visits",
+        "person_id long, visit_occurrence_id long, visit_start_date date, visit_start_datetime timestamp_ntz,"
+        " visit_concept_id long, preceding_visit_occurrence_id long",
+    )
+    related = stored("related", "fact_id_1 long, fact_id_2 long")
+    plan = plan_of(ed_linked_to_inpatient(visits, related, date(2000, 1, 1)))
+    assert len(re.findall(r"FileScan parquet .*visit_concept_id", plan)) == 2
+
+
+def test_date_filters_of_a_contract_table_reach_the_scan(spark, tmp_path):
+    from cohortlane.config import StudyCatalog
+    from cohortlane.sources import cdm_table
+
+    schema = "visit_occurrence_id string, person_id long, visit_start_date date, visit_end_date date, site string"
+    spark.createDataFrame([], schema).write.parquet(str(tmp_path / "visit_occurrence"))
+    catalog = StudyCatalog(str(tmp_path), str(tmp_path), str(tmp_path), layout="parquet")
+    visits = cdm_table(spark, catalog, "visit_occurrence").where("visit_start_date >= date'2020-01-01'")
+    assert "GreaterThanOrEqual(visit_start_date,2020-01-01)" in plan_of(visits)
+    assert dict(visits.dtypes)["visit_occurrence_id"] == "bigint"
+
+
 def test_summary_is_one_pass(spark, stored):
     from cohortlane.operators.summary import demographic_summary
 
@@ -137,7 +197,7 @@ def test_bucketed_events_are_not_shuffled(spark, without_automatic_broadcast):
         "cohort",
         bucket_by=(4, "person_id"),
     )
-    codes = spark.createDataFrame([(5,)], "concept_id long")
+    codes = CodeSet.checked(spark.createDataFrame([(5,)], "concept_id long"))
     near = condition_near_index(
         codes, read_result(spark, catalog, "cohort"), "adt_date", 7, 7,
         read_result(spark, catalog, "conditions"),
@@ -149,12 +209,12 @@ def test_bucketed_events_are_not_shuffled(spark, without_automatic_broadcast):
     spark.sql("drop schema bucketed cascade")
 
 
-def test_shuffled_code_joins_are_salted(spark, stored, without_automatic_broadcast, monkeypatch):
+def test_shuffled_code_joins_are_salted(spark, stored, without_automatic_broadcast):
     from cohortlane.operators import codes as code_ops
 
-    monkeypatch.setattr(code_ops, "is_small", lambda df, max_rows=0: False)
     events = stored("events", "person_id long, concept long, day date")
-    codes = spark.createDataFrame([(1,)], "concept_id long")
+    frame = spark.createDataFrame([(1,)], "concept_id long")
+    codes = CodeSet(frame, rows=10**9, bytes=10**11, spread=16)
     plan = plan_of(code_ops.match_codes(events, "concept", codes))
     assert re.search(r"hashpartitioning\(concept#\d+L, _salt#\d+L", plan)
 

@@ -141,3 +141,16 @@ def test_stage_uses_the_checkpoint_folder(spark):
     staged = stage(spark.range(10).withColumnRenamed("id", "n"), "numbers")
     assert staged.count() == 10
     assert stage_root(spark) in staged.inputFiles()[0]
+
+
+def test_only_catalog_tables_are_bucketed(spark, tmp_path):
+    catalog = StudyCatalog("cdm", "vocabulary", str(tmp_path), layout="parquet")
+    with pytest.raises(ValueError, match="bucketed"):
+        write_result(spark.range(1), catalog, "x", bucket_by=(2, "id"))
+
+
+def test_code_sets_are_read_by_line_unless_told_otherwise(spark, tmp_path):
+    (tmp_path / "codes.csv").write_text('concept_id,concept_name\n1,"two\nlines"\n')
+    assert read_codeset(spark, str(tmp_path / "codes.csv"), multi_line=True).count() == 1
+    (tmp_path / "plain.csv").write_text("concept_name,concept_id\na,1\nb,2\n")
+    assert read_codeset(spark, str(tmp_path / "plain.csv")).count() == 2
