@@ -6,7 +6,10 @@ from cohortlane.operators.attrition import attrition
 from cohortlane.operators.demographics import known_sex
 from cohortlane.operators.summary import demographic_summary, raceth_by_sex
 from cohortlane.plans import sepsis
-from fixtures.queries import study_inputs
+from compare import spark_rows
+from fixtures.literal import literal_query
+from fixtures.queries import all_queries, study_inputs
+from fixtures.scale import scaled_copy
 from fixtures.views import ClinicalViews
 
 
@@ -78,3 +81,17 @@ def test_stored_study(spark, inputs, tmp_path):
     assert rows(read_result(spark, catalog, "sepsis_raceth_by_sex")) == rows(
         sepsis.raceth_by_sex_all(members, inputs.sites)
     )
+
+
+@pytest.mark.parametrize("name", ["report_demographics", "adt_episodes", "same_visit_phenotype"])
+def test_literal_plans_give_the_same_rows(name, spark, sf_dir):
+    ours = spark_rows(all_queries()[name](spark, sf_dir))
+    assert spark_rows(literal_query(spark, sf_dir, name)) == ours
+
+
+def test_scaled_copy(spark, tmp_path, sf_dir):
+    scaled_copy(spark, sf_dir, str(tmp_path), 3)
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").count()
+    copy = spark.read.parquet(str(tmp_path / "events.parquet"))
+    assert copy.count() == 3 * events == copy.select("event_id").distinct().count()
+    assert copy.where("user_id = 1").count() > events * 0.9
