@@ -24,7 +24,8 @@ Span = tuple[int, int, int]  # start, kind, end
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+# a match starts where a run of digits does; saying so keeps long runs cheap
+_IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
@@ -75,7 +76,7 @@ def detect(text: str) -> list[Span]:
     out += [
         (m.start(), 1, m.end())
         for m in _IP.finditer(text)
-        if all(len(x.lstrip("0")) <= 3 and int(x) <= 255 for x in m[0].split("."))
+        if all(len(x) <= 3 and int(x or "0") <= 255 for x in (y.lstrip("0") for y in m[0].split(".")))
     ]
     out += [(s, 2, e) for s, e in _cards(text)]
     if "+" in text:
