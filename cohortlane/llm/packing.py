@@ -9,6 +9,8 @@ blocks leave half empty is pooled and packed once more.
 
 from __future__ import annotations
 
+import string
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -24,8 +26,8 @@ from cohortlane.llm.grouping import Block, Search, to_bins, to_numbers
 from cohortlane.sources.sinks import stage
 
 END_ID = 1
-#: Python's split also parts at these, the tokenizer doesn't.
-_ODD_BLANKS = ("\x1c", "\x1d", "\x1e", "\x1f")
+#: Python's split also parts at separators, and its lower case of sigma depends on what follows; special tokens are exact.
+_SPECIAL = ("\x1c", "\x1d", "\x1e", "\x1f", "\u03a3", "\u0130", "<|")
 
 
 @dataclass(frozen=True)
@@ -46,30 +48,66 @@ class Packing:
 class WordIds:
     """Token ids by white-space separated word, as little-endian 32-bit bytes.
 
-    The tokenizer never joins across white space, so a text's ids are those of
-    its words. Words are kept in a table that is thinned to the words in use
-    when it has ``limit`` entries.
+    The tokenizer lower-cases and never joins across white space, so a text's
+    ids are those of its lower-case words. New words are parted into letters
+    and the ASCII signs behind them, which the tokenizer parts as well, and
+    many parts are encoded as one text: the vocabulary marks the last token of
+    each part. Texts with special tokens, or with characters that are split or
+    lower-cased otherwise, go to the tokenizer whole. Words are kept in a table
+    that is thinned to the words in use when it has ``limit`` entries.
     """
 
-    def __init__(self, path: str, limit: int = 400_000):
-        from tokenizers import Tokenizer
+    def __init__(self, path: str, limit: int = 700_000):
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        # the same model for parts that are lower case, composed and parted already
+        self.bare = Tokenizer(self.tokenizer.model)
+        self.bare.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+        )
         self.limit, self.known = limit, {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        words = [None if any(c in t for c in _ODD_BLANKS) else t.split() for t in texts]
+        words = [None if any(map(t.__contains__, _SPECIAL)) else t.lower().split() for t in texts]
         used = set().union(*[w for w in words if w])
-        if new := list(used.difference(self.known)):
+        if new := used.difference(self.known):
             if len(self.known) + len(new) > self.limit:
                 self.known = {w: self.known[w] for w in used.intersection(self.known)}
-            for at in range(0, len(new), 4096):
-                part = new[at : at + 4096]
-                for word, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                    self.known[word] = np.array(found.ids, "<u4").tobytes()
+            self._learn(new)
         get = self.known.__getitem__
         return [self.whole(t) if w is None else b"".join(map(get, w)) for t, w in zip(texts, words)]
 
+    def _learn(self, new: set[str]) -> None:
+        letters = [w for w in new if w.isalpha()]
+        mixed = [(w, w.rstrip(string.punctuation)) for w in new.difference(letters)]
+        ids = self._parts(letters)
+        parted = [(w, core, w[len(core) :]) for w, core in mixed if core.isalpha()]
+        parts = {part for _, core, tail in parted for part in (core, tail)}
+        # a core may be a word by itself, of this batch or an earlier one
+        have = {p: known for p in parts if (known := ids.get(p) or self.known.get(p)) is not None}
+        have |= self._parts(list(parts.difference(have)))
+        self.known |= ids
+        self.known |= {w: have[core] + have[tail] for w, core, tail in parted}
+        self.known |= {w: self.whole(w) for w, core in mixed if not core.isalpha()}
+
+    def _parts(self, parts: list[str]) -> dict[str, bytes]:
+        out: dict[str, bytes] = {}
+        for at in range(0, len(parts), 2048):
+            own = parts[at : at + 2048]
+            line = unicodedata.normalize("NFC", " ".join(own))
+            data = np.array(self.bare.encode_batch_fast([line], add_special_tokens=False)[0].ids, "<u4").tobytes()
+            stops = 4 * (np.flatnonzero(self.ends[np.frombuffer(data, "<u4")]) + 1)
+            if len(stops) != len(own):
+                out |= {part: self.whole(part) for part in own}
+                continue
+            stops = stops.tolist()
+            out |= {part: data[a:b] for part, a, b in zip(own, [0, *stops], stops)}
+        return out
+
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 

@@ -52,7 +52,7 @@ def test_whole_table(spark, sf_dir, tokenizer):
 
 def test_words_are_enough(tokenizer):
     rng = random.Random(1)
-    pool = ["a", "B", "é", "é", "́", " ", " ", "\x1c", "\n", "　", "'s", "<|endoftext|>", "12", "ς", "Σ", "İ", "!?", "\x85", "ﬁ"]
+    pool = ["a", "B", "é", "é", "́", " ", " ", "\x1c", "\n", "　", "'s", "<|endoftext|>", "12", "ς", "Σ", "İ", "!?", "\x85", "ﬁ", "Ǆ", "K", "x²", "½", "_", "a.", "B,", "'S", "É", "E\u0301", "ß", "ẞ", "<|", "'", "日本", "İ"]
     texts = ["".join(rng.choice(pool) for _ in range(rng.randint(0, 30))) for _ in range(2000)]
     ids = WordIds(PATH, limit=50)
     for at in range(0, len(texts), 100):
