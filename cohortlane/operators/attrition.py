@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 class AttritionStep:
     """Distinct persons of ``frame``, or of its rows meeting ``where``.
 
-    Steps that share a frame are counted in one pass over it.
+    Rows without a person don't count. Steps that share a frame are counted in one pass over it.
     """
 
     description: str
@@ -40,7 +40,8 @@ def attrition(steps: Sequence[AttritionStep]) -> DataFrame:
             ).alias(f"_step_{number}")
             for number, step in numbered
         ]
-        per_person = numbered[0][1].frame.groupBy("person_id").agg(*flags)
+        known = numbered[0][1].frame.where(F.col("person_id").isNotNull())
+        per_person = known.groupBy("person_id").agg(*flags)
         counts = per_person.agg(*[
             F.count_if(F.col(f"_step_{number}")).alias(f"_step_{number}")
             for number, _ in numbered

@@ -191,3 +191,8 @@ def test_report_with_an_empty_first_cohort(spark):
     )
     rows = report_demographics(summary, "cohort", {"a": "A", "b": "B"}).collect()
     assert [tuple(r) for r in rows] == [("Total", "Total", "0 (NaN)", "1 (100)")]
+
+
+def test_attrition_leaves_out_rows_without_a_person(spark):
+    df = spark.createDataFrame([(1,), (None,), (1,)], "person_id long")
+    assert [r.counts for r in attrition([AttritionStep("all", df)]).collect()] == [1]
