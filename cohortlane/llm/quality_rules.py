@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortlane.llm.frames import WORD_GAP, let, words
+from cohortlane.llm.frames import let, words
 
 SYMBOLS = "#*$%&|<>"
 #: Characters that fill a line of junk but are rare in prose.
@@ -179,6 +179,3 @@ def clean_lines(docs: DataFrame, rules: LineRules = LineRules(), text: str = "te
     return counted.withColumn("base_failed", failed).withColumn(
         "kept", ~F.col("base_failed") & (F.col("lost_chars") * 100 <= F.col("word_chars") * rules.max_lost_percent)
     )
-
-
-__all__ = ["WORD_GAP", "LineRules", "clean_lines", "line_fails"]

@@ -152,6 +152,3 @@ def llm_queries() -> dict[str, Query]:
 
 def llm_oracles() -> dict[str, str]:
     return {name: sql for name, sql in ORACLES.items() if name in QUERIES}
-
-
-__all__ = ["QUERIES", "llm_oracles", "llm_queries", "ship"]
