@@ -18,6 +18,8 @@ from cohortlane.sources.sinks import stage
 
 #: Documents with a smaller score are rejected.
 QUALITY = 0.3
+#: Near-duplicates share 80 % of their shingles of five words; op6's contract has values of its own.
+NEAR = jaccard.Join(size=5, percent=80)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +32,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group."""
     ship(spark)
-    return jaccard.one_of_each(docs)
+    return jaccard.one_of_each(docs, NEAR)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

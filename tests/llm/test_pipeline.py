@@ -90,3 +90,13 @@ def test_run(spark, sf_dir, stages):
     assert sorted(map(tuple, got)) == sorted(
         map(tuple, stages[5].select("doc_id", "piece", "start", "length", "ids_crc32").collect())
     )
+
+
+def test_near_duplicates_at_80_percent_of_five_words(spark, documents):
+    words = [f"w{i}" for i in range(104)]
+    # 100 shingles of five words; with 22 more words 100 of 122, with 30 more 100 of 130
+    near = [*words, *(f"x{i}" for i in range(22))]
+    far = [*words, *(f"y{i}" for i in range(30))]
+    rows = [(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(far)), (4, None), (5, "")]
+    kept = {r.doc_id for r in p.near_duplicates(spark, documents(*rows), "").collect()}
+    assert kept == {1, 3, 4, 5}
