@@ -107,8 +107,10 @@ OPEN = (
     "MIT", "BSD-3-Clause", "BSD-2-Clause", "BSD", "Apache-2.0", "ISC", "MPL-2.0", "Unlicense", "CC0-1.0", "CC-BY-4.0",
 )
 
-#: A text without any of these words holds no known sentence.
-HINT = "(?i)licen[sc]e|rights reserved|warrant|copyright|permission|under |public domain"
+#: A text without any of these words holds no known sentence, whatever stands between words.
+HINT = (
+    "(?i)licen[sc]e|reserved|warrant|copyright|permission|unencumbered|redistribut|gpl|cc0|cc[^a-z0-9.+-]+by"
+)
 LEAD = (
     "^(this |the )?((work|software|program|code|source code|file|project|library|text|document|content|material) )?"
     "((is|are) )?((re)?distributed|released|licensed|made available|provided|available|published) "

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from cohortlane.llm.licenses import find_licenses
+from cohortlane.llm.licenses import SENTENCES, find_licenses
 
 CASES = [
     (None, [], False),
@@ -47,3 +47,11 @@ def test_order_of_rules(documents):
 
 def test_empty_table(documents):
     assert find_licenses(documents((1, "x")).limit(0)).count() == 0
+
+
+def test_every_known_sentence_is_looked_up(documents):
+    leads = ["under ", "Distributed by ", "This work is licensed under the terms of the\t", "released by/"]
+    texts = [(lead + s[6:], name) for s, name in SENTENCES.items() if s.startswith("under ") for lead in leads]
+    texts += [(s.upper().replace(" ", "  "), name) for s, name in SENTENCES.items()]
+    rows = find_licenses(documents(*enumerate(t for t, _ in texts))).collect()
+    assert {r.doc_id: r.sentences for r in rows} == {i: [name] for i, (_, name) in enumerate(texts)}
