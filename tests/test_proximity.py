@@ -238,11 +238,7 @@ def test_null_codes_never_match(make):
     assert code_ops.tag_events(events, ("concept_id_",), {0: make.codes(None)}).count() == 0
 
 
-@pytest.mark.parametrize("limit", [1000, 1])
-def test_stored_cohort_gives_the_same(make, monkeypatch, limit):
-    from cohortlane.operators import phenotype
-
-    monkeypatch.setattr(phenotype, "BROADCAST_PERSONS", limit)
+def test_stored_cohort_gives_the_same(make):
     cohort = make.cohort((1, D0), (2, day(3)), (2, D0), (3, D0))
     criteria = sources(make, px=[(1, 1, D0), (2, 1, day(3)), (9, 1, D0)], drug=[(2, 5, day(4)), (3, 5, D0)])
     for keep in (False, True):
