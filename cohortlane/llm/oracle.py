@@ -148,4 +148,98 @@ SELECT documents.doc_id, coalesce(n, 0)::BIGINT AS n_sentences, coalesce(ids, ''
 FROM documents LEFT JOIN found USING (doc_id) LEFT JOIN r{len(RULES)} USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op8_licenses": OP8, "op6_jaccard": OP6, "op5_decontaminate": OP5, "op1_chat": OP1, "op7_line_rules": OP7}
+# CRC-32 of a text's UTF-8 bytes: its table by the polynomial's rule, then a step per byte.
+_CRC_TABLE = """crc AS (
+  SELECT list(list_reduce(list_prepend(i, range(8)),
+    lambda a, b: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END) ORDER BY i) AS t FROM range(256) r(i)
+)"""
+
+
+def _crc(text: str) -> str:
+    digits = f"hex(encode({text}))"
+    values = f"list_transform(range(octet_length(encode({text}))), lambda k: ('0x' || substr({digits}, 2 * k + 1, 2))::BIGINT)"
+    return (
+        f"xor(list_reduce(list_prepend(4294967295, {values}), "
+        "lambda a, b: xor(a // 256, t[xor(a % 256, b) + 1])), 4294967295)"
+    )
+
+
+OP11 = f"""
+WITH {_CRC_TABLE},
+d AS (SELECT doc_id, {_WORDS5} AS ws FROM documents),
+feats AS (SELECT doc_id, unnest(ws) AS w FROM d),
+wanted AS (SELECT unnest({_WORDS5}) AS w FROM benchmark),
+named AS (SELECT w FROM feats UNION SELECT w FROM wanted),
+bucket AS MATERIALIZED (SELECT w, {_crc("w")} % 10000 AS b FROM named, crc),
+s AS (SELECT b, count(*) AS s FROM feats JOIN bucket USING (w) GROUP BY b),
+t AS (SELECT b, count(*) AS t FROM wanted JOIN bucket USING (w) GROUP BY b),
+total AS (SELECT (SELECT count(*) FROM feats)::DOUBLE AS s, (SELECT count(*) FROM wanted)::DOUBLE AS t),
+gain AS (
+  SELECT b, floor(1000 * ln((coalesce(t.t, 0) + 1)::DOUBLE * (total.s + 10000)
+    / ((coalesce(s.s, 0) + 1)::DOUBLE * (total.t + 10000))))::BIGINT AS g
+  FROM s FULL JOIN t USING (b), total
+),
+weights AS (SELECT doc_id, sum(g)::BIGINT AS weight FROM feats JOIN bucket USING (w) JOIN gain USING (b) GROUP BY doc_id),
+scored AS (
+  SELECT doc_id, len(ws)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+    (coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE)
+      / 4294967296::DOUBLE))))::BIGINT AS score
+  FROM d LEFT JOIN weights USING (doc_id)
+),
+ranked AS (
+  SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id)::BIGINT AS r, count(*) OVER () AS n
+  FROM scored WHERE n_features >= 20
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN r <= 10 * n // 100 THEN r END AS rank
+FROM scored LEFT JOIN ranked USING (doc_id)
+"""
+
+_LEFT_OUT = "left(w, i::INT - 1) || substr(w, i::INT + 1)"
+
+OP12 = f"""
+WITH RECURSIVE {_CRC_TABLE},
+runs AS (
+  SELECT doc_id, unnest(regexp_extract_all({_LOW.format("coalesce(text, '')")}, '[a-z\u00C0-\u00FF]+')) AS w FROM documents
+),
+own AS (SELECT doc_id, w, count(*) AS n FROM runs GROUP BY ALL),
+hashed AS MATERIALIZED (SELECT w, n, {_crc("(doc_id || ':' || w)")} AS h FROM own, crc WHERE length(w) >= 7),
+mended AS (
+  SELECT CASE WHEN h % 31 = 0 THEN left(w, (h % length(w))::INT) || substr(w, (h % length(w))::INT + 2) ELSE w END AS w, n
+  FROM hashed
+),
+words AS MATERIALIZED (
+  SELECT w, sum(n)::BIGINT AS n FROM mended WHERE length(w) >= 7 GROUP BY w HAVING sum(n) >= 2
+),
+places AS (SELECT w, unnest(range(1, length(w) + 1)) AS i FROM words),
+shorter AS MATERIALIZED (SELECT w, i, {_LEFT_OUT} AS x FROM places),
+near AS MATERIALIZED (
+  SELECT DISTINCT a.w AS w, b.w AS v FROM shorter a JOIN shorter b ON a.i = b.i AND a.x = b.x AND a.w <> b.w
+  UNION SELECT w, x FROM shorter SEMI JOIN words y ON shorter.x = y.w
+  UNION SELECT x, w FROM shorter SEMI JOIN words y ON shorter.x = y.w
+),
+best AS (
+  SELECT near.w, count(*) AS n_near,  min(struct_pack(m := -words.n, v := v)) AS b
+  FROM near JOIN words ON words.w = near.v GROUP BY near.w
+),
+formed AS MATERIALIZED (
+  SELECT words.w, words.n, coalesce(n_near, 0)::BIGINT AS n_near,
+    CASE WHEN -b.m >= 10 * words.n THEN b.v END AS form, CASE WHEN -b.m >= 10 * words.n THEN -b.m END AS form_n
+  FROM words LEFT JOIN best USING (w)
+),
+paths(w, place) AS (
+  SELECT w, w FROM formed
+  UNION ALL SELECT paths.w, formed.form FROM paths JOIN formed ON formed.w = paths.place WHERE formed.form IS NOT NULL
+),
+roots AS (SELECT paths.w, paths.place AS root FROM paths JOIN formed ON formed.w = paths.place WHERE formed.form IS NULL)
+SELECT w AS word, form, root, n, n_near, form_n FROM formed JOIN roots USING (w)
+"""
+
+ORACLES: dict[str, str] = {
+    "op1_chat": OP1,
+    "op5_decontaminate": OP5,
+    "op6_jaccard": OP6,
+    "op7_line_rules": OP7,
+    "op8_licenses": OP8,
+    "op11_resample": OP11,
+    "op12_spelling": OP12,
+}

@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlane.llm import chat, decontaminate, jaccard, licenses, lm_score, packing, pii, quality_crf, quality_rules, secrets
+from cohortlane.llm import (
+    chat,
+    decontaminate,
+    jaccard,
+    licenses,
+    lm_score,
+    packing,
+    pii,
+    quality_crf,
+    quality_rules,
+    resample,
+    secrets,
+    spelling,
+    toxicity,
+)
 from cohortlane.llm.frames import read_table, ship
 from cohortlane.llm.oracle import ORACLES
 
@@ -132,6 +146,30 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return resample.resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return spelling.group_variants(read_table(spark, sf_dir, "documents"))
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    docs = read_table(spark, sf_dir, "documents")
+    tagger = toxicity.fit(docs, read_table(spark, sf_dir, "labels"))
+    return toxicity.score_documents(docs, tagger).select(
+        "doc_id",
+        toxicity.held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        "n_words",
+        F.concat_ws(",", F.transform("spans", lambda x: F.concat_ws(":", x["start"], x["end"]))).alias("spans"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_chat": op1_chat,
     "op2_quality": op2_quality,
@@ -143,6 +181,9 @@ QUERIES: dict[str, Query] = {
     "op8_licenses": op8_licenses,
     "op9_lm": op9_lm,
     "op10_pii": op10_pii,
+    "op11_resample": op11_resample,
+    "op12_spelling": op12_spelling,
+    "op13_toxicity": op13_toxicity,
 }
 
 
