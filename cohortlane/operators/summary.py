@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlane.functions import labels
+from cohortlane.operators.moments import mean_of, merged, moments, sd_of
 
 SUMMARY_VARIABLES = ("site", "race_cat2", "eth_cat2", "sex_cat", "age_group")
 
@@ -32,7 +33,8 @@ def demographic_summary(
 ) -> DataFrame:
     """Total persons, and rows and percentage per category of each variable.
 
-    All variables are counted in one pass with grouping sets; ``by`` adds
+    Rows are counted once, per combination of all categories; the grouping sets
+    of the single variables are taken over those few thousand cells. ``by`` adds
     columns to report separately for each of their values, and ``groups`` lists
     values of theirs that have a total even without rows. The percentage
     refers to the number of distinct persons. ``one_row_per_person=True`` is
@@ -40,12 +42,13 @@ def demographic_summary(
     """
     keys, names = list(by), list(variables)
     if one_row_per_person:
-        rows = cohort.select(
-            *keys, *names, F.lit(1).cast("bigint").alias("_rows"),
-            F.lit(1).cast("bigint").alias("_person"),
-        )
+        rows = cohort.groupBy(*keys, *names).agg(F.count("*").alias("_rows")).withColumn("_person", F.col("_rows"))
     else:
-        rows = _count_persons_once(cohort, keys, names)
+        rows = (
+            _count_persons_once(cohort, keys, names)
+            .groupBy(*keys, *names)
+            .agg(F.sum("_rows").alias("_rows"), F.sum("_person").alias("_person"))
+        )
     # an empty cohort still reports a total of 0
     types = dict(rows.dtypes)
     for group in groups if keys else [()]:
@@ -155,18 +158,25 @@ def demographics_continuous(
     """Mean and standard deviation of age, then counts per category.
 
     Category percentages refer to rows with a known category; a NULL category
-    gets a count only.
+    gets a count only. Cohort rows are aggregated once, per combination of all
+    categories; the rest works on those cells, with mergeable moments of age.
     """
     names = list(variables)
     everything = (1 << len(names)) - 1
     group_of = {n: everything ^ (1 << (len(names) - 1 - i)) for i, n in enumerate(names)}
-    counted = cohort.groupingSets([[], *[[n] for n in names]], *names).agg(
-        F.count("*").alias("_rows"),
-        F.count("age").alias("_ages"),
-        F.avg("age").alias("_mean"),
-        F.stddev_samp("age").alias("_sd"),
-        F.grouping_id().alias("_group"),
+    types = dict(cohort.dtypes)
+    # an empty cohort still has its row of ages
+    nobody = cohort.sparkSession.range(1).select(
+        *[F.lit(None).cast(types[n]).alias(n) for n in names],
+        F.lit(0).cast("bigint").alias("_rows"),
+        F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2")).alias("_age"),
     )
+    cells = cohort.groupBy(*names).agg(F.count("*").alias("_rows"), moments("age").alias("_age")).unionByName(nobody)
+    counted = cells.groupingSets([[], *[[n] for n in names]], *names).agg(
+        F.sum("_rows").alias("_rows"),
+        merged(F.col("_age")).alias("_age"),
+        F.grouping_id().alias("_group"),
+    ).where((F.col("_rows") > 0) | (F.col("_group") == everything))
     is_age = F.col("_group") == everything
     variable = labels.first_match(
         [(is_age, "age"), *[(F.col("_group") == g, n) for n, g in group_of.items()]]
@@ -177,9 +187,9 @@ def demographics_continuous(
     table = counted.select(
         variable.alias("variable"),
         category.alias("category"),
-        F.when(is_age, F.col("_ages")).otherwise(F.col("_rows")).alias("n_patients"),
-        F.when(is_age, F.col("_mean")).alias("mean"),
-        F.when(is_age, F.col("_sd")).alias("sd"),
+        F.when(is_age, F.col("_age.n")).otherwise(F.col("_rows")).alias("n_patients"),
+        F.when(is_age, mean_of(F.col("_age"))).alias("mean"),
+        F.when(is_age, sd_of(F.col("_age"))).alias("sd"),
     )
     known = F.sum(F.when(F.col("category").isNotNull(), F.col("n_patients"))).over(
         Window.partitionBy("variable")

@@ -196,3 +196,33 @@ def test_report_with_an_empty_first_cohort(spark):
 def test_attrition_leaves_out_rows_without_a_person(spark):
     df = spark.createDataFrame([(1,), (None,), (1,)], "person_id long")
     assert [r.counts for r in attrition([AttritionStep("all", df)]).collect()] == [1]
+
+
+def test_moments_merge(spark):
+    """Parts merge to the moments of all rows, also far from zero."""
+    from cohortlane.operators.moments import mean_of, merged, moments, sd_of
+
+    rows = [(i % 7, None if i % 5 == 0 else 1e9 + (i * 37 % 101) / 10) for i in range(500)] + [(9, None)]
+    df = spark.createDataFrame(rows, "part int, x double")
+    parts = df.groupBy("part").agg(moments("x").alias("m"))
+    whole = parts.agg(merged(F.col("m")).alias("m")).select(
+        F.col("m.n").alias("n"), mean_of(F.col("m")).alias("mean"), sd_of(F.col("m")).alias("sd")
+    )
+    got = whole.first()
+    want = df.agg(F.count("x"), F.avg("x"), F.stddev_samp("x")).first()
+    assert got.n == want[0] == 400
+    assert got.mean == pytest.approx(want[1], rel=1e-15) and got.sd == pytest.approx(want[2], rel=1e-9)
+    one = df.where("x is null").groupBy("part").agg(moments("x").alias("m")).agg(merged(F.col("m")).alias("m"))
+    assert one.select(mean_of(F.col("m")).alias("a"), sd_of(F.col("m")).alias("b")).first() == (None, None)
+
+
+def test_continuous_table_of_nobody(spark):
+    df = spark.createDataFrame([], "age double, site string")
+    assert [tuple(r) for r in demographics_continuous(df, ("site",)).collect()] == [("age", None, 0, None, None, None)]
+
+
+def test_summary_of_repeated_persons_by_cells(spark):
+    """A person in several categories is one person and several rows."""
+    df = spark.createDataFrame([(1, "a"), (1, "a"), (1, "b"), (2, "b"), (3, None)], "person_id long, site string")
+    rows = {(r.variable, r.category): r.n_patients for r in demographic_summary(df, ("site",)).collect()}
+    assert rows == {("Total", "Total"): 3, ("site", "a"): 2, ("site", "b"): 2, ("site", None): 1}
