@@ -43,14 +43,20 @@ def topic_codes(codes_by_topic: Mapping[str, Codes]) -> DataFrame:
 
 
 def availability_by_site(events: DataFrame, concept_col: str, topics: Codes) -> DataFrame:
-    """Event rows per topic and site: one scan for all topics."""
+    """Event rows per topic and site: one scan for all topics.
+
+    Events are counted per site and concept before they meet the topics, so
+    what is joined and shuffled is as large as the vocabulary in use, and a
+    concept with a third of all events is one row a site.
+    """
     listed = (
         frame_of(topics).where(F.col("concept_id").isNotNull())
         .select("topic", F.col("concept_id").alias("_code"))
         .distinct()
     )
-    matched = join_codes(events.select("site", concept_col), concept_col, listed, "inner", [topics])
-    return matched.groupBy("topic", "site").agg(F.count("*").alias("n"))
+    counted = events.where(F.col(concept_col).isNotNull()).groupBy("site", concept_col).agg(F.count("*").alias("_rows"))
+    matched = join_codes(counted, concept_col, listed, "inner", [topics])
+    return matched.groupBy("topic", "site").agg(F.sum("_rows").alias("n"))
 
 
 def observed_concepts(events: DataFrame, concept_col: str, concepts: DataFrame) -> DataFrame:
