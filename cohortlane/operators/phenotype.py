@@ -18,6 +18,7 @@ from cohortlane.operators.proximity import (
     join_near,
     reachable,
 )
+from cohortlane.operators.sieve import PersonSieve
 
 
 @dataclass(frozen=True, eq=False)
@@ -44,14 +45,17 @@ class Criterion:
 
 
 def _matches(
-    criteria: Sequence[Criterion], between: DateRange | None, members: DataFrame | None = None
+    criteria: Sequence[Criterion],
+    between: DateRange | None,
+    members: DataFrame | PersonSieve | None = None,
 ) -> DataFrame:
     """Distinct (person_id, event_date) with the set of criteria met that day.
 
     The per-day aggregate runs before any join with a cohort: partial results
     are combined before the shuffle, and a person with very many events shrinks
-    to one row per day. ``members`` drop other persons' events first: a semi join
-    that Spark broadcasts or shuffles as their size has it.
+    to one row per day. ``members`` drop other persons' events first: a sieve
+    does so without a shuffle, a frame by a semi join that Spark broadcasts or
+    shuffles as their size has it.
     """
     sources = {c.source.key(): c.source for c in criteria}
     per_source = []
@@ -63,7 +67,9 @@ def _matches(
             source.concept_cols,
             codes,
         )
-        if members is not None:
+        if isinstance(members, PersonSieve):
+            tagged = members.keep(tagged)
+        elif members is not None:
             tagged = tagged.join(members, "person_id", "left_semi")
         per_source.append(
             tagged.select("person_id", as_date(source.date_col).alias("event_date"), "_tags")
@@ -85,6 +91,7 @@ def criteria_by_index(
     keep_unmatched: bool = False,
     day_buckets: bool = False,
     stored_cohort: bool = False,
+    sieve: PersonSieve | None = None,
     by: Sequence[str] = (),
 ) -> DataFrame:
     """Per person and index date: one flag per criterion met in the window.
@@ -92,7 +99,8 @@ def criteria_by_index(
     Index dates without any match are left out unless ``keep_unmatched``.
     ``stored_cohort=True`` says that the cohort is a stored table, so that
     reading it twice is cheap: events of everybody else are dropped right after
-    the scan instead of in the join. ``by`` are columns of the cohort that tell
+    the scan instead of in the join. A ``sieve`` of the cohort's persons does the
+    same for a cohort too large to broadcast. ``by`` are columns of the cohort that tell
     several index definitions apart; all are evaluated with one look at the events.
 
     The join and the aggregates are by person. A person with very many events or
@@ -100,8 +108,8 @@ def criteria_by_index(
     person the session needs adaptive skew-join handling (``SESSION_SETTINGS``).
     """
     between = reachable(index_between, days_pre, days_post) if index_between else None
-    members = None
-    if stored_cohort:
+    members = sieve
+    if sieve is None and stored_cohort:
         members = cohort.select("person_id").distinct()
     joined = join_near(
         index_dates(cohort, date_col, by),

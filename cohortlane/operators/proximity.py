@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlane.functions.dates import as_date, within_days
+from cohortlane.operators.sieve import PersonSieve
 
 DateRange = tuple[date, date]
 
@@ -104,6 +105,13 @@ def near_index(
     ).drop("_person", "_event_bucket", "_bucket")
 
 
-def restrict_to_persons(df: DataFrame, persons: DataFrame) -> DataFrame:
-    """Rows of persons that occur in another frame."""
+def restrict_to_persons(
+    df: DataFrame, persons: DataFrame, sieve: PersonSieve | None = None
+) -> DataFrame:
+    """Rows of persons that occur in another frame.
+
+    With a ``sieve`` of these persons most other rows go before the join.
+    """
+    if sieve is not None:
+        df = sieve.keep(df)
     return df.join(persons.select("person_id"), "person_id", "left_semi")

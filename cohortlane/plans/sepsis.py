@@ -36,6 +36,7 @@ from cohortlane.operators.phenotype import (
 )
 from cohortlane.operators.proximity import DateRange
 from cohortlane.operators.report import report_attrition, report_demographics
+from cohortlane.operators.sieve import PersonSieve
 from cohortlane.operators.summary import (
     SUMMARY_VARIABLES,
     demographic_summary,
@@ -120,10 +121,12 @@ def study_criteria_by_index(
     keep_unmatched: bool = False,
     cohort: DataFrame | None = None,
     phenotypes: Sequence[str] = tuple(PHENOTYPES),
+    sieve: PersonSieve | None = None,
 ) -> DataFrame:
     """The criteria of the phenotypes at each index date.
 
-    ``cohort`` is a stored :func:`index_cohort`, if there is one.
+    ``cohort`` is a stored :func:`index_cohort`, if there is one, and ``sieve``
+    one of its persons.
     """
     return criteria_by_index(
         index_cohort(inputs, by, sexes) if cohort is None else cohort,
@@ -134,6 +137,7 @@ def study_criteria_by_index(
         inputs.index_between,
         keep_unmatched=keep_unmatched,
         stored_cohort=cohort is not None,
+        sieve=sieve,
     )
 
 
@@ -144,13 +148,14 @@ def study_persons(
     keep_unmatched: bool = False,
     cohort: DataFrame | None = None,
     phenotypes: Sequence[str] = tuple(PHENOTYPES),
+    sieve: PersonSieve | None = None,
 ) -> DataFrame:
     """One row per person: dates and counts of the phenotypes.
 
     With ``keep_unmatched`` every person of the index cohort has a row.
     """
     return phenotypes_by_person(
-        study_criteria_by_index(inputs, by, sexes, keep_unmatched, cohort, phenotypes),
+        study_criteria_by_index(inputs, by, sexes, keep_unmatched, cohort, phenotypes, sieve),
         by,
         {name: PHENOTYPES[name] for name in phenotypes},
     )
@@ -355,9 +360,10 @@ def write_study(inputs: StudyInputs, catalog: StudyCatalog) -> list[str]:
     demographics.
     """
     cohort = materialize(index_cohort(inputs), catalog, "sepsis_index")
-    persons = materialize(
-        study_persons(inputs, keep_unmatched=True, cohort=cohort), catalog, "sepsis_persons"
+    everybody = study_persons(
+        inputs, keep_unmatched=True, cohort=cohort, sieve=PersonSieve.checked(cohort)
     )
+    persons = materialize(everybody, catalog, "sepsis_persons")
     members = materialize(
         cohort_demographics(inputs, tuple(MEMBERSHIP), persons=persons), catalog, "sepsis_cohorts"
     )

@@ -645,6 +645,10 @@ UNION SELECT concept_id, concept_name, NULL FROM lab_blood_culture""",
 SQL["phenotype_near_stored_index"] = f"""
 SELECT * FROM ({SQL['criteria_intersection']}) d INTERSECT SELECT * FROM ({SQL['key_union_full_join']}) c
 """
+SQL["phenotype_near_sieved_index"] = SQL["phenotype_near_stored_index"]
+SQL["person_sieve_join"] = """SELECT c.condition_occurrence_id, c.person_id, c.condition_start_date
+FROM condition_occurrence c WHERE c.condition_concept_id IN (SELECT concept_id FROM dx_sepsis)
+AND c.person_id IN (SELECT person_id FROM under18_adt)"""
 
 _near_index_level = " UNION ".join(
     f"SELECT DISTINCT c.person_id, x.adt_date AS dt FROM condition_occurrence c JOIN dx_sepsis k ON c.{column} = k.concept_id "

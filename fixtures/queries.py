@@ -34,6 +34,7 @@ from cohortlane.operators.phenotype import (
 from cohortlane.operators.proximity import near_index, restrict_to_persons
 from cohortlane.operators.report import report_attrition, report_demographics, side_by_side
 from cohortlane.operators.sets import union_distinct
+from cohortlane.operators.sieve import PersonSieve
 from cohortlane.operators.summary import (
     age_quantiles,
     demographic_summary,
@@ -194,6 +195,15 @@ def phenotype_near_stored_index(v):
     return by_index.where(sepsis.SUSPECTED).select("person_id", "adt_date")
 
 
+@_query
+def phenotype_near_sieved_index(v):
+    """With a sieve of the stored cohort's persons in place of a join with them."""
+    inputs = study_inputs(v)
+    cohort = stage(sepsis.index_cohort(inputs), "index")
+    by_index = sepsis.study_criteria_by_index(inputs, cohort=cohort, sieve=PersonSieve.checked(cohort))
+    return by_index.where(sepsis.SUSPECTED).select("person_id", "adt_date")
+
+
 def _two_level(v, level: str) -> DataFrame:
     by_index = sepsis.study_criteria_by_index(study_inputs(v))
     both = two_level_cohort(by_index, "adt_date", sepsis.SUSPECTED, sepsis.CODED, level)
@@ -592,6 +602,16 @@ def day_bucket_join(v):
     ).select("person_id", "adt_date")
 
 
+@_query
+def person_sieve_join(v):
+    """Conditions of sepsis among the persons of a stored cohort."""
+    cohort = stage(sepsis.index_cohort(study_inputs(v)).select("person_id"), "persons")
+    coded = codes.match_codes(v.conditions, "condition_concept_id", v.dx_sepsis)
+    return restrict_to_persons(coded, cohort, PersonSieve.checked(cohort)).select(
+        "condition_occurrence_id", "person_id", "condition_start_date"
+    )
+
+
 @_query
 def person_semi_join(v):
     coded = _condition(v, "adt_date")
