@@ -39,6 +39,8 @@ SESSION_SETTINGS: dict[str, str] = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # split a skewed join side even if that costs one more shuffle afterwards
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # buckets are written as one sorted file each: joins of stored tables need no sort
+    "spark.sql.legacy.bucketedTableScan.outputOrdering": "true",
 }
 
 # What to add on a cluster for about 2 TB per shuffle: 20,000 partitions of about

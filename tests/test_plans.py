@@ -4,6 +4,7 @@ import re
 from datetime import date
 
 import pytest
+from pyspark.sql import functions as F
 
 from cohortlane.operators.phenotype import Criterion, EventSource, phenotype_near_index
 from cohortlane.plans import sepsis
@@ -97,7 +98,7 @@ def test_both_index_definitions_look_at_events_once(spark, sf_dir):
 
 #: Queries that store something: results, exports, or visits that they read several times.
 STORING = {
-    "phenotype_near_stored_index", "demographic_summary_same_visit", "attrition_wide",
+    "phenotype_near_stored_index", "phenotype_near_sieved_index", "person_sieve_join", "demographic_summary_same_visit", "attrition_wide",
     "report_demographics_wide", "report_demographics_wide_site_subset", "blood_culture_after_ed",
     "blood_culture_within_30_days", "same_visit_criteria", "same_visit_phenotype", "result_table_roundtrip",
     "result_csv_roundtrip", "notes_table", "notes_result", "codeset_csv_roundtrip", "cdm_table_scan", "vocabulary_scan",
@@ -145,9 +146,22 @@ def test_summary_is_one_pass(spark, stored):
 
     schema = "person_id long, site string, race_cat2 string, eth_cat2 string, sex_cat string, age_group string"
     cohort = stored("members", schema)
-    plan = plan_of(demographic_summary(cohort))
+    for unique in (False, True):
+        plan = plan_of(demographic_summary(cohort, one_row_per_person=unique))
+        assert plan.count("FileScan parquet") == 1
+        assert plan.count("Expand") == 1
+        # rows are reduced to cells before grouping sets multiply them
+        assert "HashAggregate" in plan[plan.index("Expand") :]
+
+
+def test_continuous_table_expands_cells_only(stored):
+    from cohortlane.operators.summary import demographics_continuous
+
+    cohort = stored("ages", "age double, site string, age_group string, sex_cat string, raceth_cat string")
+    plan = plan_of(demographics_continuous(cohort))
     assert plan.count("FileScan parquet") == 1
     assert plan.count("Expand") == 1
+    assert "HashAggregate" in plan[plan.index("Expand") :]
 
 
 def test_availability_scans_once(spark, sf_dir):
@@ -155,6 +169,69 @@ def test_availability_scans_once(spark, sf_dir):
     assert plan.count("/events.parquet") == 1
 
 
+def test_availability_counts_before_it_joins(spark, stored, without_automatic_broadcast):
+    from cohortlane.operators.availability import availability_by_site
+
+    events = stored("events", "site string, concept long, day date")
+    plan = plan_of(availability_by_site(events, "concept", stored("topics", "topic string, concept_id long")))
+    below = plan[re.search("Join", plan).end() :]
+    counted = below[: below.index("FileScan")]
+    # partial counts, their exchange, whole counts; then the join's own exchange
+    assert counted.count("HashAggregate") == 2 and "partial_count" in counted
+
+
+def test_sieve_needs_no_shuffle_of_events(spark, stored, without_automatic_broadcast):
+    from cohortlane.operators.sieve import PersonSieve
+
+    events = stored("events", "person_id long, day date, note string")
+    sieve = PersonSieve.checked(spark.range(100).select(F.col("id").alias("person_id")))
+    plan = plan_of(sieve.keep(events))
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+
+
+def test_sieve_drops_other_persons_before_the_shuffle(spark):
+    """Members all pass; of others about one in nine does."""
+    from cohortlane.operators.sieve import PersonSieve
+
+    people = spark.range(5000).select((F.col("id") * 3).alias("person_id"))
+    sieve = PersonSieve.checked(people.unionByName(people).union(spark.sql("select cast(null as bigint)")))
+    assert sieve.persons == 5000 and sieve.bits == 65536
+    events = spark.range(15000).select(F.when(F.col("id") != 7, F.col("id")).alias("person_id"), F.lit("x").alias("note"))
+    kept = sieve.keep(events)
+    assert kept.columns == events.columns
+    ids = {r.person_id for r in kept.collect()}
+    assert ids >= set(range(0, 15000, 3)) and None not in ids
+    assert len(ids) - 5000 < 10000 / 8
+    # a crowded sieve lets more pass, and nobody is lost
+    crowded = PersonSieve.checked(people, bits=64)
+    assert {r.person_id for r in crowded.keep(events).collect()} >= set(range(0, 15000, 3))
+    nobody = PersonSieve.checked(people.limit(0))
+    assert nobody.keep(events).count() == 0
+
+
+def test_stored_buckets_join_without_sort(spark, without_automatic_broadcast):
+    from cohortlane.config import StudyCatalog
+    from cohortlane.operators.demographics import PERSON_ATTRIBUTES, demographics
+    from cohortlane.sources import read_result, write_result
+
+    spark.sql("create schema if not exists sorted_buckets")
+    catalog = StudyCatalog("cdm", "vocabulary", "sorted_buckets")
+    kinds = {"site": "string", "birth_date": "date"}
+    person = spark.range(50).select(
+        F.col("id").alias("person_id"),
+        *[F.lit(None).cast(kinds.get(c, "bigint")).alias(c) for c in PERSON_ATTRIBUTES],
+    )
+    cohort = spark.range(0, 50, 3).select(F.col("id").alias("person_id"), F.lit(date(2020, 1, 1)).alias("adt_date"))
+    for name, table in (("person", person), ("cohort", cohort)):
+        # many small input tasks
+        write_result(table.repartition(6), catalog, name, bucket_by=(4, "person_id"))
+    joined = demographics(read_result(spark, catalog, "cohort"), "adt_date", read_result(spark, catalog, "person"))
+    plan = plan_of(joined)
+    assert "SortMergeJoin" in plan and "Exchange" not in plan and "Sort [" not in plan
+    assert joined.count() == 17
+    spark.sql("drop schema sorted_buckets cascade")
+
+
 def test_episodes_read_records_once(spark, stored, without_automatic_broadcast):
     from cohortlane.operators.episodes import adt_episodes
 
