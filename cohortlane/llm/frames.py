@@ -8,6 +8,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortlane.sources.sinks import stage_path
+
 #: The words of most contracts: runs of anything but ASCII white space.
 WORD_GAP = "[\\x20\\x09-\\x0D]+"
 
@@ -32,6 +34,21 @@ def ship(spark: SparkSession) -> None:
         spark.sparkContext.environment["PYTHONPATH"] = f"{root}:{known}".rstrip(":")
 
 
+class Stored:
+    """An intermediate in the shared scratch folder that can be removed when nothing reads it any more."""
+
+    def __init__(self, df: DataFrame, label: str):
+        self._spark, self._path = df.sparkSession, stage_path(df.sparkSession, label)
+        df.write.parquet(self._path)
+        self.frame = self._spark.read.schema(df.schema).parquet(self._path)
+
+    def discard(self) -> None:
+        """Only after everything made of it is written: no lost task may have to read it again."""
+        jvm = self._spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(self._path)
+        path.getFileSystem(self._spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def words(text: Column) -> Column:
     """Array of the words of a text; empty for NULL."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), WORD_GAP), "")

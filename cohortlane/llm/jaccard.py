@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlane.llm.components import components
+from cohortlane.llm.frames import Stored
 from cohortlane.sources.sinks import stage
 
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15))
@@ -145,7 +146,8 @@ def _describe(join: Join):
                     while len(s) > last[-2]:
                         first, last = join.bands(4 * len(s))
                     k = int(np.searchsorted(last, len(s)))
-                    limits = [join.apart(2 * int(last[g])) for g in (k, k + 1)]
+                    # sets of one band meet in the group of the next one at the latest
+                    limits = [join.apart(int(last[g]) + (int(last[g - 1]) if g else 0)) for g in (k, k + 1)]
                     keys.append(np.concatenate([cells(s, g, x) for g, x in zip((k, k + 1), limits)]).view(np.int64))
                     short.append(sketch(s, limits[1]).tobytes())
                     long.append(sketch(s, limits[1], LONG).tobytes())
@@ -166,35 +168,73 @@ def _describe(join: Join):
 
 
 def _collisions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (key, h1) sorted by both: those whose key has several h1, with their block in the run."""
-    held: tuple[int, int] | None = None  # the last row, not yet written
-    place = 0  # its place in its run
+    """Of rows (key, h1) sorted by both: the runs of keys with several h1, as (r1, r2, block, members).
+
+    Documents that share many cells meet in as many runs with the same members,
+    so a run is named by its members: (r1, r2) are hashes of them. A run of
+    several blocks is named by its key and has a row per block.
+    """
+    key_of: int | None = None
+    members: list[int] = []
+    block = 0
+    rows: list[tuple[int, int, int, list[int]]] = []
+    held = 0
+    written: set[tuple[int, int]] = set()
+
+    def close() -> None:
+        nonlocal held
+        if block:
+            rows.append((key_of, -1, block, members))
+        elif len(members) > 1:
+            h = np.array(members, np.int64).view(np.uint64)
+            name = int(np.bitwise_xor.reduce(mix(h))), int(mix(h + _MIX[0]).sum(dtype=np.uint64))
+            if name in written:
+                return
+            if len(written) > 500_000:
+                written.clear()
+            written.add(name)
+            # the second half is never that of a key
+            rows.append((name[0] - (1 << 63), name[1] >> 1, 0, members))
+        else:
+            return
+        held += len(members)
+
+    def flush() -> pa.RecordBatch:
+        nonlocal held
+        held = 0
+        r1, r2, at, own = zip(*rows)
+        rows.clear()
+        return pa.RecordBatch.from_arrays(
+            [pa.array(r1, pa.int64()), pa.array(r2, pa.int64()), pa.array(at, pa.int64()), pa.array(own, pa.list_(pa.int64()))],
+            names=["r1", "r2", "block", "members"],
+        )
+
     for batch in batches:
         key, h1 = (np.asarray(batch.column(i)) for i in (0, 1))
-        if held is not None:
-            key, h1 = np.concatenate(([held[0]], key)), np.concatenate(([held[1]], h1))
-        fresh = np.concatenate(([True], (key[1:] != key[:-1]) | (h1[1:] != h1[:-1])))
-        key, h1 = key[fresh], h1[fresh]
-        if not len(key):
-            continue
-        new = np.concatenate(([True], key[1:] != key[:-1]))
-        start = np.flatnonzero(new)
-        at = np.arange(len(key)) - np.repeat(start, np.diff(np.append(start, len(key))))
-        carried = place if held is not None else 0
-        at[: start[1] if len(start) > 1 else len(at)] += carried
-        shared = (at > 0) | np.concatenate((~new[1:], [False]))
-        held, place = (int(key[-1]), int(h1[-1])), int(at[-1])
-        shared[-1] = False
-        if shared.any():
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(key[shared]), pa.array(h1[shared]), pa.array(at[shared] // BLOCK, pa.int64())],
-                names=["key", "h1", "block"],
-            )
-    if held is not None and place:
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([held[0]]), pa.array([held[1]]), pa.array([place // BLOCK], pa.int64())],
-            names=["key", "h1", "block"],
-        )
+        # most keys stand alone: only the others are looked at one by one
+        alone = np.ones(len(key), bool)
+        alone[1:] &= key[1:] != key[:-1]
+        alone[:-1] &= key[:-1] != key[1:]
+        if len(key):
+            # a run may go on over the edges of a batch
+            alone[0] = alone[-1] = False
+        for at in np.flatnonzero(~alone).tolist():
+            k, h = int(key[at]), int(h1[at])
+            if k != key_of:
+                close()
+                key_of, members, block = k, [], 0
+            if members and members[-1] == h:
+                continue
+            if len(members) == BLOCK:
+                rows.append((k, -1, block, members))
+                held += BLOCK
+                members, block = [], block + 1
+            members.append(h)
+            if held > 200_000:
+                yield flush()
+    close()
+    if rows:
+        yield flush()
 
 
 def _folded(values: list[np.ndarray], bits: int) -> np.ndarray:
@@ -208,7 +248,7 @@ def _folded(values: list[np.ndarray], bits: int) -> np.ndarray:
 
 
 def _compare(join: Join, rest: bool):
-    """Of runs sorted by (key, low, high, block, h1): pairs (a, b) that may link.
+    """Of runs sorted by (r1, r2, low, high, block, node): pairs (a, b) that may link.
 
     First round: each member with the first member before it that is like it.
     ``rest``: all alike members in different components.
@@ -268,10 +308,10 @@ def _compare(join: Join, rest: bool):
 
         for batch in batches:
             columns = [c.to_pylist() for c in batch.columns]
-            for key, low, high, block, node, n, bits, label in zip(*columns):
-                if (key, low, high) != run_of:
+            for r1, r2, low, high, block, node, n, bits, label in zip(*columns):
+                if (r1, r2, low, high) != run_of:
                     close()
-                    held, run_of = [], (key, low, high)
+                    held, run_of = [], (r1, r2, low, high)
                     if len(out) > 4096:
                         yield flush()
                 held.append((node, n, bits, block, label))
@@ -282,6 +322,24 @@ def _compare(join: Join, rest: bool):
     return run
 
 
+def _closer(join: Join):
+    """Of rows (a, b, n, x, m, y): the pairs whose long sketches are not too far apart."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for n, x, m, y in zip(*(batch.column(i) for i in range(2, 6))):
+                two = [np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y)]
+                table = _folded(two, min(map(len, two)) * 64)
+                apart = int(np.bitwise_count(table[0] ^ table[1]).sum())
+                keep.append(apart <= join.apart(n.as_py() + m.as_py()))
+            chosen = batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+            if chosen.num_rows:
+                yield chosen
+
+    return run
+
+
 def _sets(join: Join, bitmap: bytes):
     """Rows (doc_id, shingles) of documents whose id may be asked for."""
     asked = np.unpackbits(np.frombuffer(bitmap, np.uint8), bitorder="little").astype(bool)
@@ -339,17 +397,19 @@ def _bitmap(nodes: DataFrame) -> bytes:
 def _verified(pairs: DataFrame, docs: DataFrame, join: Join) -> DataFrame:
     """Pairs of documents whose sets link, read from the texts themselves."""
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = stage(
+    sets = Stored(
         docs.select("doc_id", _bucket("doc_id").alias("bucket"), "text")
         .mapInArrow(_sets(join, _bitmap(nodes)), "doc_id long, shingles binary")
         .join(nodes.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi")
         .dropDuplicates(["doc_id"]),
         "sets",
     )
-    left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
+    left = sets.frame.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"))
+    right = sets.frame.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
-    return joined.mapInArrow(_verify(join), "a long, b long")
+    links = stage(joined.mapInArrow(_verify(join), "a long, b long"), "verified")
+    sets.discard()
+    return links
 
 
 def link_documents(docs: DataFrame, join: Join = Join(), text: str = "text") -> DataFrame:
@@ -363,16 +423,18 @@ def link_documents(docs: DataFrame, join: Join = Join(), text: str = "text") ->
     other columns are ignored.
 
     Intermediates (descriptions with join keys, candidate runs, sets to verify,
-    links) are written to the session's shared folder.
+    links) are written to the session's shared folder; the large ones, keys and
+    sets, are removed as soon as what was made of them is written.
     """
     docs = docs.select("doc_id", F.col(text).alias("text"))
-    described = stage(
+    with_keys = Stored(
         docs.mapInArrow(
             _describe(join), "doc_id long, n long, h1 long, h2 long, keys array<bigint>, short binary, long binary"
         ),
         "described",
     )
-    solid = described.where("n > 0 AND doc_id IS NOT NULL")
+    figures = stage(with_keys.frame.select("doc_id", "n", "h1", "h2"), "figures")
+    solid = with_keys.frame.where("n > 0 AND doc_id IS NOT NULL")
     # sets with equal texts are one node, named by its smallest document
     classes = stage(
         solid.groupBy("h1", "h2").agg(
@@ -387,48 +449,54 @@ def link_documents(docs: DataFrame, join: Join = Join(), text: str = "text") ->
         solid.select(F.explode("keys").alias("key"), "h1")
         .repartition("key")
         .sortWithinPartitions("key", "h1")
-        .mapInArrow(_collisions, "key long, h1 long, block long")
+        .mapInArrow(_collisions, "r1 long, r2 long, block long, members array<bigint>")
     )
-    runs = stage(runs, "runs")
+    # one run for each set of members
+    runs = stage(runs.groupBy("r1", "r2", "block").agg(F.first("members").alias("members")), "runs")
+    with_keys.discard()
     # members of a run longer than a block meet those of every other block
-    long_runs = runs.where("block > 0").groupBy("key").agg(F.max("block").alias("blocks"))
+    long_runs = runs.where("block > 0").groupBy("r1", "r2").agg(F.max("block").alias("blocks"))
     spread = (
-        runs.join(long_runs, "key", "left")
+        runs.join(long_runs, ["r1", "r2"], "left")
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("blocks", F.lit(0).cast("long")))))
         .select(
-            "key", "h1", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")
+            "r1", "r2", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
+            F.explode("members").alias("h1"),
         )
-    )
+    )
     members = stage(
-        spread.join(classes.select("h1", "node"), "h1").select("key", "low", "high", "block", "node"), "members"
+        spread.join(classes.select("h1", "node"), "h1").select("r1", "r2", "low", "high", "block", "node"), "members"
     )
 
-    def candidates(labelled: DataFrame, kind: str, rest: bool) -> DataFrame:
-        order = ("key", "low", "high", "block", "node")
+    def candidates(labelled: DataFrame, rest: bool) -> DataFrame:
+        order = ("r1", "r2", "low", "high", "block", "node")
         found = (
-            labelled.join(classes.select("node", "n", F.col(kind).alias("sketch")), "node")
-            .repartition("key", "low", "high")
+            labelled.join(classes.select("node", "n", "short"), "node")
+            .repartition("r1", "r2", "low", "high")
             .sortWithinPartitions(*order)
-            .select(*order, "n", "sketch", "label")
+            .select(*order, "n", "short", "label")
             .mapInArrow(_compare(join, rest), "a long, b long")
+            .distinct()
         )
-        return stage(found.distinct(), "pairs")
+        # the long sketch keeps out pairs that don't quite link
+        left = classes.select(F.col("node").alias("a"), "n", F.col("long").alias("x"))
+        right = classes.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("long").alias("y"))
+        pairs = found.join(left, "a").join(right, "b").select("a", "b", "n", "x", "m", "y")
+        return stage(pairs.mapInArrow(_closer(join), "a long, b long"), "pairs")
 
-    links = _verified(candidates(members.withColumn("label", F.col("node")), "short", False), docs, join)
-    links = stage(links, "verified")
+    links = _verified(candidates(members.withColumn("label", F.col("node")), False), docs, join)
     known = components(links)
     labelled = members.join(known, "node", "left").withColumn(
         "label", F.coalesce("component", "node")
     )
-    # a run within one component has nothing left to compare; the long sketch
-    # keeps pairs that don't quite link from coming out of every run they share
-    open_runs = labelled.groupBy("key").agg(F.min("label").alias("one"), F.max("label").alias("two")).where("one <> two")
-    open_members = labelled.join(open_runs.select("key"), "key", "left_semi")
-    more = _verified(candidates(open_members, "long", True), docs, join)
+    # a run within one component has nothing left to compare
+    names = ["r1", "r2"]
+    open_runs = labelled.groupBy(*names).agg(F.min("label").alias("one"), F.max("label").alias("two")).where("one <> two")
+    open_members = labelled.join(open_runs.select(*names), names, "left_semi")
+    more = _verified(candidates(open_members, True), docs, join)
     final = components(links.unionByName(more))
     named = (
-        described.select("doc_id", "n", "h1", "h2")
-        .join(classes.select("h1", "h2", "node"), ["h1", "h2"], "left")
+        figures.join(classes.select("h1", "h2", "node"), ["h1", "h2"], "left")
         .join(final, "node", "left")
     )
     own = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component", "node"))
