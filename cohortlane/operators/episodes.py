@@ -66,11 +66,21 @@ def max_records_per_instant(
     )
 
 
-def _records(adt: DataFrame, start_types, end_types, ignore_types, check_ties: bool) -> DataFrame:
+def _time_slice(slice_seconds: int) -> Column:
+    """Number of the stretch of time that ``_at`` falls in."""
+    epoch = F.lit("1970-01-01").cast("timestamp_ntz")
+    return F.floor(F.timestamp_diff("SECOND", epoch, "_at") / F.lit(slice_seconds))
+
+
+def _records(
+    adt: DataFrame, start_types, end_types, ignore_types, check_ties: bool, slice_seconds: int
+) -> DataFrame:
     """Records of each stay, without start/end pairs at one and the same instant.
 
     ``check_ties`` fails the query if a person has more than two records of one
-    sort at an instant.
+    sort at an instant. Records are dealt out by person and time slice, once:
+    the guard, the pairs of an instant and the work on slices of a stay all
+    stay within that.
     """
     rows = adt.select(
         *STAY_KEYS,
@@ -79,35 +89,35 @@ def _records(adt: DataFrame, start_types, end_types, ignore_types, check_ties: b
         F.col("adt_occurrence_id").alias("_id"),
         _kind(start_types, end_types).alias("_kind"),
         F.col("adt_type_concept_id").isin(*ignore_types).alias("_ignored"),
-    )
+    ).withColumn("_slice", _time_slice(slice_seconds))
     if not check_ties:
         rows = rows.where(~F.col("_ignored"))
-    # by instant even where the input is already partitioned by person; the
-    # guard and the windows of a stay need no other partitioning
-    rows = rows.repartition("person_id", "_at")
+    # by slice even where the input is already partitioned by person
+    rows = rows.repartition("person_id", "_slice")
     if check_ties:
-        sort = Window.partitionBy("person_id", "_at", F.col("_kind") == "other")
+        sort = Window.partitionBy("person_id", "_slice", "_at", F.col("_kind") == "other")
         rows = rows.withColumn("_ties", F.count("*").over(sort))
         few = F.assert_true(
             F.col("_ties") <= 2, F.lit("more than two records of a person at one instant")
         )
         rows = rows.where(few.isNull() & ~F.col("_ignored"))
-    instant = Window.partitionBy(*STAY_KEYS, "_at", F.col("_kind") == "other")
+    instant = Window.partitionBy(*STAY_KEYS, "_slice", "_at", F.col("_kind") == "other")
     both = F.bool_or(F.col("_kind") == "start").over(instant) & F.bool_or(
         F.col("_kind") == "end"
     ).over(instant)
     return (
         rows.withColumn("_both", both)
         .where(~F.col("_both"))
-        .select(*STAY_KEYS, "_at", "_date", F.lit(0).alias("_appended"), "_id", "_kind")
+        .select(*STAY_KEYS, "_slice", "_at", "_date", F.lit(0).alias("_appended"), "_id", "_kind")
     )
 
 
-def _bookends(records: DataFrame, visits: DataFrame) -> DataFrame:
+def _bookends(records: DataFrame, visits: DataFrame, slice_seconds: int) -> DataFrame:
     """Start and end of the visit, for stays whose records lack one.
 
     A stay that does not begin with a start record gets both bookends; one that
-    only fails to finish with an end record gets the end bookend.
+    only fails to finish with an end record gets the end bookend. They are dealt
+    out as the records are, so that the union of both is, too.
     """
     # all columns and a left join (which adds no filter): the same shuffle as that
     # of the records themselves, so Spark runs it once
@@ -147,10 +157,13 @@ def _bookends(records: DataFrame, visits: DataFrame) -> DataFrame:
         edges.where(no_end)
         .join(times, F.col("visit_occurrence_id") == F.col("_visit"), "left")
         .select(*STAY_KEYS, F.inline(added))
+        .withColumn("_slice", _time_slice(slice_seconds))
+        .repartition("person_id", "_slice")
+        .select(*records.columns)
     )
 
 
-def _condense(records: DataFrame, max_gap: int, slice_seconds: int) -> DataFrame:
+def _condense(sliced: DataFrame, max_gap: int) -> DataFrame:
     """Reduce each time slice of a stay to the few records that still matter.
 
     Works on slices, not whole stays, so a stay with very many records is spread
@@ -160,13 +173,6 @@ def _condense(records: DataFrame, max_gap: int, slice_seconds: int) -> DataFrame
     two complete episodes of the slice will be merged whatever happens in other
     slices, so both go. A slice thus keeps at most a few records per ``max_gap``.
     """
-    sliced = records.withColumn(
-        "_slice",
-        F.floor(
-            F.timestamp_diff("SECOND", F.lit("1970-01-01").cast("timestamp_ntz"), "_at")
-            / F.lit(slice_seconds)
-        ),
-    )
     within = Window.partitionBy(*STAY_KEYS, "_slice").orderBy(*_SEQUENCE)
     before = within.rowsBetween(Window.unboundedPreceding, -1)
     up_to = within.rowsBetween(Window.unboundedPreceding, 0)
@@ -311,7 +317,7 @@ def adt_episodes(
     ``slice_seconds`` only says how stays are cut up for processing; it does not
     change the result.
     """
-    records = _records(adt, start_types, end_types, ignore_types, check_ties)
+    records = _records(adt, start_types, end_types, ignore_types, check_ties, slice_seconds)
     if visits is not None:
-        records = records.unionByName(_bookends(records, visits))
-    return _pair(_condense(records, max_gap_seconds, slice_seconds), max_gap_seconds)
+        records = records.unionByName(_bookends(records, visits, slice_seconds))
+    return _pair(_condense(records, max_gap_seconds), max_gap_seconds)

@@ -249,10 +249,18 @@ def test_episodes_read_records_once(spark, stored, without_automatic_broadcast):
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
         plan = plan_of(adt_episodes(adt, visits))
+        alone = plan_of(adt_episodes(adt))
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", before)
     assert len(re.findall(r"FileScan parquet .*adt_type_concept_id", plan)) == 1
     assert plan.count("ReusedExchange") == 1
+    # guard, pairs of an instant and slices of stays share one partitioning of the
+    # records; only condensed records are dealt out anew, by stay
+    shuffles = re.findall(r" Exchange hashpartitioning\((.*?), \d+\)", alone)
+    assert [re.sub(r"#\d+L?", "", keys) for keys in shuffles] == [
+        "person_id, visit_occurrence_id, site", "person_id, _slice",
+    ]
+    assert not re.search(r"Exchange hashpartitioning\(person_id#\d+L, visit_occurrence_id#\d+L, site#\d+, _slice", plan)
 
 
 def test_bucketed_events_are_not_shuffled(spark, without_automatic_broadcast):
