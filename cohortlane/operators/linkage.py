@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from datetime import date
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlane.functions.dates import age_years, as_date, elapsed_seconds
@@ -198,29 +199,38 @@ def same_visit_criteria(
 ) -> DataFrame:
     """Distinct (person, visit) of linked visits with culture, fluids and antibiotics.
 
-    Only existence matters, so no pairs of events are formed: drugs are reduced
-    to a bit set per (person, visit) in one scan, cultures to the last one of a
-    (person, visit), which is late enough if any is.
+    Only existence matters, so no pairs of events are formed. Drugs, cultures and
+    the linked visits themselves become one table that is reduced once, to a row
+    per (person, visit): a bit set, the last culture, which is late enough if any
+    is, and whether the visit is linked.
     """
-    drug_tags = tag_events(
-        drugs, ("drug_concept_id",), {0: fluid_codes, 1: antibiotic_codes}
-    )
-    both_drugs = (
-        drug_tags.groupBy("person_id", "visit_occurrence_id")
-        .agg(F.bit_or("_tags").alias("_tags"))
-        .where(F.col("_tags") == 3)
-        .drop("_tags")
+    keys = ("person_id", "visit_occurrence_id")
+    no_time = F.lit(None).cast("timestamp_ntz")
+    marked = [
+        tag_events(drugs, ("drug_concept_id",), {0: fluid_codes, 1: antibiotic_codes}).select(
+            *keys, "_tags", no_time.alias("_culture")
+        ),
+        _cultures(procedures, procedure_codes, labs, lab_codes).select(
+            *keys, F.lit(0).cast("bigint"), F.col("culture_datetime")
+        ),
+        linked.select(*keys, F.lit(4).cast("bigint"), no_time),
+    ]
+    by_visit = (
+        reduce(DataFrame.union, marked)
+        .groupBy(*keys)
+        .agg(F.bit_or("_tags").alias("_tags"), F.max("_culture").alias("_culture"))
     )
-    last_cultures = (
-        _cultures(procedures, procedure_codes, labs, lab_codes)
-        .groupBy("person_id", "visit_occurrence_id")
-        .agg(F.max("culture_datetime").alias("culture_datetime"))
+    # being at or after any start of the person is being at or after the first
+    first = linked.groupBy("person_id").agg(F.min("visit_start_datetime").alias("_first"))
+    # a culture counts for its visit, whoever's it is
+    late = F.bool_or(F.coalesce(F.col("_culture") >= F.col("_first"), F.lit(False)))
+    return (
+        by_visit.join(first, "person_id")
+        .where(F.col("visit_occurrence_id").isNotNull())
+        .withColumn("_late", late.over(Window.partitionBy("visit_occurrence_id")))
+        .where(F.col("_late") & (F.col("_tags") == 7))
+        .select(*keys)
     )
-    culture_visits = _after_first_start(last_cultures, linked).select("visit_occurrence_id")
-    keys = linked.select("person_id", "visit_occurrence_id").distinct()
-    return keys.join(both_drugs, ["person_id", "visit_occurrence_id"], "left_semi").join(
-        culture_visits, "visit_occurrence_id", "left_semi"
-    ).select("person_id", "visit_occurrence_id")
 
 
 def same_visit_phenotype(

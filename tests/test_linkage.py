@@ -3,6 +3,7 @@
 from datetime import date, datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from cohortlane.operators import linkage
 from cohortlane.operators.linkage import (
@@ -125,3 +126,20 @@ def test_same_visit(spark, study):
     assert [(r.person_id, r.max_sepsis_date) for r in latest] == [(1, date(2020, 5, 3))]
     grown = spark.createDataFrame([(1, date(1990, 1, 1))], "person_id long, birth_date date")
     assert linkage.same_visit_phenotype(both, v, grown).count() == 0
+
+
+def test_same_visit_with_unknown_keys(spark, study):
+    """NULL persons and visits match nothing; a culture counts for its visit whoever's it is."""
+    _, link, codes = study
+    one, two = codes.where("concept_id = 1"), codes.where("concept_id = 2")
+    drugs = event_frame(
+        spark, "drug", [(p, v, c, 2) for p, v in ((1, 1), (None, 1), (1, None), (2, 3)) for c in (1, 2)]
+    )
+    labs = event_frame(spark, "measurement", [(9, 9, 9, 0)])
+    none = event_frame(spark, "procedure", [(None, 1, 1, 2), (1, None, 1, 2), (2, 3, 1, -1), (7, 3, 1, 5)])
+    gaps = link.unionByName(link.where("person_id = 1").withColumn("visit_occurrence_id", F.lit(None).cast("long")))
+    both = linkage.same_visit_criteria(gaps, none, codes, labs, codes, drugs, one, two)
+    assert both.collect() == []
+    others = event_frame(spark, "procedure", [(2, 1, 1, 2)])
+    both = linkage.same_visit_criteria(gaps, others, codes, labs, codes, drugs, one, two)
+    assert [tuple(r) for r in both.collect()] == [(1, 1)]

@@ -263,6 +263,34 @@ def test_episodes_read_records_once(spark, stored, without_automatic_broadcast):
     assert not re.search(r"Exchange hashpartitioning\(person_id#\d+L, visit_occurrence_id#\d+L, site#\d+, _slice", plan)
 
 
+def test_same_visit_criteria_are_one_aggregate(spark, stored, without_automatic_broadcast):
+    """By visit and person, first starts, their join, cultures of a visit: four shuffles."""
+    from cohortlane.operators import linkage
+
+    linked = stored(
+        "linked",
+        "person_id long, visit_occurrence_id long, visit_start_datetime timestamp_ntz, visit_concept_id long",
+    )
+
+    def events(name, time):
+        return stored(name, f"person_id long, visit_occurrence_id long, {name}_concept_id long, {time} timestamp_ntz")
+
+    codes = CodeSet.checked(spark.createDataFrame([(1,)], "concept_id long"))
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = plan_of(linkage.same_visit_criteria(
+            linked, events("procedure", "procedure_datetime"), codes,
+            events("measurement", "measurement_datetime"), codes,
+            events("drug", "drug_exposure_start_datetime"), codes, codes,
+        ))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    shuffled = re.findall(r" Exchange hashpartitioning\((?:person_id|visit_occurrence_id)[^)]*\)", plan)
+    assert len(shuffled) == 4
+    assert plan.count("FileScan parquet") == 3 + 2
+
+
 def test_bucketed_events_are_not_shuffled(spark, without_automatic_broadcast):
     from cohortlane.config import StudyCatalog
     from cohortlane.operators.phenotype import condition_near_index
