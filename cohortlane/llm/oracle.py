@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cohortlane.llm.licenses import LEAD, OPEN, RULES, SENTENCES
+from cohortlane.llm.licenses import COMMENT, ENDS, LEAD, NAMED, OPEN, RULES, SCRIPT, SENTENCES, VERSION
 from cohortlane.llm.quality_rules import BOILERPLATE, NAVIGATION
 
 _NAV = ", ".join(f"'{x}'" for x in NAVIGATION)
@@ -120,10 +120,9 @@ FROM d LEFT JOIN sizes USING (doc_id) LEFT JOIN lowest ON lowest.node = d.doc_id
 
 def _license_rules() -> str:
     """One step per rule: the text that is left, and the licences so far."""
-    steps = ["r0 AS (SELECT doc_id, ids || ' ' AS seq, []::VARCHAR[] AS names FROM found)"]
+    steps = ["r0 AS (SELECT doc_id, ' ' || spaced || ' ' AS seq, []::VARCHAR[] AS names FROM found)"]
     for i, (name, rule) in enumerate(RULES):
-        words = [f"({w[:-1]} )?" if w.endswith("?") else f"{w} " for w in rule.split()]
-        p = "(^| )" + "".join(words)
+        p = "".join(f"( {w[:-1]} )?" if w.endswith("?") else f" {w} " for w in rule.split())
         steps.append(
             f"r{i + 1} AS MATERIALIZED (SELECT doc_id, regexp_replace(seq, '{p}', ' | ', 'g') AS seq, "
             f"CASE WHEN regexp_matches(seq, '{p}') AND NOT list_contains(names, '{name}') "
@@ -132,15 +131,38 @@ def _license_rules() -> str:
     return ",\n".join(steps)
 
 
+def _bare(text: str) -> str:
+    plain = (
+        f"trim(regexp_replace(replace(replace(lower({text}), 'licence', 'license'), 'https', 'http'), "
+        "'[^a-z0-9.+-]+', ' ', 'g'))"
+    )
+    bare = f"trim(regexp_replace(regexp_replace({plain}, '([.+-]+( |$))|(^[.+-]+)', ' ', 'g'), ' +', ' ', 'g'))"
+    bare = f"regexp_replace({bare}, '{LEAD}', 'under ')"
+    for form, instead in NAMED:
+        bare = f"regexp_replace({bare}, '{form}', '{instead}')"
+    return bare
+
+
 _KNOWN = ", ".join(f"('{s}', '{i}')" for s, i in SENTENCES.items())
-_PLAIN = "trim(regexp_replace(replace(lower(s), 'licence', 'license'), '[^a-z0-9.+-]+', ' ', 'g'))"
-_BARE = f"trim(regexp_replace(regexp_replace({_PLAIN}, '([.+-]+( |$))|(^[.+-]+)', ' ', 'g'), ' +', ' ', 'g'))"
+_PLAIN8 = "replace(coalesce(text, ''), chr(13), '')"
+for _form, _instead in ((SCRIPT, "\n"), (COMMENT, "\\1"), (VERSION, "\\1 \\2"), (ENDS, "\\1\n")):
+    _PLAIN8 = f"regexp_replace({_PLAIN8}, '{_form}', '{_instead}', 'g')"
 OP8 = f"""
 WITH known(sentence, id) AS (VALUES {_KNOWN}),
-d AS (SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '([.!?])[ \\t]+', '\\1' || chr(10), 'g'), chr(10)) AS ss FROM documents),
-spread AS (SELECT doc_id, unnest(ss) AS s, unnest(range(len(ss))) AS i FROM d),
-named AS (SELECT doc_id, i, id FROM spread JOIN known ON sentence = regexp_replace({_BARE}, '{LEAD}', 'under ')),
-found AS (SELECT doc_id, string_agg(id, ' ' ORDER BY i) AS ids, count(*) AS n FROM named GROUP BY doc_id),
+d AS (SELECT doc_id, string_split({_PLAIN8}, chr(10)) AS ps FROM documents),
+piece AS (SELECT doc_id, unnest(list_transform(ps, lambda x: trim(x))) AS p, unnest(range(len(ps))) AS i FROM d),
+ended AS (
+  SELECT doc_id, i, CASE WHEN id IS NOT NULL THEN chr(10) || p || chr(10)
+    WHEN p = '' OR regexp_matches(p, '[.!?;:]$') THEN p || chr(10) ELSE p || ' ' END AS part
+  FROM piece LEFT JOIN known ON sentence = {_bare("p")}
+),
+whole AS (SELECT doc_id, string_split(string_agg(part, '' ORDER BY i), chr(10)) AS ss FROM ended GROUP BY doc_id),
+spread AS (SELECT doc_id, unnest(ss) AS s, unnest(range(len(ss))) AS i FROM whole),
+named AS (SELECT doc_id, i, id FROM spread JOIN known ON sentence = {_bare("s")}),
+found AS (
+  SELECT doc_id, string_agg(id, ' ' ORDER BY i) AS ids, string_agg(id, '  ' ORDER BY i) AS spaced, count(*) AS n
+  FROM named GROUP BY doc_id
+),
 {_license_rules()}
 SELECT documents.doc_id, coalesce(n, 0)::BIGINT AS n_sentences, coalesce(ids, '') AS sentences,
   coalesce(array_to_string(names, ','), '') AS licenses,
