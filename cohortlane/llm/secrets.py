@@ -1,12 +1,18 @@
 """Secrets in texts: fixed patterns plus a battery of randomness tests, with column expressions only.
 
 Candidate strings are tested for what a key has and a word has not: symbols
-spread evenly over the alphabet of the inferred encoding (chi-squared), as many
-runs above and below its middle as chance gives, and no correlation between
-neighbours. The three p-values are combined by Fisher's method. "Random" is the
-null hypothesis of each candidate; Benjamini-Hochberg, applied within each
-encoding and length band since the tests gain power with length, says which
-candidates are not random. The others are reported.
+spread evenly over the alphabet of the inferred encoding and over its capitals,
+small letters and other signs (chi-squared, twice), as many runs above and below
+the alphabet's middle as chance gives, and no correlation between neighbours.
+The four p-values are combined by Fisher's method. Text in base64 is text: a
+string whose bytes are printable has no encoding to test.
+
+A string is reported if it looks more random than ordinary strings do. Those
+are made of words, joined as paths, slugs and identifiers are: the words of the
+corpus itself, from all over each text, and a short list of common ones. Within
+each encoding and length band, since the tests gain power with length, a
+candidate's p-value is the share of ordinary strings that look as random, and
+Benjamini-Hochberg bounds the share of ordinary strings among those reported.
 """
 
 from __future__ import annotations
@@ -41,20 +47,45 @@ ENCODINGS = (
     ("base64url", "^[A-Za-z0-9_-]+=*$", string.ascii_uppercase + string.ascii_lowercase + string.digits + "-_"),
 )
 ONE_CASE = ("hex", "base36")
+#: Base64 of printable ASCII: the bits that say so leave these symbols at three of four places.
+PRINTABLE = (
+    "^([I-Za-f][C-HS-Xi-ny-z0-3][ABEFIJMNQRUVYZcdghklopstwx014589][A-Za-z0-9+/_-]){4,}"
+    "([I-Za-f][A-Za-z0-9+/_-]{0,2})?=*$"
+)
 #: p-values are counted by the integer part of -PER_E * ln(p), up to LAST_BIN.
 PER_E, LAST_BIN = 20, 800
+#: As many strings of the corpus weigh as much as the common ones.
+PRIOR = 200
+
+
+#: Common words of paths, slugs and identifiers.
+COMMON = (
+    "admin api app archive auth base build bundle cache client cloud cluster code common config container content core "
+    "create data database default deploy device dist docs document domain download element email engine error event "
+    "example export factory field file filter folder frame gateway global group guide handler header home host html http "
+    "image import index info install integration internal java javascript job json kernel kubernetes lambda language layer "
+    "lib library license list local login manager map master message method metrics model module monitor network node "
+    "object openssl option package page parser path payload performance pipeline platform plugin policy private process "
+    "product production profile project protocol provider proxy public python query queue reader record registry release "
+    "remote report request resource response result route runtime sample schema script search security server service "
+    "session settings share site software source stage standard state static status storage stream string style system "
+    "table target task template test text theme thread time tools transaction update upload user usr utils value vendor "
+    "version video view web widget window worker workflow"
+).split()
 
 
 @dataclass(frozen=True)
 class Battery:
-    """``least``: shortest candidate. ``per_bin``: symbols expected in a cell of
-    the chi-squared test. ``bands``: lower bounds of the length bands.
-    ``alpha``: share of truly random strings among those called not random."""
+    """``least``: shortest candidate. ``bands``: lower bounds of the length bands.
+    ``alpha``: share of ordinary strings among those reported. ``stretch``: an
+    ordinary string is taken from each stretch of so many characters of a text;
+    ``common`` are made of common words."""
 
     least: int = 20
-    per_bin: int = 5
     bands: tuple[int, ...] = (20, 28, 40, 64, 128)
     alpha: float = 0.05
+    stretch: int = 400
+    common: int = 40_000
 
 
 def _long(value: int) -> Column:
@@ -120,38 +151,43 @@ def _floor_p(p: Column) -> Column:
 
 
 def encoding_of(value: Column) -> Column:
-    """The first encoding whose shape fits a string that holds letters and digits; else NULL."""
+    """The first encoding whose shape fits a string that holds letters and digits; NULL for none and for text in base64."""
     guess = F.lit(None).cast("string")
     for name, shape, _ in reversed(ENCODINGS):
         guess = F.when(value.rlike(shape), F.lit(name)).otherwise(guess)
-    return F.when(value.rlike("[0-9]") & value.rlike("[A-Za-z]"), guess)
+    return F.when(value.rlike("[0-9]") & value.rlike("[A-Za-z]") & ~value.rlike(PRINTABLE), guess)
 
 
-def battery_p(value: Column, encoding: Column, battery: Battery = Battery()) -> Column:
+def battery_p(value: Column, encoding: Column) -> Column:
     """Combined p-value of the null hypothesis that the string is random."""
     core = F.rtrim(F.translate(value, "=", " "))
     low = F.when(encoding.isin(*ONE_CASE), F.lower(core)).otherwise(core)
-    alphabet, size = F.lit(ENCODINGS[0][2]), F.lit(len(ENCODINGS[0][2]))
-    for name, _, symbols in ENCODINGS[1:]:
-        alphabet = F.when(encoding == name, F.lit(symbols)).otherwise(alphabet)
-        size = F.when(encoding == name, F.lit(len(symbols))).otherwise(size)
+
+    def of_encoding(figure) -> Column:
+        out = F.lit(figure(ENCODINGS[0][2]))
+        for name, _, symbols in ENCODINGS[1:]:
+            out = F.when(encoding == name, F.lit(figure(symbols))).otherwise(out)
+        return out
+
+    alphabet, size = of_encoding(str), of_encoding(len)
+    in_capitals = of_encoding(lambda x: sum(map(str.isupper, x)))
+    in_small = of_encoding(lambda x: sum(map(str.islower, x)))
 
     def tests(ranks: Column, n: Column, k: Column) -> Column:
-        cells = F.lit(4)
-        for wide in (8, 16, 32, 64):
-            cells = F.when((k >= wide) & (n >= battery.per_bin * wide), F.lit(wide)).otherwise(cells)
-        uniform = let(
-            cells,
-            lambda b: _chi_tail(
-                F.aggregate(
-                    F.transform(F.sequence(F.lit(0), b - 1), lambda c: F.size(F.filter(ranks, lambda r: r % b == c))),
-                    F.lit(0.0),
-                    lambda total, x: total + x * x,
-                )
-                * b / n - n,
-                (b - 1).cast("double"),
+        # squares of the symbols' counts; moments are those of chi-squared, however few symbols a cell expects
+        squares = F.aggregate(
+            F.transform(
+                F.array_distinct(F.split(low, "")), lambda c: F.length(low) - F.length(F.replace(low, c, F.lit("")))
             ),
+            F.lit(0.0),
+            lambda total, x: total + x * x,
         )
+        uniform = _chi_tail(squares * k / n - n, (k - 1).cast("double"))
+        capitals, small = (F.length(F.regexp_replace(low, f"[^{x}]", "")).cast("double") for x in ("A-Z", "a-z"))
+        parts = [(capitals, in_capitals), (small, in_small), (n - capitals - small, k - in_capitals - in_small)]
+        # alphabets of one case have two classes
+        apart = sum((F.when(m > 0, (c - n * m / k) * (c - n * m / k) * k / (n * m)).otherwise(F.lit(0.0)) for c, m in parts), F.lit(0.0))
+        classes = _chi_tail(apart, F.when((in_capitals > 0) & (in_small > 0), F.lit(2.0)).otherwise(F.lit(1.0)))
         high = F.size(F.filter(ranks, lambda r: r * 2 >= k)).cast("double")
         turns = F.size(
             F.filter(ranks, lambda r, i: (i > 0) & ((r * 2 >= k) != (F.get(ranks, i - 1) * 2 >= k)))
@@ -174,8 +210,8 @@ def battery_p(value: Column, encoding: Column, battery: Battery = Battery()) ->
 
         runs = let(high * 2 * (n - high), runs_p)
         serial = let(F.aggregate(ranks, F.lit(0.0), lambda total, r: total + r) / n, serial_p)
-        fisher = (F.log(_floor_p(uniform)) + F.log(_floor_p(runs)) + F.log(_floor_p(serial))) * -2
-        return _floor_p(_chi_tail(fisher, F.lit(6.0)))
+        fisher = sum((F.log(_floor_p(p)) for p in (uniform, classes, runs, serial)), F.lit(0.0)) * -2
+        return _floor_p(_chi_tail(fisher, F.lit(8.0)))
 
     # ranks of the symbols; a symbol outside the alphabet counts as the first
     ranks = F.transform(F.split(low, ""), lambda c: F.greatest(F.instr(alphabet, c), F.lit(1)) - 1)
@@ -191,6 +227,13 @@ def _band(length: Column, battery: Battery) -> Column:
     return band
 
 
+def _tested(value: Column, encoding: Column, battery: Battery) -> tuple[Column, Column]:
+    """Stratum of a candidate, and the bin of its p-value: the smaller, the more random it looks."""
+    stratum = F.concat_ws("/", encoding, _band(F.length(value), battery))
+    p_bin = F.least(F.floor(F.log(battery_p(value, encoding)) * -PER_E), F.lit(LAST_BIN)).cast("int")
+    return stratum.alias("stratum"), p_bin.alias("bin")
+
+
 def candidates(
     docs: DataFrame, battery: Battery = Battery(), text: str = "text", with_text: bool = False
 ) -> DataFrame:
@@ -209,40 +252,109 @@ def candidates(
         lambda x: x["encoding"].isNotNull(),
     )
     tested = F.transform(
-        named,
-        lambda x: F.struct(
-            x["span"].alias("span"),
-            F.concat_ws("/", x["encoding"], _band(F.length(x["span"]["value"]), battery)).alias("stratum"),
-            F.least(
-                F.floor(F.log(battery_p(x["span"]["value"], x["encoding"], battery)) * -PER_E), F.lit(LAST_BIN)
-            ).cast("int").alias("bin"),
-        ),
+        named, lambda x: F.struct(x["span"].alias("span"), *_tested(x["span"]["value"], x["encoding"], battery))
     )
     return found.select(*[F.col(f"`{c}`") for c in rest], "_base", tested.alias("_tested"))
 
 
-def rejected_from(tested: DataFrame, alpha: float) -> dict[str, int]:
-    """Per stratum the first p-value bin that Benjamini-Hochberg calls not random.
+# ---- ordinary strings ------------------------------------------------------------
+
+
+def _glued(words: Column, turn: Column) -> Column:
+    """Words joined to one string, with a digit in it, in one of eight ways by ``turn``."""
+    digit = (turn % 10).cast("string")
+    first = F.concat(F.get(words, 0), digit)
+    marked = F.concat(F.array(first), F.slice(words, 2, 1000))
+    low = F.transform(marked, F.lower)
+    capitals = F.transform(marked, F.initcap)
+    # only some letters of the words can stand in hexadecimal
+    hexed = F.concat(F.translate(F.array_join(low, ""), "ghijklmnopqrstuvwxyz", ""), digit)
+    ways = [
+        F.array_join(low, "/"),
+        F.array_join(low, "-"),
+        F.array_join(low, "_"),
+        F.array_join(low, ""),
+        F.upper(F.array_join(low, "")),
+        F.concat(F.lower(F.get(capitals, 0)), F.array_join(F.slice(capitals, 2, 1000), "")),
+        F.upper(hexed),
+        F.concat(F.lit("/"), F.array_join(capitals, "/")),
+    ]
+    out = ways[0]
+    for i, way in enumerate(ways[1:], 1):
+        out = F.when(F.pmod(turn, F.lit(len(ways))) == i, way).otherwise(out)
+    return out
+
+
+def ordinary(docs: DataFrame, battery: Battery = Battery(), text: str = "text") -> DataFrame:
+    """Rows (source, stratum, bin, n): how random ordinary strings look, counted per stratum and bin.
+
+    ``corpus`` strings are made of the words of every stretch of every text, 3 to
+    34 words each; ``common`` ones of common words.
+    """
+    stretches = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(f"(?s).{{1,{battery.stretch}}}"), F.lit(0))
+    own = docs.select(F.posexplode(stretches).alias("at", "part"), F.length(text).alias("size")).select(
+        F.lit("corpus").alias("source"),
+        F.hash("at", "size", "part").alias("turn"),
+        F.filter(
+            F.split(F.regexp_replace("part", "[^A-Za-z]+", " "), " "), lambda w: w != ""
+        ).alias("words"),
+    )
+    listed = F.array(*[F.lit(w) for w in COMMON])
+    seeded = docs.sparkSession.range(battery.common).select(
+        F.lit("common").alias("source"),
+        F.hash("id").alias("turn"),
+        F.transform(
+            F.sequence(F.lit(1), F.lit(40)), lambda j: F.get(listed, F.pmod(F.hash(F.col("id"), j), F.lit(len(COMMON))))
+        ).alias("words"),
+    )
+    # as many strings of 3 to 6 words as of 6 to 12 and so on
+    spread = F.pmod(F.shiftright("turn", 8), F.lit(1024)) / 1024
+    long = F.floor(F.lit(3.0) * F.pow(F.lit(2.0), spread * 3.5)).cast("int")
+    # the first word of a stretch may have lost its beginning
+    strings = own.unionByName(seeded).where("size(words) > 3").select(
+        "source", _glued(F.slice("words", 2, long), F.col("turn")).alias("value")
+    )
+    named = strings.where(F.length("value") >= battery.least).withColumn("encoding", encoding_of(F.col("value")))
+    tested = named.where("encoding IS NOT NULL").select("source", *_tested(F.col("value"), F.col("encoding"), battery))
+    return tested.groupBy("source", "stratum", "bin").agg(F.count("*").alias("n"))
+
+
+def accepted_from(tested: DataFrame, null: DataFrame, alpha: float) -> dict[str, int]:
+    """Per stratum the last p-value bin that is reported.
 
-    Only counts per stratum and bin are gathered: at most encodings x bands x
-    bins, whatever the input.
+    A bin's p-value is the share of ordinary strings in it or in bins that look
+    more random: the larger of the shares among the corpus' strings and among the
+    common ones. Of the candidates up to the last bin that passes, a share of
+    ``alpha`` at most is expected to be ordinary. Only counts per stratum and bin
+    are gathered: at most encodings x bands x bins, whatever the input.
     """
+    found: dict[str, dict[int, int]] = {}
     counts = (
         tested.select(F.explode("_tested").alias("t"))
         .groupBy(F.col("t.stratum").alias("stratum"), F.col("t.bin").alias("bin"))
         .count()
-        .collect()
     )
-    first: dict[str, int] = {}
-    for stratum in {r["stratum"] for r in counts}:
-        bins = {r["bin"]: r["count"] for r in counts if r["stratum"] == stratum}
-        total, above = sum(bins.values()), 0
-        for b in sorted(bins, reverse=True):
-            above += bins[b]
-            # every p-value in a bin is at most exp(-b / PER_E)
-            if 2.718281828459045 ** (-b / PER_E) <= alpha * above / total:
-                first[stratum] = b
-    return first
+    for r in counts.collect():
+        found.setdefault(r["stratum"], {})[r["bin"]] = r["count"]
+    shares: dict[str, dict[str, dict[int, int]]] = {}
+    for r in null.collect() if found else ():
+        shares.setdefault(r["stratum"], {}).setdefault(r["source"], {})[r["bin"]] = r["n"]
+    def up_to(b: int, bins: dict[int, int]) -> int:
+        return sum(n for at, n in bins.items() if at <= b)
+
+    last: dict[str, int] = {}
+    for stratum, bins in found.items():
+        total, reported = sum(bins.values()), 0
+        common, own = (shares.get(stratum, {}).get(source, {}) for source in ("common", "corpus"))
+        for b in sorted(bins):
+            reported += bins[b]
+            # one more on both sides: no share is zero, and an unknown null accepts nothing
+            p = (1 + up_to(b, common)) / (1 + sum(common.values()))
+            # a small corpus says little: its share starts from that of the common strings
+            p = max(p, (up_to(b, own) + PRIOR * p) / (sum(own.values()) + PRIOR))
+            if p * total <= alpha * reported:
+                last[stratum] = b
+    return last
 
 
 def find_secrets(docs: DataFrame, battery: Battery = Battery(), text: str = "text") -> DataFrame:
@@ -257,19 +369,19 @@ def find_secrets(docs: DataFrame, battery: Battery = Battery(), text: str = "tex
     table an empty one. Candidates that overlap a base span are not added.
     """
     tested = stage(candidates(docs, battery, text), "secrets")
-    first = rejected_from(tested, battery.alpha)
+    last = accepted_from(tested, ordinary(docs, battery, text), battery.alpha)
     rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("_base", "_tested", "_wide", text, "base", "spans")]
-    return tested.select(*rest, F.col("_base").alias("base"), _all_spans(first).alias("spans"))
+    return tested.select(*rest, F.col("_base").alias("base"), _all_spans(last).alias("spans"))
 
 
-def _all_spans(first: dict[str, int]) -> Column:
-    """Base spans and the candidates that no bound of their stratum calls not random."""
+def _all_spans(last: dict[str, int]) -> Column:
+    """Base spans and the candidates of the bins that their strata report."""
 
     def random(x: Column) -> Column:
-        limit = F.lit(LAST_BIN + 1)
-        for stratum, b in sorted(first.items()):
+        limit = F.lit(-1)
+        for stratum, b in sorted(last.items()):
             limit = F.when(x["stratum"] == stratum, F.lit(b)).otherwise(limit)
-        return x["bin"] < limit
+        return x["bin"] <= limit
 
     added = F.transform(F.filter(F.col("_tested"), random), lambda x: x["span"])
     return F.sort_array(F.concat("_base", added))
@@ -280,12 +392,13 @@ def redact(docs: DataFrame, battery: Battery = Battery(), text: str = "text", ma
 
     Overlapping secrets become one mark. The false-discovery bound needs the
     candidates of all documents, so texts are scanned twice instead of being
-    stored or joined.
+    stored or joined. NULL texts stay NULL and texts without a secret stay as
+    they are; repeated rows give equal rows; an empty table an empty one.
     """
     names = [f"_c{i}" for i in range(len(docs.columns))]
     plain, body = docs.toDF(*names), f"_c{docs.columns.index(text)}"
-    first = rejected_from(candidates(plain.select(body), battery, body), battery.alpha)
-    found = candidates(plain, battery, body, with_text=True).withColumn("_spans", _all_spans(first))
+    last = accepted_from(candidates(plain.select(body), battery, body), ordinary(plain, battery, body), battery.alpha)
+    found = candidates(plain, battery, body, with_text=True).withColumn("_spans", _all_spans(last))
 
     def rebuilt(spans: Column) -> Column:
         # where the text before a span starts: after all spans before it
