@@ -1,10 +1,11 @@
 """Scoring texts by a log-bilinear language model learned from the corpus.
 
 Everything the model knows is counted over all training documents by Spark: how
-often each word occurs, and how often each triple of frequent words (all other
-words being one) occurs. The model is trained on the triples, in shards whose
-weights are averaged each round. The probability of a rare word is that of
-"rare" times its share of rare words.
+often each word occurs, and how often each triple of symbols does. A frequent
+word is a symbol of its own; all others are dealt, by how they end, into classes
+that stand for about equally many words of the corpus. The model is trained on
+the triples, in shards whose weights are averaged each round. The probability of
+a rare word is that of its class times its share of the class.
 
 Words are known by 64-bit hashes. A document's frequent words are scored where
 it is read; its rare words meet their counts in a join on the hash, as
@@ -34,24 +35,30 @@ _END_HASH = np.int64(0)
 
 @dataclass(frozen=True)
 class Settings:
-    """``words``: frequent words that the model knows, with "rare" and the end.
+    """``words``: frequent words that are symbols of their own, with the end and the first class of
+    others; ``classes``: classes of other words, so that there are words + classes - 1 symbols.
     ``shards`` and ``rounds``: least number of parallel trainings, and how often they are
     averaged; ``shard``: triples for which there is one more training; ``steps``: least number of
     steps for a block of ``block`` triples, each of ``batch`` triples with ``noise`` words for each;
     ``chunk_chars``: text whose rare words are gathered at a time."""
 
-    words: int = 256
+    words: int = 241
+    classes: int = 16
     dims: int = 16
     shards: int = 6
     shard: int = 1_500_000
-    rounds: int = 3
+    rounds: int = 2
     batch: int = 2048
-    noise: int = 10
+    noise: int = 8
     steps: int = 100
     block: int = 300_000
     chunk_chars: int = 6_000_000
     counter_words: int = 400_000
 
+    @property
+    def symbols(self) -> int:
+        return self.words + self.classes - 1
+
 
 def held_out(key: Column) -> Column:
     """Documents that the model doesn't learn from; a NULL id is learned."""
@@ -68,6 +75,26 @@ def word_hash(word: bytes) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
+#: 6 bits of a byte: letters, digits, other signs, bytes of other scripts.
+_CODE = bytes(
+    b - 97 if 97 <= b <= 122 else 26 if 48 <= b <= 57 else 27 if b < 128 else 28 + b % 32 for b in range(256)
+)
+FORMS = 1 << 13
+
+
+def form_of(word: bytes) -> int:
+    """A number for how a word ends: its last two signs, and whether punctuation follows them."""
+    core = word.rstrip(b".,;:!?") or word
+    return (_CODE[core[-2]] if len(core) > 1 else 63) << 7 | _CODE[core[-1]] << 1 | (len(core) < len(word))
+
+
+def class_symbols(tokens: np.ndarray, settings: Settings) -> np.ndarray:
+    """The symbol of each form: neighbouring forms are cut into classes of about equally many tokens."""
+    before = np.cumsum(tokens) - tokens
+    number = np.minimum(before * settings.classes // max(1, int(tokens.sum())), settings.classes - 1)
+    return np.where(number > 0, settings.words + number - 1, RARE)
+
+
 def _texts(batches: Iterable[pa.RecordBatch]) -> Iterator[list[bytes]]:
     for batch in batches:
         for text in batch.column(0):
@@ -77,9 +104,9 @@ def _texts(batches: Iterable[pa.RecordBatch]) -> Iterator[list[bytes]]:
 def _count_words(limit: int):
     def flush(counts: Counter, documents: int) -> pa.RecordBatch:
         h = [word_hash(w) for w in counts] + [int(_END_HASH)]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(h, pa.int64()), pa.array([*counts.values(), documents], pa.int64())], names=["h", "c"]
-        )
+        form = [form_of(w) for w in counts] + [-1]
+        columns = [pa.array(h, pa.int64()), pa.array(form, pa.int16()), pa.array([*counts.values(), documents], pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, names=["h", "form", "c"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, documents = Counter(), 0
@@ -96,18 +123,23 @@ def _count_words(limit: int):
 
 
 class Ids:
-    """Ids of words, by a bounded table of the words met."""
+    """Symbols of words, by a bounded table of the words met."""
 
-    def __init__(self, frequent: dict[int, int], limit: int):
+    def __init__(self, frequent: dict[int, int], forms: np.ndarray, limit: int):
         self.frequent, self.limit = frequent, limit
+        self.forms = forms.tolist()
         self.known: dict[bytes, int] = {}
 
+    def symbol(self, word: bytes) -> int:
+        known = self.frequent.get(word_hash(word))
+        return self.forms[form_of(word)] if known is None else known
+
     def of(self, words: list[bytes]) -> np.ndarray:
         known = self.known
         if len(known) > self.limit:
             known.clear()
         for w in set(words).difference(known):
-            known[w] = self.frequent.get(word_hash(w), RARE)
+            known[w] = self.symbol(w)
         return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
 
 
@@ -123,11 +155,11 @@ def _chain(documents: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndar
     return line[at - 2], line[at - 1], line[at]
 
 
-def _count_triples(frequent: dict[int, int], settings: Settings):
-    n = settings.words
+def _count_triples(frequent: dict[int, int], forms: np.ndarray, settings: Settings):
+    n = settings.symbols
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, held, total = Ids(frequent, settings.counter_words), [], 0
+        ids, held, total = Ids(frequent, forms, settings.counter_words), [], 0
         keys, counts = np.empty(0, np.int64), np.empty(0, np.int64)
 
         def merged() -> tuple[np.ndarray, np.ndarray]:
@@ -157,7 +189,7 @@ def _count_triples(frequent: dict[int, int], settings: Settings):
 
 
 def _train_shard(start: np.ndarray, shape: Weights, unigram: np.ndarray, settings: Settings, turn: int):
-    n = settings.words
+    n = settings.symbols
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, seen = shape.like(start), 0
@@ -225,13 +257,13 @@ class Model:
     """What scoring needs: a bounded number of frequent words, and totals."""
 
     settings: Settings
-    frequent: dict[int, int]  # hash -> id
-    counts: np.ndarray  # by id
+    frequent: dict[int, int]  # hash -> symbol
+    forms: np.ndarray  # form -> symbol of its class
+    counts: np.ndarray  # by symbol; 0 for classes
+    sizes: np.ndarray  # by symbol: tokens and types of a class, one unseen word included; 1 for words
     weights: Weights
     tokens: int
     types: int
-    rare_tokens: int
-    rare_types: int
 
 
 def fit(docs: DataFrame, settings: Settings = Settings(), text: str = "text") -> tuple[Model, DataFrame]:
@@ -242,9 +274,9 @@ def fit(docs: DataFrame, settings: Settings = Settings(), text: str = "text") ->
     """
     texts = docs.select(text)
     counts = stage(
-        texts.mapInArrow(_count_words(settings.counter_words), "h long, c long")
+        texts.mapInArrow(_count_words(settings.counter_words), "h long, form short, c long")
         .groupBy("h")
-        .agg(F.sum("c").alias("c"))
+        .agg(F.min("form").alias("form"), F.sum("c").alias("c"))
         .where("c > 0"),
         "counts",
     )
@@ -253,16 +285,27 @@ def fit(docs: DataFrame, settings: Settings = Settings(), text: str = "text") ->
     top = counts.where(F.col("h") != int(_END_HASH)).orderBy(F.desc("c"), "h").limit(settings.words - 2).collect()
     ends = counts.where(F.col("h") == int(_END_HASH)).collect()
     frequent = {int(_END_HASH): END} | {r.h: i + 2 for i, r in enumerate(top)}
-    known = np.zeros(settings.words, np.int64)
+    known = np.zeros(settings.symbols, np.int64)
     known[END] = ends[0].c if ends else 0
     known[2 : 2 + len(top)] = [r.c for r in top]
-    rare = int(total.tokens - known.sum())
-    unigram = known + 1.0
-    unigram[RARE] += rare
+    # tokens and types of other words by form: a table of fixed size
+    tokens, types = np.zeros(FORMS, np.int64), np.zeros(FORMS, np.int64)
+    by_form = counts.where("form >= 0").groupBy("form").agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect()
+    for r in by_form:
+        tokens[r.form], types[r.form] = r.c, r.n
+    for r in top:
+        tokens[r.form] -= r.c
+        types[r.form] -= 1
+    forms = class_symbols(tokens, settings)
+    in_class = np.bincount(forms, tokens, settings.symbols)
+    sizes = np.ones(settings.symbols)
+    classes = np.r_[RARE, settings.words : settings.symbols]
+    sizes[classes] += (in_class + np.bincount(forms, types, settings.symbols))[classes]
+    unigram = known + 1.0 + in_class
     unigram /= unigram.sum()
     weights = initial(unigram, settings.dims)
     triples = stage(
-        texts.mapInArrow(_count_triples(frequent, settings), "triple long, c long")
+        texts.mapInArrow(_count_triples(frequent, forms, settings), "triple long, c long")
         .groupBy("triple")
         .agg(F.sum("c").alias("c")),
         "triples",
@@ -277,11 +320,7 @@ def fit(docs: DataFrame, settings: Settings = Settings(), text: str = "text") ->
         if rows:
             parts = np.stack([np.frombuffer(r.weights) for r in rows])
             weights = weights.like(np.average(parts, axis=0, weights=[r.seen for r in rows]))
-    model = Model(
-        settings, frequent, known, weights, int(total.tokens), int(total.types), rare,
-        int(total.types) - len(top) - len(ends),
-    )
-    return model, counts
+    return Model(settings, frequent, forms, known, sizes, weights, int(total.tokens), int(total.types)), counts
 
 
 _READ = (
@@ -297,8 +336,8 @@ def _read(model: Model):
     the word occurs in it. Most rare words have one; ``more`` packs the others.
     """
     settings = model.settings
-    n = settings.words
-    log_count = np.log10(model.counts + 1.0)
+    n = settings.symbols
+    log_count, log_size = np.log10(model.counts + 1.0), np.log10(model.sizes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = log_table(model.weights)
@@ -317,12 +356,20 @@ def _read(model: Model):
             put = number.setdefault
             local = [np.array([put(w, len(number)) for w in d], np.int64) for d in documents]
             hashes = np.fromiter(map(word_hash, number), np.int64, len(number))
-            ids = np.fromiter((model.frequent.get(h, RARE) for h in hashes.tolist()), np.int64, len(number))
+            forms = model.forms.tolist()
+            ids = np.fromiter(
+                (
+                    forms[form_of(w)] if (known := model.frequent.get(h)) is None else known
+                    for h, w in zip(hashes.tolist(), number)
+                ),
+                np.int64,
+                len(number),
+            )
             first, second, word = _chain([ids[d] for d in local])
             sizes = np.array([len(d) + 1 for d in local])
             starts = np.cumsum(sizes) - sizes
-            logs = table[first * n + second, word].astype(np.float64) / np.log(10)
-            usual = word != RARE
+            logs = table[first * n + second, word].astype(np.float64) / np.log(10) - log_size[word]
+            usual = (word != RARE) & (word < settings.words)
             yield batch_of(
                 len(local),
                 chunk=pa.array(np.full(len(local), chunk)),
@@ -337,7 +384,7 @@ def _read(model: Model):
                 return
             every = np.concatenate(local)
             owner = np.repeat(np.arange(len(local)), sizes - 1)
-            rare = ids[every] == RARE
+            rare = (ids[every] == RARE) | (ids[every] >= settings.words)
             pair, times = np.unique(every[rare] * len(local) + owner[rare], return_counts=True)
             which, posting = pair // len(local), pair % len(local) << 32 | times
             edge = np.flatnonzero(np.concatenate(([True], which[1:] != which[:-1]))) if len(which) else which
@@ -416,7 +463,7 @@ def score_documents(docs: DataFrame, model: Model, counts: DataFrame, text: str
     """
     read = stage(docs.select("doc_id", text).mapInArrow(_read(model), _READ), "scored")
     # a word that was not counted adds nothing
-    met = read.where("h IS NOT NULL").select("chunk", "h", "posting", "more").join(counts, "h")
+    met = read.where("h IS NOT NULL").select("chunk", "h", "posting", "more").join(counts.select("h", "c"), "h")
     sums = (
         met.select("chunk", "c", "posting", "more")
         .repartition("chunk")
@@ -425,7 +472,6 @@ def score_documents(docs: DataFrame, model: Model, counts: DataFrame, text: str
     rows = read.where("doc IS NOT NULL").drop("h", "posting", "more").join(sums, ["chunk", "doc"], "left")
     logs, known = F.coalesce("logs", F.lit(0.0)), F.coalesce("known", F.lit(0).cast("long"))
     every = float(np.log10(model.tokens + model.types + 1.0))
-    rare = float(np.log10(model.rare_tokens + model.rare_types + 1.0))
     # a frequent word is one that was counted, except in an empty corpus
     ends = F.lit(0 if model.counts[END] else 1)
     return rows.select(
@@ -433,5 +479,5 @@ def score_documents(docs: DataFrame, model: Model, counts: DataFrame, text: str
         "n_tokens",
         (F.col("n_frequent") - ends + known).alias("n_known"),
         (F.col("base") + logs - F.col("n_tokens") * every).alias("base_score"),
-        (F.col("score") + logs - (F.col("n_tokens") - F.col("n_frequent")) * rare).alias("score"),
+        (F.col("score") + logs).alias("score"),
     )

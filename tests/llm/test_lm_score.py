@@ -61,22 +61,74 @@ def test_table_is_normalised_and_learned():
     assert gain > 0.1
 
 
-def test_probabilities_sum_to_one(spark, documents):
-    df = documents((1, "a a a b b c"), (2, "a b d"), (3, "a c"))
-    model, counts = lm_score.fit(df, lm_score.Settings(words=4, dims=4))
-    # words: rare, end, a, b; the next word after (end, end)
-    known = {"a", "b", "c", "d"}
-    probes = documents(*enumerate([*sorted(known), "zzz", ""]))
+@pytest.mark.parametrize("classes", [1, 3])
+def test_probabilities_sum_to_one(spark, documents, classes):
+    df = documents((1, "a a a b b c ef gh. gh. kl"), (2, "a b d kl mn"), (3, "a c ef ef ef"))
+    settings = lm_score.Settings(words=4, classes=classes, dims=4)
+    model, counts = lm_score.fit(df, settings)
+    # words: first class, end, two frequent ones, further classes; the next word after (end, end)
+    ids = lm_score.Ids(model.frequent, model.forms, 10)
+    known = ["a", "b", "c", "d", "ef", "gh.", "kl", "mn"]
+    symbols = {w: ids.symbol(w.encode()) for w in known}
+    assert len(set(symbols.values()) - {2, 3}) == classes
+    unseen = {}
+    for w in ("zzz", "qb", "ef!", "xn", "vf", "h.", "ld"):
+        # one unseen word stands for all of its class
+        unseen.setdefault(ids.symbol(w.encode()), w)
+    assert len(unseen) == classes
+    words = [*known, *unseen.values()]
+    probes = documents(*enumerate([*words, ""]))
     scores = {r.doc_id: r.score for r in lm_score.score_documents(probes, model, counts).collect()}
     table = np.exp(log_table(model.weights).astype(float))
-    n, ids = 4, {"a": 2, "b": 3}
+    n = settings.symbols
     start = table[lm_score.END * n + lm_score.END]
     mass = start[lm_score.END]
-    for i, word in enumerate([*sorted(known), "zzz"]):
-        last = table[lm_score.END * n + ids.get(word, 0)][lm_score.END]
+    for i, word in enumerate(words):
+        last = table[lm_score.END * n + ids.symbol(word.encode())][lm_score.END]
         mass += 10 ** scores[i] / last
     assert mass == pytest.approx(1, abs=1e-4)
-    assert 10 ** scores[5] == pytest.approx(start[lm_score.END], rel=1e-4)
+    assert 10 ** scores[len(words)] == pytest.approx(start[lm_score.END], rel=1e-4)
+
+
+def test_score_against_a_brute_force_model(spark, documents):
+    """Whole texts, word by word, from the weights and plain counts."""
+    texts = {1: "the cat sat on the mat. the dog", 2: "a cat a dog a mat.", 3: "new words here", 4: None, 5: "the the the"}
+    df = documents(*texts.items())
+    settings = lm_score.Settings(words=5, classes=3, dims=4, chunk_chars=20)
+    model, counts = lm_score.fit(df, settings)
+    seen = Counter(w for t in texts.values() for w in tokens(t))
+    ids = lm_score.Ids(model.frequent, model.forms, 100)
+
+    def symbol(word):
+        return lm_score.END if word is None else ids.symbol(word)
+
+    members = [w for w in seen if w is not None and symbol(w) not in range(1, 5)]
+    w = model.weights
+    for r in lm_score.score_documents(df, model, counts).collect():
+        a = b = lm_score.END
+        total = 0.0
+        for word in tokens(texts[r.doc_id]):
+            own = symbol(word)
+            scores = (w.context[a] @ w.mix[0] + w.context[b] @ w.mix[1]) @ w.target.T + w.bias
+            total += (scores[own] - np.log(np.exp(scores).sum())) / math.log(10)
+            if own == 0 or own >= settings.words:
+                alike = [m for m in members if symbol(m) == own]
+                total += math.log10((seen[word] + 1) / (sum(seen[m] for m in alike) + len(alike) + 1))
+            a, b = b, own
+        assert r.score == pytest.approx(total, rel=1e-5)
+
+
+def test_classes_stand_for_equally_many_words():
+    rng = np.random.default_rng(1)
+    words = [bytes(rng.choice(list(b"abcdeghmnrst.,"), rng.integers(1, 9)).tolist()) for _ in range(5000)]
+    tokens_of = np.zeros(lm_score.FORMS, np.int64)
+    for w in words:
+        tokens_of[lm_score.form_of(w)] += 1
+    settings = lm_score.Settings(words=10, classes=4)
+    symbols = lm_score.class_symbols(tokens_of, settings)
+    sums = [tokens_of[symbols == s].sum() for s in (0, 10, 11, 12)]
+    assert sum(sums) == 5000 and min(sums) > 900 and symbols.max() == 12
+    assert lm_score.class_symbols(np.zeros(lm_score.FORMS, np.int64), settings).max() == 0
 
 
 def test_edges(spark, documents):
@@ -100,7 +152,7 @@ def test_edges(spark, documents):
 def test_every_triple_trains_with_its_whole_count(monkeypatch):
     # far more tokens than 400 steps of 8 draws
     count = np.concatenate(([40_000, 9_000], np.arange(1, 1999)))
-    settings = lm_score.Settings(words=16, dims=2, batch=8, steps=100)
+    settings = lm_score.Settings(words=16, classes=1, dims=2, batch=8, steps=100)
     stands = np.zeros(16**3)
 
     def seen(w, state, grams, unigram, rng, noise=5, rate=0.1, weight=None):
