@@ -8,12 +8,14 @@ are the join keys; which of the colliding documents to compare is decided by a
 short parity sketch whose Hamming distance never exceeds d. What passes is
 verified on the sets themselves.
 
-Links are gathered in two rounds. In the first, each run of documents with an
-equal cell gives each document one comparison, with the first alike document of the run. Its verified
-links make components, and the second round compares only documents of a run
-that are alike and still in different components. No link between components
-is lost, and a group of thousands of copies costs a few rows per copy instead
-of all its pairs.
+Links are gathered in three rounds. In the first, each document takes part in a
+few of its runs only, those with the smallest hashes, which alike documents
+have in common; there it is compared with the first alike document. In the
+second, each component in a run that still has several is compared until one
+alike document of another is found. The third compares all documents of a run
+that are alike and still in different components, so no link between components
+is lost, and a group of thousands of copies costs a few rows per copy instead of
+all its pairs.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlane.llm.components import components
@@ -34,6 +36,8 @@ from cohortlane.sources.sinks import stage
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15))
 #: A run longer than this is compared block by block.
 BLOCK = 4096
+#: Runs of a document in the first round.
+FIRST_RUNS = 4
 BITMAP_BITS = 22
 #: Bits of the long sketch per shingle of difference: sets that pass it hardly ever fail to link.
 LONG = 16
@@ -247,42 +251,49 @@ def _folded(values: list[np.ndarray], bits: int) -> np.ndarray:
     return out
 
 
-def _compare(join: Join, rest: bool):
+def _compare(join: Join, rule: str):
     """Of runs sorted by (r1, r2, low, high, block, node): pairs (a, b) that may link.
 
-    First round: each member with the first member before it that is like it.
-    ``rest``: all alike members in different components.
+    ``first``: each member with the first member before it that is like it.
+    ``labels``: of members in different components, one alike pair per component
+    at most. ``all``: all alike members in different components.
     """
 
     def pairs(members: list[tuple]) -> Iterator[tuple[int, int]]:
         # one row per class: h1, n, sketch, component, block
         n = np.array([m[1] for m in members])
-        which = [m[3] for m in members]
         label = np.array([m[4] for m in members])
         node = [m[0] for m in members]
-        if rest and len(set(label.tolist())) == 1:
+        if rule != "first" and len(set(label.tolist())) == 1:
             return
         sketches = [np.frombuffer(m[2], np.uint64) for m in members]
         table = _folded(sketches, min(map(len, sketches)) * 64)
-        cross = which[0] != which[-1]
-        blocks = np.array(which)
+        blocks = np.array([m[3] for m in members])
+        cross = blocks[0] != blocks[-1]
+        # members, or all of their components, that need no other pair
         free = np.ones(len(members), bool)
         for i in range(len(members) - 1):
-            if (not rest and not free[i]) or (cross and blocks[i] != which[0]):
+            if (rule != "all" and not free[i]) or (cross and blocks[i] != blocks[0]):
                 continue
-            later = np.arange(len(members)) > i
+            other = np.arange(len(members)) > i
             if cross:
-                later &= blocks != which[0]
-            later &= (label != label[i]) if rest else free
-            j = np.flatnonzero(later)
+                other &= blocks != blocks[0]
+            if rule == "first":
+                other &= free
+            else:
+                other &= label != label[i]
+            j = np.flatnonzero(other)
             small, large = np.minimum(n[j], n[i]), np.maximum(n[j], n[i])
             j = j[100 * small >= join.percent * large]
             if not len(j):
                 continue
             apart = np.bitwise_count(table[j] ^ table[i]).sum(axis=1, dtype=np.int64)
             j = j[apart <= (100 - join.percent) * (n[j] + n[i]) // (100 + join.percent)]
-            if not rest:
+            if rule == "first":
                 free[j] = False
+            elif rule == "labels" and len(j):
+                j = j[:1]
+                free &= label != label[i]
             for x in j.tolist():
                 yield (node[i], node[x]) if node[i] < node[x] else (node[x], node[i])
 
@@ -468,14 +479,16 @@ def link_documents(docs: DataFrame, join: Join = Join(), text: str = "text") ->
         spread.join(classes.select("h1", "node"), "h1").select("r1", "r2", "low", "high", "block", "node"), "members"
     )
 
-    def candidates(labelled: DataFrame, rest: bool) -> DataFrame:
+    names = ["r1", "r2"]
+
+    def candidates(labelled: DataFrame, rule: str) -> DataFrame:
         order = ("r1", "r2", "low", "high", "block", "node")
         found = (
             labelled.join(classes.select("node", "n", "short"), "node")
             .repartition("r1", "r2", "low", "high")
             .sortWithinPartitions(*order)
             .select(*order, "n", "short", "label")
-            .mapInArrow(_compare(join, rest), "a long, b long")
+            .mapInArrow(_compare(join, rule), "a long, b long")
             .distinct()
         )
         # the long sketch keeps out pairs that don't quite link
@@ -484,17 +497,21 @@ def link_documents(docs: DataFrame, join: Join = Join(), text: str = "text") ->
         pairs = found.join(left, "a").join(right, "b").select("a", "b", "n", "x", "m", "y")
         return stage(pairs.mapInArrow(_closer(join), "a long, b long"), "pairs")
 
-    links = _verified(candidates(members.withColumn("label", F.col("node")), False), docs, join)
-    known = components(links)
-    labelled = members.join(known, "node", "left").withColumn(
-        "label", F.coalesce("component", "node")
-    )
-    # a run within one component has nothing left to compare
-    names = ["r1", "r2"]
-    open_runs = labelled.groupBy(*names).agg(F.min("label").alias("one"), F.max("label").alias("two")).where("one <> two")
-    open_members = labelled.join(open_runs.select(*names), names, "left_semi")
-    more = _verified(candidates(open_members, True), docs, join)
-    final = components(links.unionByName(more))
+    # a document's runs are few: as many as a set has cells
+    by_hash = Window.partitionBy("node").orderBy(F.xxhash64(*names), *names)
+    few = members.withColumn("_rank", F.dense_rank().over(by_hash)).where(F.col("_rank") <= FIRST_RUNS).drop("_rank")
+    links = _verified(candidates(few.withColumn("label", F.col("node")), "first"), docs, join)
+    final = components(links)
+    for rule in ("labels", "all"):
+        labelled = members.join(final, "node", "left").withColumn("label", F.coalesce("component", "node"))
+        # a run within one component has nothing left to compare
+        spans = labelled.groupBy(*names).agg(F.min("label").alias("one"), F.max("label").alias("two"))
+        still_open = labelled.join(spans.where("one <> two").select(*names), names, "left_semi")
+        pairs = candidates(still_open, rule)
+        if pairs.isEmpty():
+            continue
+        links = links.unionByName(_verified(pairs, docs, join))
+        final = components(links)
     named = (
         figures.join(classes.select("h1", "h2", "node"), ["h1", "h2"], "left")
         .join(final, "node", "left")
