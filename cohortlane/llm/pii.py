@@ -226,7 +226,7 @@ _OPEN, _CLOSE = r"[\[({<]", r"[\])}>]"
 _AT = rf"(?:\x20*{_OPEN}\x20*(?:at|@|arroba)\x20*{_CLOSE}\x20*|\x20+(?:at|arroba)\x20+|\x20*@\x20*)"
 _DOT = rf"(?:\x20*{_OPEN}\x20*(?:dot|punkt|point|punto|\.)\x20*{_CLOSE}\x20*|\x20+(?:dot|punkt|point|punto)\x20+|\.)"
 _BRACKETED = rf"\x20*{_OPEN}\x20*(?:at|@|arroba|dot|punkt|point|punto|\.)\x20*{_CLOSE}\x20*"
-_LOCAL_PART = rf"[A-Za-z0-9_%+-]+(?:(?:\.|{_BRACKETED.replace('at|@|arroba|', '')})[A-Za-z0-9_%+-]+)*"
+_LOCAL_PART = rf"[A-Za-z0-9_%+-]+(?:{_DOT}[A-Za-z0-9_%+-]+)*"
 _DISGUISED = re.compile(rf"(?i){_LOCAL_PART}{_AT}[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)+")
 #: An @ or "at" that is disguised, or a dot that is, close to it: where to look for an address.
 _SIGN = re.compile(
@@ -235,7 +235,6 @@ _SIGN = re.compile(
 )
 _AT_ONE = re.compile(rf"(?i){_AT}")
 _DOT_ONE = re.compile(rf"(?i){_DOT}")
-_REACH = 320  # an address has at most so many characters
 
 
 def at_and_dot(text: str) -> list[Edit]:
@@ -248,11 +247,7 @@ def at_and_dot(text: str) -> list[Edit]:
     for sign in _SIGN.finditer(text):
         if sign.start() < done:
             continue
-        first = max(done, sign.start() - _REACH)
-        # the name before the sign: back to the last character that can't be part of one
-        window = text[first : sign.start() + 1]
-        start = first + _name_start(window)
-        m = _DISGUISED.match(text, start)
+        m = _DISGUISED.match(text, _name_start(text, sign.start(), done, not sign[0].startswith("@")))
         if not m or m.end() <= sign.start():
             continue
         whole = m[0]
@@ -263,8 +258,7 @@ def at_and_dot(text: str) -> list[Edit]:
         if (plain_at and plain_dots and _BRACKET.search(whole) is None) or (worded and plain_dots):
             continue
         base = m.start()
-        for d in _BRACKET_DOT.finditer(whole, 0, at.start()):
-            edits.append((base + d.start(), base + d.end(), "."))
+        edits += [(base + d.start(), base + d.end(), ".") for d in _DOT_ONE.finditer(whole, 0, at.start()) if d[0] != "."]
         if not plain_at:
             edits.append((base + at.start(), base + at.end(), "@"))
         edits += [(base + d.start(), base + d.end(), ".") for d in dots if d[0] != "."]
@@ -273,26 +267,54 @@ def at_and_dot(text: str) -> list[Edit]:
 
 
 _BRACKET = re.compile(rf"(?i){_BRACKETED}")
-_BRACKET_DOT = re.compile(rf"(?i){_BRACKETED.replace('at|@|arroba|', '')}")
+_DOT_WORDS = ("dot", "punkt", "point", "punto")
+_PART = _LOCAL - {"."}
 
 
-def _name_start(window: str) -> int:
-    """Where the name that ends a window starts."""
-    at = len(window) - 1
-    while at > 0 and window[at - 1] == " ":
+def _name_start(text: str, sign: int, low: int, spelled: bool) -> int:
+    """Where the name before a sign starts: back over parts and the dots between them.
+
+    A dot is plain, in brackets or, with ``spelled``, a word between blanks.
+    """
+    at = _back_over(text, sign, low, " ")
+    while True:
+        part = at
+        while part > low and text[part - 1] in _PART:
+            part -= 1
+        if part == at:
+            # a dot before which there is no name
+            return at
+        dot = _dot_before(text, part, low, spelled)
+        if dot is None or dot == low or text[dot - 1] not in _PART:
+            return part
+        at = dot
+
+
+def _back_over(text: str, at: int, low: int, signs: str) -> int:
+    while at > low and text[at - 1] in signs:
         at -= 1
-    while at > 0:
-        c = window[at - 1]
-        if c in _LOCAL:
-            at -= 1
-        elif c in "])}>" and (m := _LAST_DOT.search(window, max(0, at - 24), at)):
-            at = m.start()
-        else:
-            break
     return at
 
 
-_LAST_DOT = re.compile(rf"(?i){_BRACKETED.replace('at|@|arroba|', '')}$")
+def _dot_before(text: str, at: int, low: int, spelled: bool) -> int | None:
+    """Where the dot that ends at a place starts, blanks around it included."""
+    if at > low and text[at - 1] == ".":
+        return at - 1
+    end = _back_over(text, at, low, " ")
+    if end > low and text[end - 1] in "])}>":
+        end = _back_over(text, end - 1, low, " ")
+        word = next((w for w in (*_DOT_WORDS, ".") if text[max(low, end - len(w)) : end].lower() == w), None)
+        start = _back_over(text, end - len(word), low, " ") if word else low
+        if start > low and text[start - 1] in "[({<":
+            return _back_over(text, start - 1, low, " ")
+    elif spelled and end < at:
+        word = next((w for w in _DOT_WORDS if text[max(low, end - len(w)) : end].lower() == w), None)
+        start = _back_over(text, end - len(word), low, " ") if word else end
+        if word and start < end - len(word):
+            return start
+    return None
+
+
 _TRANSDUCERS = (homoglyphs, spelled_digits, at_and_dot)
 
 
@@ -338,7 +360,7 @@ def find_pii(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [find(x) for x in batch.column(1).to_pylist()]
+            found = [find(x.as_py()) for x in batch.column(1)]
             columns = [
                 pa.array([[{"start": s, "kind": k, "end": e} for s, k, e in pair[i]] for pair in found], _ARROW)
                 for i in (0, 1)

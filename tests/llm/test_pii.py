@@ -80,7 +80,49 @@ def test_disguises(text, expected):
     assert [x for x in added] == expected
 
 
-@pytest.mark.parametrize("text", ["1" * 300_000, "0" * 300_000 + ".1.1.1", "+1" + "(" * 300_000, "at " * 100_000, "a@" * 100_000, " " * 300_000])
+AT_FORMS = ("@", " @ ", "[at]", " [at] ", " (at) ", "{ AT }", " <@> ", " at ", "   at   ", " arroba ", " " * 40 + "[at]" + " " * 40)
+DOT_FORMS = (".", "[dot]", " [dot] ", " (dot) ", "[.]", " { punkt } ", " dot ", "  DOT  ", " punto ", " " * 30 + "[dot]" + " " * 30)
+
+
+@pytest.mark.parametrize("at", AT_FORMS)
+def test_whole_addresses(at):
+    """Every form of the sign with every form of dot in name and domain, alone and in company."""
+    for dot in DOT_FORMS:
+        for name_dot in DOT_FORMS:
+            for names, domains in ((("jane",), ("mail", "com")), (("jane", "q", "doe"), ("mail", "example", "org"))):
+                address = name_dot.join(names) + at + dot.join(domains)
+                disguised_at, disguised_dot = at != "@", dot != "."
+                # blanks around a sign, or a word in its place, say little without a disguised dot
+                if not disguised_dot and at.strip() in ("at", "arroba", "@"):
+                    continue
+                spelled = name_dot.strip().lower() in ("dot", "punto") and len(names) > 1
+                if spelled and "@" in at and "<" not in at:
+                    continue
+                if not (disguised_at or disguised_dot or (name_dot != "." and len(names) > 1)):
+                    continue
+                if at == "@" and not disguised_dot:
+                    continue  # a plain address follows the name's last part
+                for before, after in (("", ""), ("é write to: ", ", please"), ("x" * 500 + "; ", "\n" + "y" * 500)):
+                    text = before + address + after
+                    base, spans = find(text)
+                    added = [text[s:e] for s, k, e in spans if k == 0 and (s, k, e) not in set(base)]
+                    assert added == [address], (text, added)
+
+
+def test_spelled_dots_in_prose_stay():
+    for text in ("he made a point at noon", "the dot at the end", "jane dot doe@mail.com", "a point at example.com"):
+        base, spans = find(text)
+        assert spans == base == brute(text)
+
+
+def test_a_far_reaching_name():
+    text = "see " + " [dot] ".join(["name"] * 200) + " [at] mail [dot] com"
+    _, spans = find(text)
+    assert [text[s:e] for s, _, e in spans] == [text[4:]]
+
+
+@pytest.mark.parametrize("text", ["1" * 300_000, "0" * 300_000 + ".1.1.1", "+1" + "(" * 300_000, "at " * 100_000, "a@" * 100_000, " " * 300_000,
+    "a [dot] " * 50_000 + "[at]", "a dot " * 50_000 + " at b dot c", "[at] " * 60_000, ("a" + " " * 3000 + "[at]") * 100])
 def test_long_runs_are_cheap(text):
     base, _ = find(text)
     assert base == detect(text)
