@@ -61,7 +61,11 @@ def _groups(sizes: np.ndarray, most: int = 4096) -> Iterator[tuple[np.ndarray, n
 
 def marginals(model: Model, features: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The probability that each line is good; ``sizes`` are the lines of each chain."""
-    scores = features @ model.weights
+    return marginals_of_scores(model, features @ model.weights, sizes)
+
+
+def marginals_of_scores(model: Model, scores: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The same from each line's score for state 1."""
     out = np.empty(len(scores))
     for group, lines in _groups(sizes):
         table, live = _padded(scores[lines], sizes[group])

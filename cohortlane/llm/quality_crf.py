@@ -13,10 +13,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortlane.llm.crf import Model, marginals, train
+from cohortlane.llm.crf import Model, marginals_of_scores, train
 
 _UPPER = bytes(range(65, 91))
 _LETTERS = _UPPER + bytes(range(97, 123))
@@ -25,6 +25,8 @@ _SYMBOLS = b"!#*$%&|<>~^@{}[]=\\_/+"
 _BLANK = b" \t\n\r\x0b\x0c"
 _ENDS = (".", "!", "?", "…", ":", "\"", "”", "»")
 OWN = 18
+#: Lines whose features, and whose probabilities, are in memory at a time (a text is not divided for the latter).
+LINES = 20_000
 WIDTH = 1 + 3 * OWN
 
 
@@ -70,18 +72,34 @@ def describe_line(line: str, words: list[str], seen: set, copies: int) -> list[f
     ]
 
 
-def describe(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Own features of a text's lines that have words, and their lengths.
+def describe(text: str | None, at_a_time: int = 1 << 62) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Own features of a text's lines that have words, and their lengths, so many lines at a time.
 
     A text without words is one empty line.
     """
-    lines = [(line, words) for line in (text or "").split("\n") if (words := line.split())] or [("", [])]
+    lines = [line for line in (text or "").split("\n") if line and not line.isspace()] or [""]
     copies: dict[str, int] = {}
-    for line, _ in lines:
+    for line in lines:
         copies[line] = copies.get(line, 0) + 1
     seen: set = set()
-    own = np.array([describe_line(line, words, seen, copies[line]) for line, words in lines], np.float32)
-    return own, np.array([max(1, len(line)) for line, _ in lines], np.float64)
+    for part in (lines[i : i + at_a_time] for i in range(0, len(lines), at_a_time)):
+        own = [describe_line(line, line.split(), seen, copies[line]) for line in part]
+        yield np.array(own, np.float32), np.array([max(1, len(line)) for line in part], np.float64)
+
+
+def line_scores(text: str | None, model: Model, at_a_time: int = LINES) -> tuple[np.ndarray, np.ndarray]:
+    """Each line's score for "good", its neighbours' features included, and the lines' lengths.
+
+    What a line adds to its own score and to those of its neighbours are three
+    numbers, so features exist for ``at_a_time`` lines only.
+    """
+    columns = model.weights[1:].reshape(3, OWN).T
+    parts = [(own @ columns, lengths) for own, lengths in describe(text, at_a_time)]
+    added, lengths = (np.concatenate(x) for x in zip(*parts))
+    scores = model.weights[0] + added[:, 0]
+    scores[1:] += added[:-1, 1]
+    scores[:-1] += added[1:, 2]
+    return scores, lengths
 
 
 def with_neighbours(own: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -116,39 +134,43 @@ def held_out(key: Column) -> Column:
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(batch.num_rows):
-            own, _ = describe(batch.column(1)[i].as_py())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(i, 1), pa.array([own.tobytes()], pa.binary())], names=["good", "own"]
-            )
+            ((own, _),) = describe(batch.column(3)[i].as_py())
+            found = [*(c.slice(i, 1) for c in batch.columns[:3]), pa.array([len(own)]), pa.array([own.tobytes()], pa.binary())]
+            yield pa.RecordBatch.from_arrays(found, names=["good", "at", "doc_id", "lines", "own"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: Sample = Sample()) -> Model:
     """Train on a bounded sample of labelled documents that are not held out.
 
     The sample is the labelled documents with the smallest hashes of their ids;
-    half of it at most comes from each class, so a rare class is not lost.
+    half of it at most comes from each class, so a rare class is not lost; in
+    the same order they go as far as the bound on lines, and a text of more than a
+    twentieth of it is left out. NULL ids and labels are ignored, NULL texts are
+    empty, of repeated labels of a document one counts, other columns are ignored.
     Without labelled documents the model scores one half everywhere.
     """
     known = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").where(~held_out(F.col("doc_id")))
     half = sample.documents // 2
     chosen = None
     for value in (0, 1):
-        own = known.where(F.col("quality") == value).select("doc_id", F.lit(value).alias("good"))
+        own = known.where(F.col("quality") == value).select("doc_id", F.lit(value).alias("good"), F.xxhash64("doc_id").alias("at"))
         # a top-k by hash: its size is the documented bound
-        part = own.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(half)
+        part = own.dropDuplicates(["doc_id"]).orderBy("at", "doc_id").limit(half)
         chosen = part if chosen is None else chosen.unionByName(part)
     rows = (
         docs.select("doc_id", "text")
         .join(F.broadcast(chosen), "doc_id")
-        .select("good", "text")
-        .mapInArrow(_features, "good int, own binary")
+        .select("good", "at", "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+        # a text with more lines than a sample may have of one document is no example
+        .where(F.length("text") - F.length(F.translate("text", "\n", "")) < sample.lines // 20)
+        .mapInArrow(_features, f"good int, at long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, lines long, own binary")
     )
-    own, sizes, good, total = [], [], [], 0
-    for row in rows.toLocalIterator():
+    # hash order, so that where the bound on lines falls does not hang on how files are cut
+    running = Window.orderBy("at", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    bounded = rows.withColumn("upto", F.sum("lines").over(running)).where(F.col("upto") <= sample.lines)
+    own, sizes, good = [], [], []
+    for row in bounded.orderBy("at", "doc_id").select("good", "own").collect():
         lines = np.frombuffer(row.own, np.float32).reshape(-1, OWN)
-        if total + len(lines) > sample.lines:
-            continue
-        total += len(lines)
         own.append(lines)
         sizes.append(len(lines))
         good += [row.good] * len(lines)
@@ -159,18 +181,27 @@ def fit(docs: DataFrame, labels: DataFrame, sample: Sample = Sample()) -> Model:
 
 
 def _score(model: Model):
+    def scored(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[list[int], list[float]]:
+        sizes = np.array([len(lengths) for _, lengths in held])
+        good = marginals_of_scores(model, np.concatenate([s for s, _ in held]), sizes)
+        length = np.concatenate([x for _, x in held])
+        first = np.cumsum(sizes) - sizes
+        score = np.add.reduceat(good * length, first) / np.add.reduceat(length, first)
+        return sizes.tolist(), np.clip(score, 0.0, 1.0).tolist()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in (batch.slice(at, 512) for at in range(0, batch.num_rows, 512)):
-                described = [describe(x.as_py()) for x in part.column(part.num_columns - 1)]
-                sizes = np.array([len(own) for own, _ in described])
-                features = with_neighbours(np.concatenate([own for own, _ in described]), sizes)
-                good = marginals(model, features, sizes)
-                length = np.concatenate([x for _, x in described])
-                first = np.cumsum(sizes) - sizes
-                score = np.add.reduceat(good * length, first) / np.add.reduceat(length, first)
-                columns = [*part.columns[:-1], pa.array(sizes, pa.int64()), pa.array(np.clip(score, 0.0, 1.0))]
-                yield pa.RecordBatch.from_arrays(columns, names=[*part.schema.names[:-1], "n_lines", "score"])
+            sizes, scores, held, lines = [], [], [], 0
+            texts = batch.column(batch.num_columns - 1)
+            for i, text in enumerate(texts, 1):
+                held.append(line_scores(text.as_py(), model))
+                lines += len(held[-1][0])
+                if lines >= LINES or i == len(texts):
+                    for whole, new in zip((sizes, scores), scored(held)):
+                        whole += new
+                    held, lines = [], 0
+            columns = [*batch.columns[:-1], pa.array(sizes, pa.int64()), pa.array(scores, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], "n_lines", "score"])
 
     return run
 
@@ -188,7 +219,11 @@ def score_documents(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc
 
 
 def keep_good(docs: DataFrame, model: Model, threshold: float = 0.3, text: str = "text") -> DataFrame:
-    """Documents that score at least ``threshold``; all their columns stay."""
+    """Documents that score at least ``threshold``; all their columns stay.
+
+    NULL and empty texts are scored as one empty line and NULL ids are kept like
+    others; repeated rows stay or go together; an empty table stays empty.
+    """
     plain = docs.toDF(*[f"_c{i}" for i in range(len(docs.columns))])
     scored = score_documents(plain, model, tuple(plain.columns), f"_c{docs.columns.index(text)}")
     return scored.where(F.col("score") >= threshold).select(*plain.columns).toDF(*docs.columns)

@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline as p
@@ -100,3 +101,40 @@ def test_near_duplicates_at_80_percent_of_five_words(spark, documents):
     rows = [(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(far)), (4, None), (5, "")]
     kept = {r.doc_id for r in p.near_duplicates(spark, documents(*rows), "").collect()}
     assert kept == {1, 3, 4, 5}
+
+
+def test_clean_texts_pass_the_secret_scan(spark, documents):
+    """Paths, slugs and identifiers stay as they are."""
+    texts = ["/usr/local/lib/python3/dist/package7/module", "how-to-write-3-plain-words-in-a-row", "kubernetesClusterConfiguration7Production"]
+    docs = documents(*enumerate(f"see {x} there" for x in texts))
+    assert sorted(map(tuple, p.secret_scan(spark, docs, "").collect())) == sorted(map(tuple, docs.collect()))
+
+
+ODD = [(1, None), (2, ""), (3, " \n"), (4, "plain words of a text.\n" * 40), (4, "plain words of a text.\n" * 40),
+       (None, "another text with words.\n" * 9), (5, "long " * 60_000)]
+
+
+@pytest.mark.parametrize("name", [name for name, _ in p.STAGES])
+def test_stage_on_odd_rows(spark, sf_dir, documents, name):
+    """NULL texts and ids, empty and long texts, repeated rows, clashing columns, no rows."""
+    function = dict(p.STAGES)[name]
+    docs = documents(*ODD)
+    clashing = docs
+    for column in ("score", "spans", "n_words", "h1", "node", "component_id", "_spans", "bin", "length"):
+        clashing = clashing.withColumn(column, F.lit("z"))
+    got = function(spark, clashing, sf_dir)
+    assert function(spark, docs.limit(0), sf_dir).count() == 0
+    if name == "best_fit":
+        rows = got.collect()
+        ids = [r.doc_id for r in rows]
+        assert ids.count(4) == 2 and ids.count(None) == 1 and {1, 2, 3, 5} <= set(ids)
+        assert {r.length for r in rows if r.doc_id in (1, 2, 3)} == {1}
+        return
+    assert got.dtypes == clashing.dtypes
+    kept = sorted(((r.doc_id, r.text) for r in got.collect()), key=str)
+    if name == "quality":
+        # by its text alone: repeated rows go together
+        assert [d for d, _ in kept].count(4) in (0, 2)
+    else:
+        # nothing here is a copy of another document, a passage of a benchmark or a secret
+        assert kept == sorted(ODD, key=str)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cohortlane.llm import queries as q
 from cohortlane.llm.crf import Model, marginals, train
-from cohortlane.llm.quality_crf import WIDTH, fit, keep_good, score_documents
+from cohortlane.llm.quality_crf import OWN, WIDTH, Sample, describe, fit, keep_good, line_scores, score_documents, with_neighbours
 
 
 def brute(model, scores):
@@ -77,3 +77,42 @@ def test_edges(spark, documents, flat):
     assert score_documents(df.limit(0), flat).count() == 0
     none = fit(df, spark.createDataFrame([(9, 1, 0)], "doc_id long, quality int, toxic int"))
     assert not none.weights.any()
+
+
+def test_scores_need_no_wide_features():
+    rng = np.random.default_rng(3)
+    model = Model(rng.normal(size=WIDTH), rng.normal(size=(2, 2)), rng.normal(size=2))
+    texts = [None, "one line", "a b c\n\nd e f!\n \na b c\n" * 30, "x\ny"]
+    for text in texts:
+        ((own, lengths),) = describe(text)
+        want = with_neighbours(own, np.array([len(own)])) @ model.weights
+        for at_a_time in (1, 7, 1000):
+            got, again = line_scores(text, model, at_a_time)
+            assert np.allclose(got, want, atol=1e-4) and (again == lengths).all()
+    assert own.shape[1] == OWN
+
+
+def test_memory_of_many_lines_in_many_texts():
+    """128 texts of 2000 lines in one batch: features exist for some lines at a time."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from cohortlane.llm import quality_crf
+
+    model = Model(np.ones(WIDTH), np.zeros((2, 2)), np.zeros(2))
+    text = "some words of a line\n" * 2000
+    batch = pa.RecordBatch.from_arrays([pa.array(range(128)), pa.array([text] * 128)], names=["doc_id", "_text"])
+    tracemalloc.start()
+    rows = sum(b.num_rows for b in quality_crf._score(model)(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == 128 and peak < 60e6
+
+
+def test_sample_does_not_hang_on_files(spark, documents):
+    docs = documents(*((i, f"line {i} of many!\n" * (1 + i % 9)) for i in range(120)))
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(120)], "doc_id long, quality int, toxic int")
+    some = Sample(documents=100, lines=200)
+    first, second = (fit(docs.repartition(n), labels, some) for n in (1, 7))
+    assert np.allclose(first.weights, second.weights)
