@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from cohortlane.llm.licenses import COMMENT, ENDS, LEAD, NAMED, OPEN, RULES, SCRIPT, SENTENCES, VERSION
 from cohortlane.llm.quality_rules import BOILERPLATE, NAVIGATION
+from cohortlane.llm.quality_rules import ENDS as ENDS_OF_LINES
 
-_NAV = ", ".join(f"'{x}'" for x in NAVIGATION)
+_NAV = ", ".join("'" + x.replace("'", "''") + "'" for x in NAVIGATION)
+_ENDS7 = ENDS_OF_LINES.replace("'", "''")
 
 OP7 = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
@@ -18,19 +20,25 @@ repeated AS (
 ), covered AS (
   SELECT doc_id, count(DISTINCT i + k) AS n FROM repeated, (SELECT unnest(range(0, 5)) AS k) GROUP BY doc_id
 ), lines AS (
-  SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d
+  SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS pos FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM d)
 ), judged AS (
-  SELECT doc_id, line, regexp_matches(line, '[^\\x20\\x09-\\x0D]') AS solid,
+  SELECT doc_id, line, pos, regexp_matches(line, '[^\\x20\\x09-\\x0D]') AS solid,
     length(regexp_replace(line, '[\\x20\\x09-\\x0D]', '', 'g')) AS chars,
     length(regexp_replace(line, '[^!#*$%&|<>~^]', '', 'g')) AS noise,
     length(regexp_replace(line, '[^|»›•]', '', 'g')) AS seps,
     len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) AS n,
     lower(line) AS low
   FROM lines
+), menus AS (
+  SELECT *, (n BETWEEN 1 AND 3 AND NOT regexp_matches(rtrim(line, ' '), '[{_ENDS7}]$'))::INT AS item FROM judged
+), runs AS (
+  SELECT *, pos - sum(item) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM menus
+), sized AS (
+  SELECT *, CASE WHEN item = 1 THEN sum(item) OVER (PARTITION BY doc_id, run, item) ELSE 0 END AS items FROM runs
 ), failing AS (
   SELECT *, (noise >= 3 AND noise * 100 > chars * 15) OR (seps >= 3 AND seps * 4 >= n)
-    OR trim(low) IN ({_NAV}) OR regexp_matches(low, '{"|".join(BOILERPLATE)}') AS fails
-  FROM judged
+    OR trim(low) IN ({_NAV}) OR (n <= 15 AND regexp_matches(low, '{"|".join(BOILERPLATE)}')) OR items >= 4 AS fails
+  FROM sized
 ), by_doc AS (
   SELECT doc_id, count(*) FILTER (solid) AS n_lines, count(DISTINCT line) FILTER (solid) AS n_distinct,
     count(*) FILTER (fails) AS n_failed_lines, coalesce(sum(chars) FILTER (fails), 0)::BIGINT AS lost_chars

@@ -19,39 +19,33 @@ SYMBOLS = "#*$%&|<>"
 NOISE = "!#*$%&|<>~^"
 SEPARATORS = "|»›•"
 
-#: Phrases of page furniture, lower case; a line holding one is boilerplate.
+#: Phrases of page furniture in the languages of the corpus, lower case; a short
+#: line holding one is boilerplate.
 BOILERPLATE = (
-    "all rights reserved",
-    "privacy policy",
-    "terms of service",
-    "terms of use",
-    "cookie policy",
-    "accept cookies",
-    "enable javascript",
-    "lorem ipsum",
-    "click here",
-    "subscribe to our newsletter",
-)
-
-#: Lines that consist of nothing but one of these are navigation.
+    "all rights reserved", "privacy policy", "terms of service", "terms of use", "cookie policy", "accept cookies",
+    "enable javascript", "lorem ipsum", "click here", "subscribe to our newsletter",
+    "alle rechte vorbehalten", "allgemeine geschäftsbedingungen", "cookies akzeptieren", "javascript aktivieren",
+    "hier klicken", "newsletter abonnieren",
+    "tous droits réservés", "politique de confidentialité", "mentions légales", "accepter les cookies",
+    "cliquez ici", "abonnez-vous à notre",
+    "todos los derechos reservados", "política de privacidad", "aviso legal", "aceptar cookies", "haga clic aquí",
+    "suscríbase a nuestro",
+)
+
+#: Lines that consist of nothing but one of these are navigation.
 NAVIGATION = (
-    "home",
-    "menu",
-    "search",
-    "login",
-    "log in",
-    "sign in",
-    "sign up",
-    "register",
-    "next",
-    "previous",
-    "back to top",
-    "skip to content",
-    "read more",
-    "share",
-    "contact us",
-    "about us",
-)
+    "home", "menu", "search", "login", "log in", "sign in", "sign up", "register", "next", "previous", "back to top",
+    "skip to content", "read more", "share", "contact us", "about us",
+    "startseite", "suche", "anmelden", "registrieren", "weiter", "zurück", "nach oben", "zum inhalt springen",
+    "mehr lesen", "teilen", "kontakt", "über uns", "impressum", "datenschutz",
+    "accueil", "rechercher", "connexion", "s'inscrire", "suivant", "précédent", "haut de page", "aller au contenu",
+    "lire la suite", "partager", "contactez-nous", "à propos",
+    "inicio", "buscar", "iniciar sesión", "registrarse", "siguiente", "anterior", "volver arriba", "ir al contenido",
+    "leer más", "compartir", "contacto", "sobre nosotros",
+)
+
+#: Signs at the end of a line that is part of a text.
+ENDS = ".!?:;,…)\"”»"
 
 
 @dataclass(frozen=True)
@@ -59,14 +53,20 @@ class LineRules:
     """``noise_percent``: a line fails with more noise among its non-blank
     characters, if it has at least ``least_noise`` of it.
     ``least_separators``: so many separators make a line navigation if there is
-    one for every ``words_per_separator`` words. ``max_lost_percent``: a
-    document that loses more of its non-blank characters is rejected.
+    one for every ``words_per_separator`` words. ``boilerplate_words``: a line of
+    more words is prose, whatever phrase it holds. ``menu_lines``: so many lines in
+    a row of at most ``menu_words`` words without a sign at the end are a menu.
+    ``max_lost_percent``: a document that loses more of its non-blank characters
+    is rejected.
     """
 
     noise_percent: int = 15
     least_noise: int = 3
     least_separators: int = 3
     words_per_separator: int = 4
+    boilerplate_words: int = 15
+    menu_lines: int = 4
+    menu_words: int = 3
     max_lost_percent: int = 40
 
 
@@ -90,7 +90,33 @@ def line_fails(line: Column, rules: LineRules = LineRules()) -> Column:
             & (separators * rules.words_per_separator >= F.size(words(line)))
         )
         | F.trim(low).isin(*NAVIGATION)
-        | low.rlike("|".join(BOILERPLATE))
+        | (low.rlike("|".join(BOILERPLATE)) & (F.size(words(line)) <= rules.boilerplate_words))
+    )
+
+
+def menu_like(line: Column, rules: LineRules = LineRules()) -> Column:
+    """True for a short line that ends like an item of a menu."""
+    return F.size(words(line)).between(1, rules.menu_words) & ~F.rtrim(line).rlike(f"[{ENDS}]$")
+
+
+def failing(lines: Column, rules: LineRules = LineRules()) -> Column:
+    """For each line of a text: whether it fails by itself or stands in a menu."""
+    length = rules.menu_lines
+
+    def in_menu(like: Column, i: Column) -> Column:
+        out = F.lit(False)
+        for first in range(length):
+            whole = F.lit(True)
+            for k in range(length):
+                whole = whole & F.coalesce(F.get(like, i + (k - first)), F.lit(False))
+            out = out | whole
+        return out
+
+    return let(
+        F.transform(lines, lambda line: menu_like(line, rules)),
+        lambda like: F.transform(
+            lines, lambda line, i: line_fails(line, rules) | (F.get(like, i) & in_menu(like, i))
+        ),
     )
 
 
@@ -157,11 +183,12 @@ def clean_lines(docs: DataFrame, rules: LineRules = LineRules(), text: str = "te
         F.size(w).cast("long").alias("n_words"),
         windows.alias("_q_windows"),
         solid.alias("_q_solid"),
-        F.filter(F.col("_q_lines"), lambda line: line_fails(line, rules)).alias("_q_failed"),
+        failing(F.col("_q_lines"), rules).alias("_q_fails"),
         F.col("_q_lines"),
     )
+    failed_lines = F.filter("_q_lines", lambda line, i: F.get("_q_fails", i))
     lost = F.aggregate(
-        F.transform(F.col("_q_failed"), _solid), F.lit(0).cast("long"), lambda total, x: total + x
+        F.transform(failed_lines, _solid), F.lit(0).cast("long"), lambda total, x: total + x
     )
     counted = measured.select(
         *rest,
@@ -171,9 +198,9 @@ def clean_lines(docs: DataFrame, rules: LineRules = LineRules(), text: str = "te
         (F.size("_q_solid") - F.size(F.array_distinct("_q_solid"))).cast("long").alias("n_dup_lines"),
         _repeated_words(F.col("_q_windows")).alias("n_repeat_words"),
         F.size("_q_solid").cast("long").alias("n_lines"),
-        F.size("_q_failed").cast("long").alias("n_failed_lines"),
+        F.size(F.filter("_q_fails", lambda x: x)).cast("long").alias("n_failed_lines"),
         lost.alias("lost_chars"),
-        F.concat_ws("\n", F.filter(F.col("_q_lines"), lambda line: ~line_fails(line, rules))).alias("cleaned"),
+        F.concat_ws("\n", F.filter("_q_lines", lambda line, i: ~F.get("_q_fails", i))).alias("cleaned"),
     )
     failed = (F.col("n_words") < 10) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 20)
     return counted.withColumn("base_failed", failed).withColumn(

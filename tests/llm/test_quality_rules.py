@@ -75,6 +75,18 @@ def test_whole_table(spark, sf_dir):
         ("home | about | news | login", True),
         ("Skip to content", True),
         ("All rights reserved 2020.", True),
+        ("Startseite", True),
+        (" IMPRESSUM ", True),
+        ("Datenschutz", True),
+        ("Alle Rechte vorbehalten.", True),
+        ("Accueil", True),
+        ("Tous droits réservés", True),
+        ("Mentions légales | Contact", True),
+        ("Inicio", True),
+        ("Todos los derechos reservados", True),
+        ("Haga clic aquí", True),
+        ("He told me that you have to click here and there a lot until the thing works as it should do.", False),
+        ("Der Datenschutz ist ein Thema.", False),
         ("", False),
     ],
 )
@@ -91,6 +103,23 @@ def test_lines_go_first_and_then_documents(documents):
     assert loose.kept == (not loose.base_failed)
 
 
+def test_menus(documents):
+    """Four short lines in a row without a sign at their ends, in any language."""
+    prose = "Ein Satz, der länger ist und mit einem Punkt endet.\n"
+    cases = {
+        1: (prose + "Produkte\nPreise\nHilfe\nÜber die Firma\n" + prose, 4),
+        2: (prose + "Produits\nTarifs\nAide\n" + prose, 0),
+        3: (prose + "uno\ndos\ntres\n\ncuatro\ncinco\nseis\n" + prose, 0),
+        4: ("a\nb b\nc c c\nd d d d\ne\nf\ng\nh.", 0),
+        5: ("a\nb b\nc c c\nd d d\ne\nf\ng\nh.", 7),
+        6: ("a\nb\nc\nd \n", 4),
+        7: ("a,\nb!\nc:\nd)", 0),
+    }
+    rows = {r.doc_id: r for r in clean_lines(documents(*((i, t) for i, (t, _) in cases.items()))).collect()}
+    assert {i: r.n_failed_lines for i, r in rows.items()} == {i: n for i, (_, n) in cases.items()}
+    assert rows[1].cleaned == prose + prose
+
+
 def test_native(spark, sf_dir):
     plan = q.op7_line_rules(spark, sf_dir)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
