@@ -27,6 +27,7 @@ from cohortlane.operators.cohorts import (
     visit_index,
 )
 from cohortlane.operators.demographics import demographics, known_sex
+from cohortlane.operators.person_sets import Cut, PersonNumbers, person_sets
 from cohortlane.operators.phenotype import (
     Criterion,
     EventSource,
@@ -316,7 +317,7 @@ def attrition_steps(inputs: StudyInputs, persons: DataFrame | None = None) -> li
 def attrition_steps_wide(
     inputs: StudyInputs, linked: DataFrame, same_visit: DataFrame, linked_person: DataFrame
 ) -> list[AttritionStep]:
-    """Seventeen steps: by entry date (A, C), visit date (B, D) and linked visits (X).
+    """What has to be evaluated for the wide funnel: see :func:`wide_cuts`.
 
     ``linked`` are the emergency visits linked to inpatient ones, ``same_visit``
     the persons with suspected sepsis within one of them.
@@ -327,25 +328,51 @@ def attrition_steps_wide(
     by_entry, by_visit = (F.col("index_kind") == kind for kind in INDEX_KINDS)
     in_visit = add_site(same_visit, linked_person)
     suspected, coded = (F.expr(MEMBERSHIP[c][0]) for c in ("suspected", "coded"))
-    here = F.col("site").isin(*inputs.sites)
     return [
-        AttritionStep("1. All patients", inputs.person),
-        AttritionStep("2A. From 1: Patients with an ICU record", service),
-        AttritionStep("3A. From 2A: ICU entry within the study period", service, entry_condition(inputs)),
-        AttritionStep("3B. From 2A: Visit started within the study period", started),
-        AttritionStep("4A. From 3A: Aged >=0 and <18 at entry", persons, by_entry),
-        AttritionStep("4B. From 3B: Aged >=0 and <18 at visit start", persons, by_visit),
-        AttritionStep("5A. From 4A: Sepsis code near entry", persons, by_entry & coded),
-        AttritionStep("5B. From 4B: Sepsis code near visit start", persons, by_visit & coded),
-        AttritionStep("5C. From 4A: Suspected sepsis near entry", persons, by_entry & suspected),
-        AttritionStep("5D. From 4B: Suspected sepsis near visit start", persons, by_visit & suspected),
-        AttritionStep("6A. From 5A: Site subset", persons, by_entry & coded & here),
-        AttritionStep("6B. From 5B: Site subset", persons, by_visit & coded & here),
-        AttritionStep("6C. From 5C: Site subset", persons, by_entry & suspected & here),
-        AttritionStep("6D. From 5D: Site subset", persons, by_visit & suspected & here),
-        AttritionStep("2X. From 1: Emergency visit linked to an inpatient visit", linked),
-        AttritionStep("3X. From 2X: Suspected sepsis in the same visit", in_visit),
-        AttritionStep("4X. From 3X: Site subset", in_visit, here),
+        AttritionStep("person", inputs.person),
+        AttritionStep("service", service),
+        AttritionStep("entry", service, entry_condition(inputs)),
+        AttritionStep("visit", started),
+        AttritionStep("minor at entry", persons, by_entry),
+        AttritionStep("minor at visit", persons, by_visit),
+        AttritionStep("coded at entry", persons, by_entry & coded),
+        AttritionStep("coded at visit", persons, by_visit & coded),
+        AttritionStep("suspected at entry", persons, by_entry & suspected),
+        AttritionStep("suspected at visit", persons, by_visit & suspected),
+        AttritionStep("linked", linked),
+        AttritionStep("same visit", in_visit),
+    ]
+
+
+def wide_sets(
+    inputs: StudyInputs, linked: DataFrame, same_visit: DataFrame, linked_person: DataFrame
+) -> DataFrame:
+    """The persons of each step of the wide funnel, by site; persons are numbered first."""
+    numbers = PersonNumbers.checked(inputs.person, inputs.adt, linked_person, linked)
+    return person_sets(attrition_steps_wide(inputs, linked, same_visit, linked_person), numbers)
+
+
+def wide_cuts(sites: Sequence[str]) -> list[Cut]:
+    """Seventeen lines: by entry date (A, C), visit date (B, D) and linked visits (X)."""
+    here = tuple(sites)
+    return [
+        Cut("1. All patients", (1,)),
+        Cut("2A. From 1: Patients with an ICU record", (2,)),
+        Cut("3A. From 2A: ICU entry within the study period", (3,)),
+        Cut("3B. From 2A: Visit started within the study period", (4,)),
+        Cut("4A. From 3A: Aged >=0 and <18 at entry", (5,)),
+        Cut("4B. From 3B: Aged >=0 and <18 at visit start", (6,)),
+        Cut("5A. From 4A: Sepsis code near entry", (7,)),
+        Cut("5B. From 4B: Sepsis code near visit start", (8,)),
+        Cut("5C. From 4A: Suspected sepsis near entry", (9,)),
+        Cut("5D. From 4B: Suspected sepsis near visit start", (10,)),
+        Cut("6A. From 5A: Site subset", (7,), here),
+        Cut("6B. From 5B: Site subset", (8,), here),
+        Cut("6C. From 5C: Site subset", (9,), here),
+        Cut("6D. From 5D: Site subset", (10,), here),
+        Cut("2X. From 1: Emergency visit linked to an inpatient visit", (11,)),
+        Cut("3X. From 2X: Suspected sepsis in the same visit", (12,)),
+        Cut("4X. From 3X: Site subset", (12,), here),
     ]
 
 

@@ -645,6 +645,18 @@ UNION SELECT concept_id, concept_name, NULL FROM lab_blood_culture""",
 SQL["phenotype_near_stored_index"] = f"""
 SELECT * FROM ({SQL['criteria_intersection']}) d INTERSECT SELECT * FROM ({SQL['key_union_full_join']}) c
 """
+_both = "(SELECT count(*) FROM (SELECT person_id FROM {} INTERSECT SELECT person_id FROM {}) {})"
+SQL["funnel_cuts"] = "\nUNION ALL\n".join(
+    f"SELECT CAST({i} AS INTEGER) AS step, '{text}' AS descriptions, {_both.format(a, b, f'b{i}')} AS counts"
+    for i, (text, a, b) in enumerate([
+        ("Coded and suspected near entry", "coded_any_adt_demog", "suspected_any_adt_demog"),
+        ("Coded and suspected near entry, asia", "coded_any_adt_demog WHERE site = 'asia'", "suspected_any_adt_demog"),
+        ("Coded near entry and near visit start, europe or africa",
+         "coded_any_adt_demog WHERE site IN ('europe', 'africa')", "coded_any_visit_demog"),
+        ("ICU record and linked emergency visit", "picu", "linked"),
+        ("Nowhere", "person WHERE 1 = 0", "coded_any_adt_demog"),
+    ], start=1)
+)
 SQL["phenotype_near_sieved_index"] = SQL["phenotype_near_stored_index"]
 SQL["person_sieve_join"] = """SELECT c.condition_occurrence_id, c.person_id, c.condition_start_date
 FROM condition_occurrence c WHERE c.condition_concept_id IN (SELECT concept_id FROM dx_sepsis)

@@ -23,6 +23,7 @@ from cohortlane.operators.cohorts import (
 )
 from cohortlane.operators.demographics import demographics, known_sex
 from cohortlane.operators.episodes import adt_episodes, max_records_per_instant
+from cohortlane.operators.person_sets import Cut, funnel_of
 from cohortlane.operators.phenotype import (
     EventSource,
     Criterion,
@@ -345,11 +346,23 @@ def _same_visit_persons(v) -> DataFrame:
 
 @_query
 def attrition_wide(v):
-    return attrition(
-        sepsis.attrition_steps_wide(
-            study_inputs(v), _stored_linked(v), _same_visit_persons(v), v.person_star
-        )
-    )
+    return funnel_of(_wide_sets(v), sepsis.wide_cuts(SITES))
+
+
+def _wide_sets(v) -> DataFrame:
+    return stage(sepsis.wide_sets(study_inputs(v), _stored_linked(v), _same_visit_persons(v), v.person_star), "sets")
+
+
+@_query
+def funnel_cuts(v):
+    """Other cuts through the same stored sets: persons in two steps, single sites."""
+    return funnel_of(_wide_sets(v), [
+        Cut("Coded and suspected near entry", (7, 9)),
+        Cut("Coded and suspected near entry, asia", (7, 9), ("asia",)),
+        Cut("Coded near entry and near visit start, europe or africa", (7, 8), ("europe", "africa")),
+        Cut("ICU record and linked emergency visit", (2, 11)),
+        Cut("Nowhere", (1, 7), ("atlantis",)),
+    ])
 
 
 @_query

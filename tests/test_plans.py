@@ -98,7 +98,8 @@ def test_both_index_definitions_look_at_events_once(spark, sf_dir):
 
 #: Queries that store something: results, exports, or visits that they read several times.
 STORING = {
-    "phenotype_near_stored_index", "phenotype_near_sieved_index", "person_sieve_join", "demographic_summary_same_visit", "attrition_wide",
+    "phenotype_near_stored_index", "phenotype_near_sieved_index", "person_sieve_join", "demographic_summary_same_visit",
+    "attrition_wide", "funnel_cuts",
     "report_demographics_wide", "report_demographics_wide_site_subset", "blood_culture_after_ed",
     "blood_culture_within_30_days", "same_visit_criteria", "same_visit_phenotype", "result_table_roundtrip",
     "result_csv_roundtrip", "notes_table", "notes_result", "codeset_csv_roundtrip", "cdm_table_scan", "vocabulary_scan",
@@ -116,6 +117,12 @@ def test_building_a_query_starts_no_job(name, spark, sf_dir):
         context.setLocalProperty("spark.jobGroup.id", None)
 
 
+def test_funnels_from_stored_sets_read_nothing_else(spark, sf_dir):
+    for name in ("attrition_wide", "funnel_cuts"):
+        plan = plan_of(QUERIES[name](spark, sf_dir))
+        assert plan.count("FileScan parquet") == 1 and "/sets-" in plan
+
+
 def test_linked_visits_read_visits_twice(spark, stored):
     from cohortlane.operators.linkage import ed_linked_to_inpatient
 
