@@ -312,10 +312,13 @@ def _folded(node):
     """An expression with its constant parts computed."""
     if isinstance(node, (Const, Name)):
         return node
+    # what a constant test leaves out is not looked at
+    if isinstance(node, Choice) and isinstance(test := _folded(node.test), Const):
+        return _folded(node.yes if test.value else node.no)
+    if getattr(node, "op", "") in ("and", "or") and isinstance(left := _folded(node.left), Const):
+        return left if bool(left.value) == (node.op == "or") else _folded(node.right)
     parts = {k: _folded(v) for k, v in vars(node).items() if not isinstance(v, str)}
     node = replace(node, **parts)
-    if isinstance(node, Choice) and isinstance(node.test, Const):
-        return node.yes if node.test.value else node.no
     if all(isinstance(v, Const) for v in parts.values()):
         return Const(_expression(node)({}))
     return node
@@ -329,8 +332,11 @@ def fold(nodes: Iterable) -> tuple:
             value = _folded(node.value)
             made = [Print(Const(_text(value.value)) if isinstance(value, Const) else value)]
         elif isinstance(node, If):
-            test, yes, no = _folded(node.test), fold(node.yes), fold(node.no)
-            made = list(yes if test.value else no) if isinstance(test, Const) else [If(test, yes, no)]
+            test = _folded(node.test)
+            if isinstance(test, Const):
+                made = list(fold(node.yes if test.value else node.no))
+            else:
+                made = [If(test, fold(node.yes), fold(node.no))]
         elif isinstance(node, For):
             made = [For(node.name, _folded(node.over), fold(node.body))]
         elif isinstance(node, Assign):
@@ -404,7 +410,15 @@ def _expression(node) -> Callable[[dict], Any]:
     if node.op == "or":
         return lambda scope: left(scope) or right(scope)
     use = _BINARY[node.op]
-    return lambda scope: use(left(scope), right(scope))
+
+    def operate(scope: dict):
+        a, b = left(scope), right(scope)
+        try:
+            return use(a, b)
+        except TypeError:
+            raise TemplateError(f"can't apply {node.op!r} to {a!r} and {b!r}") from None
+
+    return operate
 
 
 def _ahead(values: Iterable) -> Iterator[tuple[int, Any, bool]]:

@@ -90,3 +90,20 @@ def test_round_trip_and_edges(spark):
     for conv_id in got:
         assert sum(len(p.formatted) for p in parts if p.conv_id == conv_id) == got[conv_id].formatted_chars
     assert chat.read_back(df.limit(0)).count() == 0
+
+
+def test_dead_branches_are_not_folded():
+    from cohortlane.llm.templates import TemplateError
+
+    def render(source, **scope):
+        return "".join(text for text, _ in compile_template(source)(scope))
+
+    assert render("a{% if false %}{{ 1 + 'a' }}{% endif %}b") == "ab"
+    assert render("{% if true %}x{% else %}{{ 1 + 'a' }}{% endif %}") == "x"
+    assert render("{{ 'x' if true else 1 + 'a' }}{{ false and 1 + 'a' }}{{ true or 1 + 'a' }}") == "xFalseTrue"
+    with pytest.raises(TemplateError):
+        compile_template("{% if x %}{{ 1 + 'a' }}{% endif %}")
+    with pytest.raises(TemplateError):
+        render("{{ x + 1 }}", x="a")
+    with pytest.raises(TemplateError):
+        render("{{ x < 'b' }}", x=1)
