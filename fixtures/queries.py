@@ -723,7 +723,8 @@ def notes_result(v):
         F.col("concept_name").alias(f"{BYTE_ORDER_MARK}Component Name"),
         F.concat(F.lit('said "'), "concept_code", F.lit('",\nthen '), "vocabulary_id").alias("Notes"),
     )
-    write_csv(notes, path, single_file=True)
+    # every part has the mark in its header, and is written and read by a task of its own
+    write_csv(notes, path)
     catalog = StudyCatalog(v.sf_dir, v.sf_dir, stage_path(v.spark, "results"), layout="parquet")
     return materialize(read_notes(v.spark, path), catalog, "notes")
 
