@@ -106,3 +106,46 @@ def test_evolution_improves():
     ranked = block.evolve([], Search(population=8, generations=60, patience=60), 1)
     assert block.fitness(ranked[0]) > block.fitness(first)
     assert sorted(i for b in ranked[0] for i in b) == list(range(len(lengths)))
+
+
+#: Best-fit decreasing needs 11 bins of 4096 for these, 9 are enough: 2064 + 1040 + 992 and twice 1056 + 992.
+HARD = [2064] * 6 + [1056] * 6 + [1040] * 6 + [992] * 12
+
+
+def test_islands_beat_best_fit_decreasing(spark):
+    """Pieces that need crossover: bins before (best fit), after one island and epoch, after several."""
+    lengths = HARD * 6
+    best_fit = len(Block(lengths, 4096).first())
+    pieces = spark.createDataFrame(list(enumerate(lengths)), "uid long, length long").repartition(3)
+
+    def packed(islands, epochs, search):
+        params = Packing(islands=islands, epochs=epochs, pooled=0.0, search=search)
+        rows = pack_pieces(pieces, params).collect()
+        assert sorted(r.uid for r in rows) == list(range(len(lengths)))
+        by: dict = {}
+        for r in rows:
+            by.setdefault(r.sequence_id, []).append((r.offset, lengths[r.uid]))
+        for places in by.values():
+            places.sort()
+            assert places[0][0] == 0 and sum(n for _, n in places) <= 4096
+            assert all(a + n == b for (a, n), (b, _) in zip(places, places[1:]))
+        return len(by)
+
+    one = packed(1, 1, Search())
+    several = packed(3, 4, Search(population=8, generations=40, patience=40))
+    assert best_fit == 66 and one < best_fit and 54 <= several < one
+
+
+def test_migration_hands_the_elite_on(spark):
+    """An island that starts from a perfect guest keeps it."""
+    block = Block(HARD, 4096)
+    a, b, c, d = (range(i, j) for i, j in ((0, 6), (6, 12), (12, 18), (18, 30)))
+    perfect = [[x, y, z] for x, y, z in zip(a, c, d)] + [[b[2 * i], b[2 * i + 1], d[6 + 2 * i], d[7 + 2 * i]] for i in range(3)]
+    assert len(perfect) == block.least == 9
+    plain = block.evolve([], Search(), 1)
+    assert len(plain[0]) > 9
+    assert len(block.evolve([perfect, *plain], Search(), 2)[0]) == 9
+    # crossover with the elite injects its bins whole
+    child = block.cross(plain[0], perfect, random.Random(3), 0.5)
+    assert sum(sorted(x) in [sorted(p) for p in perfect] for x in child) >= 4
+    assert sorted(i for x in child for i in x) == list(range(30))
