@@ -55,3 +55,21 @@ def components(links: DataFrame) -> DataFrame:
     return links.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
         links.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     )
+
+
+def extended(known: DataFrame, links: DataFrame) -> DataFrame:
+    """The components of ``known``, (node, component), after further links (a, b).
+
+    Links are taken between components first, so that the turns work on the few
+    components that change and not on all links again.
+    """
+
+    def label(end: str) -> DataFrame:
+        return known.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}"))
+
+    between = links.join(label("a"), "a", "left").join(label("b"), "b", "left")
+    joined = components(between.select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b")))
+    moved = joined.select(F.col("node").alias("component"), F.col("component").alias("whole"))
+    old = known.join(moved, "component", "left").select("node", F.coalesce("whole", "component").alias("component"))
+    fresh = joined.join(known.select("node"), "node", "left_anti")
+    return stage(old.unionByName(fresh), "components")

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortlane.llm.components import components
+from cohortlane.llm.components import components, extended
 from cohortlane.llm.frames import Stored
 from cohortlane.sources.sinks import stage
 
@@ -500,8 +500,7 @@ def link_documents(docs: DataFrame, join: Join = Join(), text: str = "text") ->
     # a document's runs are few: as many as a set has cells
     by_hash = Window.partitionBy("node").orderBy(F.xxhash64(*names), *names)
     few = members.withColumn("_rank", F.dense_rank().over(by_hash)).where(F.col("_rank") <= FIRST_RUNS).drop("_rank")
-    links = _verified(candidates(few.withColumn("label", F.col("node")), "first"), docs, join)
-    final = components(links)
+    final = components(_verified(candidates(few.withColumn("label", F.col("node")), "first"), docs, join))
     for rule in ("labels", "all"):
         labelled = members.join(final, "node", "left").withColumn("label", F.coalesce("component", "node"))
         # a run within one component has nothing left to compare
@@ -510,8 +509,7 @@ def link_documents(docs: DataFrame, join: Join = Join(), text: str = "text") ->
         pairs = candidates(still_open, rule)
         if pairs.isEmpty():
             continue
-        links = links.unionByName(_verified(pairs, docs, join))
-        final = components(links)
+        final = extended(final, _verified(pairs, docs, join))
     named = (
         figures.join(classes.select("h1", "h2", "node"), ["h1", "h2"], "left")
         .join(final, "node", "left")

@@ -123,3 +123,18 @@ def test_empty_and_null(spark, documents):
     assert link_documents(documents((1, "x")).limit(0)).count() == 0
     rows = link_documents(documents((1, "a b"), (None, "a b"), (1, "a b"), (3, "A b"))).collect()
     assert sorted((r.doc_id or 0, r.component_id or 0) for r in rows) == [(0, 0), (1, 1), (1, 1), (3, 1)]
+
+
+def test_components_extend(spark):
+    """Links in two parts give the components of all links."""
+    import random
+
+    from cohortlane.llm.components import components, extended
+
+    rng = random.Random(2)
+    links = [(rng.randrange(120), rng.randrange(120)) for _ in range(110)]
+    schema = "a long, b long"
+    whole = {tuple(r) for r in components(spark.createDataFrame(links, schema)).collect()}
+    for cut in (0, 40, 109, 110):
+        first = components(spark.createDataFrame(links[:cut], schema))
+        assert {tuple(r) for r in extended(first, spark.createDataFrame(links[cut:], schema)).collect()} == whole
