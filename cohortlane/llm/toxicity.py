@@ -25,9 +25,10 @@ from pyspark.sql import functions as F
 from cohortlane.llm.crf import Model, _groups, _padded, train
 
 #: Hashed forms; a fixed size, whatever the corpus.
-FORMS = 1 << 18
-#: Forms of a word: itself, its first 3 to 6 characters, its last 4.
-WIDTH = 6
+FORMS = 1 << 20
+#: Forms of a word: itself, its first 3 to 9 characters, its last 4.
+BEGINS = range(3, 10)
+WIDTH = 2 + len(BEGINS)
 #: A sentence of more words is several chains.
 CHAIN = 64
 #: Training text that repeats so many words of an earlier sample document counts once.
@@ -35,6 +36,8 @@ PASSAGE = 8
 _EDGE = ".,;:!?|\"'()[]{}«»„“”…-"
 _ENDS = (".", "!", "?", "…")
 _WORD = re.compile(r"\S+")
+#: Parts of the sample; each is summarised by a CRF of the others.
+FOLDS = 2
 #: Distinct words that a task remembers.
 _REMEMBERED = 400_000
 #: Texts are scored so many words at a time, give or take one text.
@@ -48,7 +51,7 @@ def _number(form: str) -> int:
 def forms(word: str) -> list[int]:
     """Numbers of a word's forms; number 0 fills up."""
     w = word.lower().strip(_EDGE)
-    named = ["=" + w, *("^" + w[:k] for k in range(3, 7) if len(w) >= k), "$" + w[-4:]] if w else []
+    named = ["=" + w, *("^" + w[:k] for k in BEGINS if len(w) >= k), "$" + w[-4:]] if w else []
     return [_number(x) for x in named] + [0] * (WIDTH - len(named))
 
 
@@ -112,9 +115,10 @@ class _Scores(dict):
         w = word.lower().strip(_EDGE)
         own = 0.0
         if w:
-            begin = self.begins.get(w[:6])
+            begin = self.begins.get(w[: BEGINS[-1]])
             if begin is None:
-                begin = self.begins[w[:6]] = sum(self.weights[_number("^" + w[:k])] for k in range(3, 1 + min(6, len(w))))
+                own = sum(self.weights[_number("^" + w[:k])] for k in BEGINS if len(w) >= k)
+                begin = self.begins[w[: BEGINS[-1]]] = own
             own = float(begin + self.weights[_number("=" + w)] + self.weights[_number("$" + w[-4:])])
         self.score.append(own)
         self.ends.append(word.rstrip("\"')”»").endswith(_ENDS))
@@ -262,7 +266,7 @@ def label_words(
         return x * np.log(np.maximum(x, 1e-9) / np.maximum((a + b) * of, 1e-9))
 
     ratio = 2 * (part(a, share) + part(b, 1 - share))
-    limit = 2 * np.log(max(2, np.count_nonzero(a + b))) + 4
+    limit = 2 * np.log(max(2, np.count_nonzero(a + b)))
     tied = (ratio > limit) & ((a + 0.5) / (n1 + 1) > 8 * (b + 0.5) / (n0 + 1))
     tied[0] = False
     marked = tied[rows].any(axis=1)
@@ -290,7 +294,7 @@ def _train_crf(
 def train_tagger(texts: list[str | None], toxic: np.ndarray, weight: np.ndarray, sample: Sample = Sample()) -> Tagger:
     """A tagger from texts with classes; ``weight`` is what each document stands for.
 
-    The document weights are fitted on summaries by CRFs of the other half.
+    The document weights are fitted on summaries by CRFs of the other folds.
     """
     lexicon = _Lexicon()
     tokens = [np.fromiter(map(lexicon.__getitem__, (t or "").split()), np.int64) for t in texts]
@@ -302,10 +306,10 @@ def train_tagger(texts: list[str | None], toxic: np.ndarray, weight: np.ndarray,
     tokens, fresh = [tokens[i] for i in kept], [fresh[i] for i in kept]
     toxic, weight = toxic[kept], weight[kept]
     parts, order = [], np.arange(len(kept))
-    for half in (0, 1):
-        inside, outside = order[order % 2 == half], order[order % 2 != half]
+    for fold in range(FOLDS):
+        inside, outside = order[order % FOLDS == fold], order[order % FOLDS != fold]
         model = _train_crf(
-            [tokens[i] for i in outside], [fresh[i] for i in outside], toxic[outside], rows, ends, sample.sentences // 2
+            [tokens[i] for i in outside], [fresh[i] for i in outside], toxic[outside], rows, ends, sample.sentences
         )
         words, sizes = np.concatenate([tokens[i] for i in inside]), np.array([len(tokens[i]) for i in inside])
         p = marginals(model, (Bags(rows) @ model.weights)[words], chains(ends[words], sizes)) if len(words) else words
