@@ -117,13 +117,14 @@ def test_edges(spark, tagger, documents):
     df = df.withColumn("score", F.lit("s")).withColumn("spans", F.lit(0)).withColumn("n_words", F.lit("n"))
     got = score_documents(df, tagger).collect()
     assert len(got) == 6 and all(0 <= r.score <= 1 for r in got)
-    empty = {r.score for r in got if r.n_words == 0}
+    empty = {round(r.score, 12) for r in got if r.n_words == 0}
     assert len(empty) == 1 and empty.pop() < 0.5
-    assert len({r.score for r in got if r.doc_id == 4}) == 1
+    assert len({round(r.score, 12) for r in got if r.doc_id == 4}) == 1
     assert next(r for r in got if r.doc_id is None).score > 0.5
     assert score_documents(df.limit(0), tagger).count() == 0
     # batches change nothing
-    assert sorted(r.score for r in score_documents(df.repartition(5), tagger).collect()) == sorted(r.score for r in got)
+    again = sorted(r.score for r in score_documents(df.repartition(5), tagger).collect())
+    assert again == pytest.approx(sorted(r.score for r in got), rel=1e-9)
 
 
 def test_fit_edges(spark, documents):
