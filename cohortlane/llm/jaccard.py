@@ -8,14 +8,14 @@ are the join keys; which of the colliding documents to compare is decided by a
 short parity sketch whose Hamming distance never exceeds d. What passes is
 verified on the sets themselves.
 
-Links are gathered in three rounds. In the first, each document takes part in a
-few of its runs only, those with the smallest hashes, which alike documents
-have in common; there it is compared with the first alike document. In the
-second, each component in a run that still has several is compared until one
-alike document of another is found. The third compares all documents of a run
-that are alike and still in different components, so no link between components
-is lost, and a group of thousands of copies costs a few rows per copy instead of
-all its pairs.
+Links are gathered in three rounds. In the first two, each document takes part
+in a few of its runs only, those with the smallest hashes, which alike documents
+have in common. First it is compared with the first alike document; then each
+component in a run that still has several is compared until one alike document
+of another is found. The third round takes all runs that still have several
+components and compares all documents that are alike, by a longer sketch, and in
+different ones. So no link between components is lost, and a group of thousands
+of copies costs a few rows per copy instead of all its pairs.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ from cohortlane.sources.sinks import stage
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15))
 #: A run longer than this is compared block by block.
 BLOCK = 4096
-#: Runs of a document in the first round.
+#: Runs of a document in the first two rounds.
 FIRST_RUNS = 4
 BITMAP_BITS = 22
 #: Bits of the long sketch per shingle of difference: sets that pass it hardly ever fail to link.
@@ -483,15 +483,18 @@ def link_documents(docs: DataFrame, join: Join = Join(), text: str = "text") ->
 
     def candidates(labelled: DataFrame, rule: str) -> DataFrame:
         order = ("r1", "r2", "low", "high", "block", "node")
+        # the long sketch keeps pairs that don't quite link from coming out of every run they share
+        kind = "long" if rule == "all" else "short"
         found = (
-            labelled.join(classes.select("node", "n", "short"), "node")
+            labelled.join(classes.select("node", "n", F.col(kind).alias("sketch")), "node")
             .repartition("r1", "r2", "low", "high")
             .sortWithinPartitions(*order)
-            .select(*order, "n", "short", "label")
+            .select(*order, "n", "sketch", "label")
             .mapInArrow(_compare(join, rule), "a long, b long")
             .distinct()
         )
-        # the long sketch keeps out pairs that don't quite link
+        if kind == "long":
+            return stage(found, "pairs")
         left = classes.select(F.col("node").alias("a"), "n", F.col("long").alias("x"))
         right = classes.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("long").alias("y"))
         pairs = found.join(left, "a").join(right, "b").select("a", "b", "n", "x", "m", "y")
@@ -500,9 +503,10 @@ def link_documents(docs: DataFrame, join: Join = Join(), text: str = "text") ->
     # a document's runs are few: as many as a set has cells
     by_hash = Window.partitionBy("node").orderBy(F.xxhash64(*names), *names)
     few = members.withColumn("_rank", F.dense_rank().over(by_hash)).where(F.col("_rank") <= FIRST_RUNS).drop("_rank")
+    few = stage(few, "few")
     final = components(_verified(candidates(few.withColumn("label", F.col("node")), "first"), docs, join))
-    for rule in ("labels", "all"):
-        labelled = members.join(final, "node", "left").withColumn("label", F.coalesce("component", "node"))
+    for rule, own in (("labels", few), ("all", members)):
+        labelled = own.join(final, "node", "left").withColumn("label", F.coalesce("component", "node"))
         # a run within one component has nothing left to compare
         spans = labelled.groupBy(*names).agg(F.min("label").alias("one"), F.max("label").alias("two"))
         still_open = labelled.join(spans.where("one <> two").select(*names), names, "left_semi")
