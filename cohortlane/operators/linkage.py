@@ -107,9 +107,9 @@ def _linked_keys(linked: DataFrame) -> DataFrame:
     ).distinct()
 
 
-def _cultures(
+def _culture_sources(
     procedures: DataFrame, procedure_codes: DataFrame, labs: DataFrame, lab_codes: DataFrame
-) -> DataFrame:
+) -> list[DataFrame]:
     keys = ("person_id", "visit_occurrence_id")
     by_procedure = match_codes(procedures, "procedure_concept_id", procedure_codes).select(
         *keys, F.col("procedure_datetime").alias("culture_datetime")
@@ -117,23 +117,22 @@ def _cultures(
     by_lab = match_codes(labs, "measurement_concept_id", lab_codes).select(
         *keys, F.col("measurement_datetime").alias("culture_datetime")
     )
-    return by_procedure.unionByName(by_lab)
+    return [by_procedure, by_lab]
 
 
 def _after_first_start(cultures: DataFrame, linked: DataFrame) -> DataFrame:
-    """Cultures at or after a linked visit of the person began; may repeat rows.
+    """Cultures at or after a linked visit of the person began.
 
     Being at or after *any* start is being at or after a first one, so events
     meet a person's first visit of each kind instead of all of them. (One row
     per person would do, but then Spark would join within the shuffle of that
     aggregate, which it cannot split for a person with very many events.)
     """
-    first_starts = linked.groupBy("person_id", "visit_concept_id").agg(
+    first_starts = linked.groupBy(F.col("person_id").alias("_person"), "visit_concept_id").agg(
         F.min("visit_start_datetime").alias("_first_start")
     ).drop("visit_concept_id")
-    return cultures.join(first_starts, "person_id").where(
-        F.col("culture_datetime") >= F.col("_first_start")
-    )
+    late = (F.col("person_id") == F.col("_person")) & (F.col("culture_datetime") >= F.col("_first_start"))
+    return cultures.join(first_starts, late, "left_semi")
 
 
 def blood_culture_after_ed(
@@ -149,10 +148,17 @@ def blood_culture_after_ed(
     By default every culture of a linked visit counts, whatever the time.
     ``max_seconds`` keeps those between the start and that many seconds later.
     """
-    taken = _cultures(procedures, procedure_codes, labs, lab_codes).distinct()
+    # Visit and time travel as one column: sources shuffled alike by visit would
+    # otherwise be united, sorted and reduced partition by partition in one task.
+    culture = F.struct("visit_occurrence_id", "culture_datetime").alias("_culture")
+    taken = [
+        _after_first_start(source, linked).select(culture)
+        for source in _culture_sources(procedures, procedure_codes, labs, lab_codes)
+    ]
     timed = (
-        _after_first_start(taken, linked)
-        .select("visit_occurrence_id", "culture_datetime")
+        reduce(DataFrame.union, taken)
+        .distinct()
+        .select("_culture.*")
         .join(_linked_keys(linked), "visit_occurrence_id")
         .withColumn("tst_time", elapsed_seconds("_start", "culture_datetime"))
     )
@@ -210,8 +216,9 @@ def same_visit_criteria(
         tag_events(drugs, ("drug_concept_id",), {0: fluid_codes, 1: antibiotic_codes}).select(
             *keys, "_tags", no_time.alias("_culture")
         ),
-        _cultures(procedures, procedure_codes, labs, lab_codes).select(
-            *keys, F.lit(0).cast("bigint"), F.col("culture_datetime")
+        *(
+            source.select(*keys, F.lit(0).cast("bigint"), F.col("culture_datetime"))
+            for source in _culture_sources(procedures, procedure_codes, labs, lab_codes)
         ),
         linked.select(*keys, F.lit(4).cast("bigint"), no_time),
     ]

@@ -100,6 +100,17 @@ def test_cultures(spark, study):
     assert sorted((r.visit_occurrence_id, r.tst_time) for r in bounded) == [(1, 7200), (3, 3600)]
 
 
+def test_cultures_repeated_or_without_keys(spark, study):
+    """A culture counts once, whichever source has it and however often; NULL keys match nothing."""
+    _, link, codes = study
+    twice = [(1, 1, 1, 2), (1, 1, 1, 2)]
+    px = event_frame(spark, "procedure", [*twice, (None, 1, 1, 3), (1, None, 1, 3), (1, 1, None, 3), (2, 1, 1, 5)])
+    labs = event_frame(spark, "measurement", [*twice, (9, 3, 1, 1), (2, 3, 2, -1)])
+    found = linkage.blood_culture_after_ed(link.union(link), px, codes, labs, codes).collect()
+    # the culture of person 2 counts for the visit it was recorded in, under that visit's person
+    assert sorted((r.person_id, r.visit_occurrence_id, r.tst_time) for r in found) == [(1, 1, 7200), (1, 1, 18000)]
+
+
 def test_drugs(spark, study):
     _, link, codes = study
     drugs = event_frame(spark, "drug", [(1, 1, 1, 2), (1, 1, 1, 2), (1, 3, 1, 2), (2, 3, 2, -1)])

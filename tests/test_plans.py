@@ -298,6 +298,45 @@ def test_same_visit_criteria_are_one_aggregate(spark, stored, without_automatic_
     assert plan.count("FileScan parquet") == 3 + 2
 
 
+@pytest.mark.parametrize("broadcast", ["-1", "10m"])
+def test_culture_sources_are_not_united_partition_by_partition(spark, broadcast):
+    """Both sources come out of a shuffle by visit; their sorts must not meet in one task."""
+    from cohortlane.operators.linkage import blood_culture_after_ed
+
+    def events(prefix, hours):
+        rows = spark.range(0, 40, 1, 4).selectExpr(
+            "id AS _visit", f"id % 3 AS {prefix}_concept_id",
+            f"timestamp_ntz'2020-05-01 08:00:00' + make_dt_interval(0, {hours} * (id % 2)) AS {prefix}_datetime",
+        )
+        owners = spark.range(0, 40, 1, 4).selectExpr("id AS visit_occurrence_id", "id % 7 AS person_id")
+        return rows.hint("merge").join(owners, F.col("_visit") == F.col("visit_occurrence_id")).drop("_visit")
+
+    linked = spark.range(0, 40, 1, 4).selectExpr(
+        "id AS visit_occurrence_id", "id % 7 AS person_id", "9203L AS visit_concept_id",
+        "timestamp_ntz'2020-05-01 08:00:00' AS visit_start_datetime",
+    )
+    codes = CodeSet(spark.createDataFrame([(1,)], "concept_id long"), rows=1, bytes=100)
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": broadcast}
+    before = {key: spark.conf.get(key) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        found = blood_culture_after_ed(linked, events("procedure", 1), codes, events("measurement", 2), codes)
+        todo, unions = [found._jdf.queryExecution().executedPlan()], []
+        while todo:
+            node = todo.pop()
+            if node.nodeName() == "Union":
+                unions.append(node.outputPartitioning().toString())
+            children = node.children()
+            todo += [children.apply(i) for i in range(children.size())]
+        assert len(unions) == 1 and unions[0].startswith("UnknownPartitioning")
+        expected = {(v, 3600 * h * (v % 2)) for v in range(1, 40, 3) for h in (1, 2)}
+        assert sorted((r.visit_occurrence_id, r.tst_time) for r in found.collect()) == sorted(expected)
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
 def test_bucketed_events_are_not_shuffled(spark, without_automatic_broadcast):
     from cohortlane.config import StudyCatalog
     from cohortlane.operators.phenotype import condition_near_index
